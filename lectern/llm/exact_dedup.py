@@ -60,7 +60,13 @@ def fold(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sh
     # map types, variants and the like in further columns don't matter: only two columns are read
     fields = {f.name: f for f in spark.read.parquet(path).schema.fields}
     schema = T.StructType([fields["doc_id"], fields["text"]])
-    rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        # a file stream watches folders
+        rows = source.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    else:
+        rows = source.parquet(path)
     groups = _keyed(rows, digest).groupBy("digest").agg(F.max("rank").alias("best"), F.count("*").alias("group_size"))
 
     def keep(batch: DataFrame, number: int) -> None:

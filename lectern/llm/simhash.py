@@ -271,7 +271,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     routed = materialise(arrow_map(distinct.select("fp"), route, "fp long, asks boolean, home boolean, leaf long"), "routed")
     # at most 2 ** DEPTH rows
-    sizes = routed.groupBy("leaf").agg(F.count_if("NOT asks").alias("points"), F.count_if("asks").alias("askers"))
+    sizes = routed.groupBy("leaf").agg(F.count_if(~F.col("asks")).alias("points"), F.count_if(F.col("asks")).alias("askers"))
     sizes = sizes.select("leaf", F.ceil(F.col("points") / BLOCK_POINTS).alias("pb"), F.ceil(F.col("askers") / BLOCK_ASKERS).alias("ab"))
     mixed = F.abs(F.xxhash64("fp", F.lit(1)))
     own = F.when(F.col("asks"), mixed % F.greatest("ab", F.lit(1))).otherwise(mixed % F.greatest("pb", F.lit(1)))
