@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_codec, exact_dedup, simhash
+from lectern.llm import bpe_codec, exact_dedup, packing, simhash, token_file
 from lectern.llm.common import read_table
 
 
@@ -16,10 +16,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(read_table(spark, sf_dir, "documents"), spark)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -41,7 +49,9 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_packing": op4_packing,
         "op6_simhash": op6_simhash,
+        "op9_token_file": op9_token_file,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
