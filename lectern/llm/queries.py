@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe_codec, exact_dedup, packing, simhash, token_file
+from lectern.llm import ann, bpe_codec, exact_dedup, packing, simhash, token_file, toxicity, url_filter
 from lectern.llm.common import read_table
 
 
@@ -16,14 +16,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(read_table(spark, sf_dir, "documents"), spark)
 
@@ -49,8 +62,11 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
+        "op8_ann": op8_ann,
         "op9_token_file": op9_token_file,
         "op10_exact_dedup": op10_exact_dedup,
     }
