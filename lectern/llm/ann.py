@@ -29,7 +29,7 @@ K, EVERY = 20, 20
 SAMPLE, ROUNDS = 20_000, 8
 LISTS, PARTS, CODES = 512, 16, 256
 #: Lists that a query visits: this share of all, at least so many.
-PROBE_SHARE, PROBE_LEAST = 0.25, 8
+PROBE_SHARE, PROBE_LEAST = 0.7, 8
 #: Best codes of a block that are reranked, for each of the k wanted.
 RERANK = 4
 BLOCK, ASKERS = 16_384, 4096
