@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe_codec, chat_tree, exact_dedup, packing, simhash, token_file, toxicity, url_filter
+from lectern.llm import ann, bpe_codec, chat_tree, exact_dedup, line_dedup, packing, simhash, token_file, toxicity, url_filter
 from lectern.llm.common import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.encode_decode(read_table(spark, sf_dir, "documents"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -131,6 +135,7 @@ FROM f GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
