@@ -13,8 +13,7 @@ Only pairs that verify leave the join; texts travel only for lines that share a
 
 Lines are cut at line feeds. Blank lines (white space only) are never copies and stay. Nulls: a null text
 has no lines; a null doc_id comes first and is a document of its own. Rows with the same doc_id and
-text are one document and share its decisions; rows with the same doc_id and different texts count as
-parts of one document that number their lines alike. An empty table gives an empty one; further columns, whatever their names, are kept by
+text are one document and share its decisions; rows with the same doc_id and other texts are documents of their own. An empty table gives an empty one; further columns, whatever their names, are kept by
 `drop_lines` and not read by `classes`.
 """
 
@@ -39,8 +38,8 @@ LETTERS = "etaoinshrdlucmfw" + "gypbvk,. jxqzäéñ"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line: all lines but blank ones."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, text_key, line_no (from 0), line: all lines but blank ones. text_key tells texts of one doc_id apart."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return each.filter(F.length(F.translate("line", " \t\r\x0b\x0c", "")) > 0)
 
 
@@ -148,14 +147,14 @@ def links(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """Every line that isn't blank: doc_id, line_no, class_doc_id and class_line_no (the line that stays), class_size, n_links, kept."""
+    """Every line that isn't blank: doc_id, line_no, class_doc_id and class_line_no (the line that stays), class_size, n_links, kept, text_key."""
     edges = materialise(links(docs, tau), "line-links")
     roots = materialise(components(edges), "line-roots")
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     near = materialise(degree.join(roots, "node", "left"), "line-near")
-    own = lines_of(docs).select("doc_id", "line_no", identity(F.col("line")).alias("id"))
-    named = own.join(near, own["id"] == near["node"], "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_size"))
+    own = lines_of(docs).select("doc_id", "text_key", "line_no", identity(F.col("line")).alias("id"))
+    named = own.join(near, own["id"] == near["node"], "left").select("doc_id", "text_key", "line_no", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.count("*").alias("class_size"))
     return named.join(first, "class").select(
         "doc_id",
         "line_no",
@@ -163,15 +162,17 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
         F.col("first.line_no").alias("class_line_no"),
         "class_size",
         "n_links",
-        F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("kept"),
+        F.struct("doc_id", "text_key", "line_no").eqNullSafe(F.col("first")).alias("kept"),
+        "text_key",
     )
 
 
 def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """docs with all rows and columns, each text without the lines that are copies of an earlier one."""
-    out = classes(docs, tau).filter("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__lines"))
-    out = materialise(out.withColumnRenamed("doc_id", "__doc"), "line-drops")
-    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    out = classes(docs, tau).filter("NOT kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("__lines"))
+    out = materialise(out.withColumnsRenamed({"doc_id": "__doc", "text_key": "__text"}), "line-drops")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__text"))
+    joined = docs.join(out, same, "left")
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n"))
     counted = {"n_chars": F.length("text")} if "n_chars" in docs.columns else {}
     kinds = {f.name: f.dataType for f in docs.schema.fields}

@@ -127,13 +127,13 @@ def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long) of every row."""
+    """doc_id, fp (the fingerprint's 64 bits as a long), text_key (tells texts of one doc_id apart) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t if t is not None else "" for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fingerprints_of(texts, words).view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fingerprints_of(texts, words).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_key"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, fp long, text_key long")
 
 
 # ---- vantage-point trees ----
@@ -285,12 +285,30 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.groupBy("leaf", "p", "a").applyInPandas(lambda block: _links_of_block(block, distance), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
+def _classes(docs: DataFrame, words: int, distance: int) -> DataFrame:
+    """doc_id, fp, text_key, root (the fingerprint that stands for the class) of every row."""
     prints = materialise(fingerprints(docs, words), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialise(prints.select("fp").distinct(), "distinct")
     roots = materialise(components(links(distinct, distance)), "roots")
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints.join(of, "fp").select("doc_id", "fp", "text_key", "root")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
+    rows = _classes(docs, words, distance)
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One row of each class, with all its columns: that of the least doc_id (null last); of equal rows one stays."""
+    rows = materialise(_classes(docs, words, distance), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    marked = materialise(rows.join(first, "root").select("doc_id", "text_key", order.eqNullSafe(F.col("first")).alias("stays")).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "marks")
+    same = docs["doc_id"].eqNullSafe(F.col("__doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__text"))
+    pick = lambda condition: marked.filter(condition).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"))
+    single = docs.join(pick("NOT stays OR n > 1"), same, "left_anti")
+    again = docs.join(pick("stays AND n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(again)
