@@ -149,8 +149,8 @@ SELECT conv_id, turn, {_SCOPE.replace('(x,', '(a,')} AS out, {_SCOPE.replace('(x
        {' OR '.join(f"contains(lower(coalesce(text, '')), '" + r.replace("'", "''") + "')" for r in REFUSALS)} AS refuses FROM t"""
 
 SQL["char_chunks"] = """
-WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 462)) AS at FROM documents)
-SELECT doc_id, CAST(at / 462 AS INTEGER) AS chunk_index, CAST(length(substring(text, at + 1, 512)) AS INTEGER) AS n_chars, sha256(substring(text, at + 1, 512)) AS chunk_sha256 FROM s WHERE text <> ''"""
+WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 462)) AS place FROM documents)
+SELECT doc_id, CAST(place / 462 AS INTEGER) AS chunk_index, CAST(length(substring(text, place + 1, 512)) AS INTEGER) AS n_chars, sha256(substring(text, place + 1, 512)) AS chunk_sha256 FROM s WHERE text <> ''"""
 SQL["contextualise"] = """
 SELECT doc_id, sha256(concat_ws('. ', coalesce(CASE WHEN lang <> 'en' THEN lang END, source), text)) AS search_sha256 FROM documents"""
 SQL["ingest_outcomes"] = f"""
