@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import materialise
+from lectern.llm.common import fresh, materialise
 from lectern.llm.components import components
 
 TAU, LEAST = 2, 10
@@ -169,11 +169,11 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """docs with all rows and columns, each text without the lines that are copies of an earlier one."""
-    out = classes(docs, tau).filter("NOT kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("__lines"))
-    out = materialise(out.withColumnsRenamed({"doc_id": "__doc", "text_key": "__text"}), "line-drops")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__text"))
-    joined = docs.join(out, same, "left")
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n"))
+    doc, key, lines = (fresh(docs, n) for n in ("__doc", "__text", "__lines"))
+    out = classes(docs, tau).filter("NOT kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(lines))
+    out = materialise(out.withColumnsRenamed({"doc_id": doc, "text_key": key}), "line-drops")
+    joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n"))
     counted = {"n_chars": F.length("text")} if "n_chars" in docs.columns else {}
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     return joined.withColumn("text", text).withColumns({c: v.cast(kinds[c]) for c, v in counted.items()}).select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_map, materialise
+from lectern.llm.common import arrow_map, fresh, materialise
 from lectern.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -307,8 +307,10 @@ def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) ->
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     marked = materialise(rows.join(first, "root").select("doc_id", "text_key", order.eqNullSafe(F.col("first")).alias("stays")).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "marks")
-    same = docs["doc_id"].eqNullSafe(F.col("__doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__text"))
-    pick = lambda condition: marked.filter(condition).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"))
+    doc, key = fresh(docs, "__doc"), fresh(docs, "__text")
+    same = F.col("d.doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("d.text") == F.col(key))
+    pick = lambda condition: marked.filter(condition).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    docs = docs.alias("d")
     single = docs.join(pick("NOT stays OR n > 1"), same, "left_anti")
     again = docs.join(pick("stays AND n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(again)
