@@ -151,9 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
     got = sorted(arrow_map(texts, run, "doc_id long, label int, features binary").toLocalIterator(), key=lambda r: (r[0], bytes(r[2])))
     if not got:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 40.0))
-    each = [np.frombuffer(r[2], "<i4") for r in got]
-    rows, buckets = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate(each).astype(np.int64)
     label_of = np.array([r[1] for r in got], np.int64)
+    each = [np.frombuffer(r[2], "<i4") for r in got]
+    # 32 bits: the driver's memory is what the sample costs
+    rows, buckets = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
+    del got, each
     return fit(rows, buckets, label_of if label_of.max() > 1 else graded(rows, buckets, label_of, grades))
 
 
