@@ -57,35 +57,44 @@ class Phase:
             return self.before[queue + 1] - self.before[queue]
         return r * window * self.before[queue + 1] // self.total - r * window * self.before[queue] // self.total
 
-    def slot(self, queue: int, r: int, window: int) -> int:
-        """Where queue's tokens begin in window r."""
-        after = self.before[queue] if (r + 1) * window >= self.total else (r + 1) * window * self.before[queue] // self.total
-        return after - r * window * self.before[queue] // self.total
+
+def _mixed(left: list[int], shares: list[float], window: int) -> list[int] | None:
+    """What each queue serves in the longest run of full windows at the wanted shares, or None if no window is left."""
+    live = [i for i, n in enumerate(left) if n and shares[i] > 0]
+    while live:
+        whole = sum(shares[i] for i in live)
+        quantum = {i: window * shares[i] / whole for i in live}
+        short = [i for i in live if left[i] < quantum[i] or quantum[i] < 1]
+        if not short:
+            tokens = window * int(min(left[i] / quantum[i] for i in live))
+            exact = {i: tokens * shares[i] / whole for i in live}
+            take = [min(left[i], int(exact[i])) if i in exact else 0 for i in range(len(left))]
+            for i in sorted(live, key=lambda i: int(exact[i]) - exact[i]):
+                take[i] += min(left[i] - take[i], 1, tokens - sum(take))
+            return take if sum(take) == tokens else None
+        live = [i for i in live if i not in short]
+    return None
 
 
 def schedule(totals: list[int], shares: list[float] | None = None, window: int = WINDOW) -> list[Phase]:
     """The phases of deficit round-robin over queues of these lengths."""
     left, at, phases, first = list(totals), [0] * len(totals), [], 0
     while sum(left):
-        take = list(left)
-        if shares is not None:
-            live = [i for i, n in enumerate(left) if n and shares[i] > 0]
-            if len(live) > 1:
-                rounds = min(left[i] / shares[i] for i in live)
-                take = [min(left[i], int(rounds * shares[i])) if i in live else 0 for i in range(len(left))]
-                # phases but the last end with a full window and each queue in them serves a token a window
-                take = [n if n * window >= sum(take) else 0 for n in take]
-                take[max(range(len(take)), key=take.__getitem__)] -= min(max(take), sum(take) % window)
-                if sum(take) < window or sum(take) % window or any(0 < n * window < sum(take) for n in take):
-                    take = list(left)
-        if any(0 < n * window < sum(take) for n in take):
-            # the rest of small queues follows one after the other
-            small = [i for i, n in enumerate(take) if 0 < n * window < sum(take)]
-            take = [n if i == small[0] else 0 for i, n in enumerate(take)] if sum(left) == sum(take[i] for i in small) else [0 if i in small else n for i, n in enumerate(take)]
-            cut = sum(take) % window
-            if len(small) > 1 or any(left[i] - take[i] for i in range(len(left))):
-                big = max(range(len(take)), key=take.__getitem__)
-                take[big] -= cut if take[big] > cut else 0
+        take = _mixed(left, shares, window) if shares is not None else None
+        if take is None:
+            # in proportion to what is left; queues below a token a window follow one after the other
+            small = [i for i, n in enumerate(left) if 0 < n * window < sum(left)]
+            large = [0 if i in small else n for i, n in enumerate(left)]
+            if sum(large):
+                take = large
+                if small:
+                    largest = max(range(len(take)), key=take.__getitem__)
+                    cut = sum(take) % window
+                    take[largest] -= cut if (take[largest] - cut) * window >= sum(take) - cut and take[largest] > cut else 0
+            else:
+                take = [n if i == small[0] else 0 for i, n in enumerate(left)]
+            if any(0 < n * window < sum(take) for n in take):
+                take = [n if n == max(take) and i == take.index(max(take)) else 0 for i, n in enumerate(take)]
         before = [0]
         for n in take:
             before.append(before[-1] + n)
@@ -99,26 +108,32 @@ def schedule(totals: list[int], shares: list[float] | None = None, window: int =
 def pieces(phases: list[Phase], ends: list[int], queue: int, start: int, n: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
     """(start in the document, length, window, offset) of a document at start of its queue; ends: of the queue by phase."""
     out = []
-    p = bisect.bisect_right(ends, start)
     at = start
     while at < start + n:
+        p = bisect.bisect_right(ends, at)  # phases in which the queue serves nothing end where they begin
         phase = phases[p]
         local, stop = at - phase.begin[queue], min(start + n, ends[p]) - phase.begin[queue]
-        own = phase.before[queue + 1] - phase.before[queue]
-        r = max(0, local * phase.total // (own * window) - 1)
+        own, total = phase.before[queue + 1] - phase.before[queue], phase.total
+        r = max(0, local * total // (own * window) - 1)
         while r and phase.served(queue, r, window) > local:
             r -= 1
-        lo = phase.served(queue, r, window)
+        # low and high: what earlier queues, without and with this one, have served after r windows
+        low, high = phase.before[queue] * window, phase.before[queue + 1] * window
+        under, over = (phase.before[queue], phase.before[queue + 1]) if r * window >= total else (r * low // total, r * high // total)
         while local < stop:
-            hi = phase.served(queue, r + 1, window)
+            r += 1
+            if r * window >= total:
+                under_next, over_next = phase.before[queue], phase.before[queue + 1]
+            else:
+                under_next, over_next = r * low // total, r * high // total
+            lo, hi = over - under, over_next - under_next
             if hi > local:
-                length = min(hi, stop) - local
-                out.append((at - start, length, phase.first + r, phase.slot(queue, r, window) + local - lo))
+                length = (hi if hi < stop else stop) - local
+                # in a window the queue's tokens follow those of earlier queues
+                out.append((at - start, length, phase.first + r - 1, under_next - under + local - lo))
                 local += length
                 at += length
-            lo = hi
-            r += 1
-        p += 1
+            under, over = under_next, over_next
     return out
 
 
@@ -197,14 +212,18 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     bases = single.select("part", "key", "queue", "base").unionByName(common) if rest else single.select("part", "key", "queue", "base")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(8)]
-        for doc_id, source, n, ids, queue, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        cut_up: list[tuple] = []
+        times, sums = [], []
+        for n, ids, queue, start in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
             wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-            for at, length, sequence, offset in pieces(phases, ends[queue], queue, start, n, window):
-                for c, v in zip(cols, (doc_id, at, length, zlib.crc32(wide[4 * at : 4 * (at + length)]), n, sequence, offset, source), strict=True):
-                    c.append(v)
-        kinds = [pa.int64()] * 7 + [pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            found = pieces(phases, ends[queue], queue, start, n, window)
+            sums += [zlib.crc32(wide[4 * at : 4 * (at + length)]) for at, length, _, _ in found]
+            cut_up += found
+            times.append(len(found))
+        row = pa.array(np.repeat(np.arange(batch.num_rows), times))
+        start, length, sequence, offset = (pa.array(c, pa.int64()) for c in zip(*cut_up, strict=True))
+        doc_id, source, n = (batch.column(i).take(row) for i in (0, 1, 2))
+        return pa.RecordBatch.from_arrays([doc_id, start, length, pa.array(sums, pa.int64()), n, sequence, offset, source], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     located = table.join(bases, ["part", "key"]).select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("run")).alias("start"))
     return arrow_map(located, cut, PIECES)
