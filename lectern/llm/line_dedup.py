@@ -153,7 +153,8 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     near = materialise(degree.join(roots, "node", "left"), "line-near")
     own = lines_of(docs).select("doc_id", "text_key", "line_no", identity(F.col("line")).alias("id"))
-    named = own.join(near, own["id"] == near["node"], "left").select("doc_id", "text_key", "line_no", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # read twice below: written once instead of hashing every line again
+    named = materialise(own.join(near, own["id"] == near["node"], "left").select("doc_id", "text_key", "line_no", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-classes")
     first = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.count("*").alias("class_size"))
     return named.join(first, "class").select(
         "doc_id",
