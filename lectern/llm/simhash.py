@@ -11,6 +11,9 @@ Shards and askers are dealt out in blocks of bounded size, so no group, however
 Within a block further vantage points cut the work by the same bound, and only as many links leave as
 join what is linked there.
 
+`keep_first` can join classes by the Jaccard similarity of whole sets of shingles instead: an exact join by
+the least hashes of each set, in which pairs verify before they link.
+
 Nulls: a null text has no words, fingerprint zero, and links like any other; a null doc_id keeps its row
 and may join others, but is never a component_id unless no other id is reachable (then null). Repeated
 rows give repeated results; an empty table gives none; further columns are not read.
@@ -18,6 +21,7 @@ rows give repeated results; an empty table gives none; further columns are not r
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from typing import Any
@@ -37,6 +41,12 @@ WORDS, DISTANCE, SEED = 4, 4, 42
 TREE_SAMPLE, SHARD, DEPTH = 8192, 8192, 9
 #: Stored fingerprints and askers in one task at most (both about, by hashing).
 BLOCK_POINTS, BLOCK_ASKERS = 16_384, 65_536
+#: Sets of one part of a group; two parts are compared in one task.
+BLOCK_SETS = 2048
+#: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1 << 21
+#: Counts that bound the difference of two sets.
+COUNTS = 128
 #: Pairs compared without further pruning.
 PLAIN = 1 << 18
 
@@ -95,24 +105,30 @@ def xxh64(buffer: bytes, start: np.ndarray, end: np.ndarray, seed: int = SEED) -
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
-    """The SimHash of each text as unsigned 64-bit integers."""
-    out = np.zeros(len(texts), np.uint64)
+def _shingles(texts: list[str], words: int) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the texts that have words, and of these a buffer, the number of shingles; of each shingle its text, start and end."""
     # bytes.split() cuts at exactly the six white-space bytes
     clean = [b" ".join(t.encode("utf-8", "replace").lower().split()) for t in texts]
     which = np.flatnonzero([bool(c) for c in clean])
-    if not len(which):
-        return out
     buffer = b"\n".join([clean[i] for i in which])
     raw = np.frombuffer(buffer, np.uint8)
     gaps = np.flatnonzero((raw == 32) | (raw == 10))
     begin, stop = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
     last = np.concatenate([np.flatnonzero(np.concatenate([raw[gaps] == 10, [True]])) + 1])  # words up to each text's end
-    count = np.diff(last, prepend=0)
+    count = np.diff(last, prepend=0)[: len(which)]
+    last = last[: len(which)]
     shingles = np.maximum(count - words + 1, 1)
     owner = np.repeat(np.arange(len(which)), shingles)
     first = (last - count)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    start, end = begin[first], stop[np.minimum(first + words, last[owner]) - 1]
+    return which, buffer, shingles, owner, begin[first], stop[np.minimum(first + words, last[owner]) - 1]
+
+
+def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
+    """The SimHash of each text as unsigned 64-bit integers."""
+    out = np.zeros(len(texts), np.uint64)
+    which, buffer, shingles, owner, start, end = _shingles(texts, words)
+    if not len(which):
+        return out
     votes = np.zeros((len(which), 64), np.int64)
     step = 1 << 17
     for i in range(0, len(owner), step):
@@ -126,6 +142,16 @@ def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
     return out
 
 
+def sets_of(texts: list[str], words: int) -> list[np.ndarray]:
+    """The XXH64 of each text's shingles, each once, in ascending order of the signed value."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    which, buffer, shingles, _, start, end = _shingles(texts, words)
+    if len(which):
+        for i, own in zip(which, np.split(xxh64(buffer, start, end).view(np.int64), np.cumsum(shingles)[:-1]), strict=True):
+            out[i] = np.unique(own)
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long), text_key (tells texts of one doc_id apart) of every row."""
 
@@ -285,6 +311,96 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.groupBy("leaf", "p", "a").applyInPandas(lambda block: _links_of_block(block, distance), "u long, v long")
 
 
+# ---- similar sets of shingles ----
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp (64 bits that stand for the set), text_key, shingles (sorted), counts (of their low bits, a byte each) of every row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = sets_of([t if t is not None else "" for t in batch.column(1).to_pylist()], words)
+        fp = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in own]
+        counts = [np.minimum(np.bincount(x & (COUNTS - 1), minlength=COUNTS), 255).astype(np.uint8).tobytes() for x in own]
+        ends = np.cumsum([0] + [len(x) for x in own])
+        sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.int64()), batch.column(2), sets, pa.array(counts, pa.binary())], names=["doc_id", "fp", "text_key", "shingles", "counts"])
+
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, fp long, text_key long, shingles array<long>, counts binary")
+
+
+def _joined(size: np.ndarray, counts: np.ndarray, similarity: float, sets: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
+    """Places of pairs that join what all similar pairs join; what is joined isn't compared again. size ascends.
+
+    Two sets differ in at least as many elements as their counts do; without sets this bound alone decides.
+    """
+    label = np.arange(len(size))
+    for i in range(1, len(size)):
+        low = int(np.searchsorted(size[:i], similarity * size[i] - 1e-9))
+        least = np.ceil(similarity / (1 + similarity) * (size[low:i] + size[i]) - 1e-9)
+        can = size[low:i] + size[i] - np.abs(counts[low:i] - counts[i]).sum(axis=1) >= 2 * least
+        for j in low + np.flatnonzero(can):
+            if label[j] != label[i] and (sets is None or len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least[j - low]):
+                label[label == label[i]] = label[j]
+                yield i, j
+
+
+def _edges_of_block(block: pd.DataFrame, similarity: float, whole: bool) -> pd.DataFrame:
+    """Edges within each group (key, p, q) of a block; whole: by the sets themselves, otherwise by the bound."""
+    block = block.sort_values(["key", "p", "q", "size"], kind="stable")
+    group = block[["key", "p", "q"]].to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(block)]])
+    fp, size = block["fp"].to_numpy(), block["size"].to_numpy().astype(np.int64)
+    counts = np.frombuffer(b"".join(block["counts"]), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+    sets = [np.asarray(x, np.int64) for x in block["shingles"]] if whole else None
+    found = [(a + i, a + j) for a, b in zip(cuts, cuts[1:]) for i, j in _joined(size[a:b], counts[a:b], similarity, sets and sets[a:b])]
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": fp[at[:, 0]], "v": fp[at[:, 1]]})
+
+
+def _edges(member: DataFrame, own: DataFrame, similarity: float, whole: bool) -> DataFrame:
+    """Edges (u, v) among the members (key, fp) of each key; own: fp, size, counts, and shingles if whole."""
+    # large groups are dealt out as pairs of parts, small ones share a block
+    parts = member.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    blocks = math.ceil(max(1, member.count()) / (2 * BLOCK_SETS))
+    part = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts"))
+    dealt = member.join(parts, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp").join(own, "fp")
+    block = F.pmod(F.xxhash64("key", "p", "q"), F.lit(blocks)).alias("block")
+    return dealt.groupBy(block).applyInPandas(lambda rows: _edges_of_block(rows, similarity, whole), "u long, v long")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """ids (written before), to be broadcast unless they are many."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that join the sets (fp, shingles, counts) exactly as all pairs with this Jaccard similarity or more do.
+
+    Of two such sets the first n - ceil(similarity * n) + 1 elements in the order of the hash have one in common,
+    so sets meet under these; an element that only one set has meets none. Sets that meet and pass a bound on their
+    counts form groups, and each set travels to its group alone.
+    """
+    size = F.size("shingles")
+    each = sets.select("fp", F.explode(F.slice("shingles", F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))).alias("key"))
+    shared = each.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key")
+    met = materialise(each.join(_small(materialise(shared, "met-keys")), "key").select("key", "fp").distinct(), "met")
+    bounds = sets.select("fp", size.alias("size"), "counts").join(met.select("fp").distinct(), "fp", "left_semi").distinct()
+    near = materialise(components(_edges(met, bounds, similarity, False)), "met-roots")
+    member = near.select(F.col("root").alias("key"), F.col("node").alias("fp")).unionByName(near.select(F.col("root").alias("key"), F.col("root").alias("fp")).distinct())
+    member = materialise(member, "met-groups")
+    own = sets.select("fp", size.alias("size"), "counts", "shingles").join(_small(member.select("fp")), "fp", "left_semi").dropDuplicates(["fp"])
+    return _edges(member, own, similarity, True)
+
+
+def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """As _classes, by the similarity of sets of shingles; equal sets are one node."""
+    sets = materialise(shingle_sets(docs, words), "sets")
+    roots = materialise(components(similar(sets, similarity)), "roots")
+    of = roots.withColumnRenamed("node", "fp")
+    return sets.select("doc_id", "fp", "text_key").join(of, "fp", "left").select("doc_id", "fp", "text_key", F.coalesce("root", "fp").alias("root"))
+
+
 def _classes(docs: DataFrame, words: int, distance: int) -> DataFrame:
     """doc_id, fp, text_key, root (the fingerprint that stands for the class) of every row."""
     prints = materialise(fingerprints(docs, words), "simhash")
@@ -301,9 +417,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return rows.join(ids, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row of each class, with all its columns: that of the least doc_id (null last); of equal rows one stays."""
-    rows = materialise(_classes(docs, words, distance), "classes")
+def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
+    """One row of each class, with all its columns: that of the least doc_id (null last); of equal rows one stays.
+
+    With similarity, classes are joined by the Jaccard similarity of the sets of shingles, and distance isn't read.
+    """
+    rows = materialise(_classes(docs, words, distance) if similarity is None else _similar_classes(docs, words, similarity), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     marked = materialise(rows.join(first, "root").select("doc_id", "text_key", order.eqNullSafe(F.col("first")).alias("stays")).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "marks")

@@ -209,6 +209,36 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def plain_set(text, words=5):
+    own = text.lower().split()
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_stage_keeps_one_of_similar_documents(spark, monkeypatch, block):
+    """The pipeline's stage against all pairs, also with groups in many parts."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(4, 90))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = "new"
+            texts.append(" ".join(own[rng.randrange(3) :]))
+    texts += ["common words in every row of all " + f"{i} " * 40 for i in range(10)]
+    sets = [plain_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in pairs if bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).count("1") > 4]
+    assert len(far) > 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    kept = corpus_pipeline.dedup_documents(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == set(roots(range(len(texts)), pairs).values())
+
+
 def test_components(spark):
     rng = random.Random(6)
     chain = [(i, i + 1) for i in range(40)]
