@@ -238,8 +238,8 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Passages of whole documents for every benchmark item, by the built-in embedder."""
     rows = docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text"), F.col("source").alias("source_type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("filename"))
-    points = ingest.points(rows, vector.HashingEmbedder(64))
-    return search.retrieve(points, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), vector.HashingEmbedder(64)).drop("text")
+    points = ingest.points(rows, vector.HashingEmbedder())
+    return search.retrieve(points, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), vector.HashingEmbedder()).drop("text")
 
 
 @query

@@ -102,3 +102,13 @@ def test_hybrid_search_numbers_passages(spark):
     found = plan.retrieve(points, questions, vector.HashingEmbedder(64)).orderBy("chunk_id").collect()
     assert [r["chunk_id"] for r in found] == list(range(1, len(found) + 1))
     assert "p1" in {r["document_id"] for r in found}
+
+
+def test_hybrid_search_query_has_the_default_dimensions(spark, data, monkeypatch):
+    from lectern.plans import queries, search as plan
+
+    seen = []
+    retrieve = plan.retrieve
+    monkeypatch.setattr(plan, "retrieve", lambda points, questions, embedder: seen.append(embedder.dim) or retrieve(points, questions, embedder))
+    assert queries.QUERIES["hybrid_search"](spark, data).columns
+    assert seen == [vector.HashingEmbedder().dim]
