@@ -2,7 +2,8 @@
 
 A text that is short enough is one chunk. Otherwise it is cut at the coarsest separator of SEPARATORS and the pieces
 are packed greedily; a full chunk is followed by one that begins with the tail of the last, from a word's beginning; a
-piece that alone is too long goes to the next finer separator, at last to windows of single characters.
+piece that alone is too long goes to the next finer separator, at last to windows of single characters. So no word is cut
+where the overlap, a separator and the longest word fit into one chunk; a longer word beside a whole overlap is.
 """
 
 from __future__ import annotations
