@@ -2,7 +2,8 @@
 
 The pre-splitting pattern never lets a match run from a non-space into a following space, so a text may be
 cut there and the pieces encoded one by one with the same ids as the whole. Where single blanks separate the words, they are the cuts. Most pieces are words that
-come again, and a dictionary look-up replaces the merge loop.
+come again, and a dictionary look-up replaces the merge loop. Added tokens of the vocabulary (`<|endoftext|>`) are taken wherever a text
+holds them, as the library does by default: such a text goes to it whole.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
+        # no text that holds one is cut
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # bytes of each token: the byte-level alphabet writes every byte as one character
         self.lengths = np.zeros(1 << 16, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -81,7 +83,7 @@ class PieceEncoder:
             self.after.clear()
         first, rest, pieces = [], [], []
         for t in texts:
-            if UNUSUAL_SPACE.search(t):
+            if UNUSUAL_SPACE.search(t) or any(a in t for a in self.added):
                 pieces.append([t])
             elif uneven(t):
                 pieces.append(PIECE.findall(t))

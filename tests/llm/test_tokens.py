@@ -22,9 +22,7 @@ def texts(seed, n=400):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_vocabulary())
 
 
 def test_remembered_pieces_give_the_ids_of_whole_texts(library, monkeypatch):
@@ -37,6 +35,17 @@ def test_remembered_pieces_give_the_ids_of_whole_texts(library, monkeypatch):
             assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts(library):
+    end, e = "<|endoftext|>", tokens.PieceEncoder(tokens.default_vocabulary())
+    own = [end, f"a {end} b", f"{end} a", f"a {end}", f"word{end}word", f"a\xa0{end}\u3000b", f"  {end}\t{end}", f"<|endof {end}text|>", "<|endoftext |>", f"a {end[:-1]}", "x" * 100 + end]
+    for t, got in zip(own, e.encode(own), strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u2").tolist() == ids
+        assert (50256 in ids) == (end in t)
+    # what was remembered before is right after such texts too
+    assert np.frombuffer(e.encode(["a b"])[0], "<u2").tolist() == library.encode("a b", add_special_tokens=False).ids
+
+
 def test_safe_pieces_and_raw_bytes(monkeypatch):
     c = bpe_codec.codec(*bpe_codec.default_ranks())
     monkeypatch.setattr(bpe_codec, "LONG_TEXT", 7)
