@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot when it holds over one in HOT rows, so at most HOT keys are.
+HOT = 512
 
 #: Rows in an Arrow batch handed to Python. Texts are long, so batches are short.
 ARROW_ROWS = 512
@@ -23,13 +28,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application inside the one that spark.checkpoint.dir names.
 
-    Driver and executors both reach it. Only where the setting is absent (tests, local mode)
-    a temporary folder of this machine is taken. The folder goes when the driver exits.
+    Driver and executors both reach it. Only in local mode may the setting be absent: a temporary folder of this
+    machine is taken then. The folder goes when the driver exits.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _dirs:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         path = f"{base.rstrip('/')}/lectern-{sc.applicationId}"
         _dirs[sc.applicationId] = path
@@ -71,6 +78,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, spread: list[str | Column], how: str = "inner") -> DataFrame:
+    """rows joined by key with facts, which hold one row for each key and in `size` how many of the `total` rows have it.
+
+    The rows of a hot key are dealt out over many tasks by a hash of the columns `spread`, and its facts are repeated for
+    each part. Only the list of hot keys is broadcast, HOT at most. facts are read twice, so they should be written before.
+    """
+    share = max(1, total // HOT)
+    parts = F.ceil(F.col(size) / share)
+    hot = facts.filter(F.col(size) > share).select(key, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("__parts")))).drop("__parts")
+    each = facts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))).drop(size)
+    return dealt.join(each, [key, "__part"], how).drop("__part")
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):  # noqa: ANN201
+    """A session setting for the time of the block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow batch by batch with short batches; fn may return None for no rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
-Every step is a pre-aggregated minimum by node and a join on the node; no node's neighbours are gathered,
-so a hub costs no more than its edges. Each round is written to the shared folder, where a lost executor's
+Every step is a pre-aggregated minimum by node and a join on the node; no node's neighbours are gathered, and
+a hub's edges are dealt out over many tasks. Each round is written to the shared folder, where a lost executor's
 work survives. The rounds end when every edge points at a node that points at none.
 """
 
@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import join_facts, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_facts(both, low, "u", "n", 2 * n, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_facts(down, low, "u", "n", n, ["v"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return low.select("u", F.col("m").alias("v")).unionByName(moved)
 
 
@@ -42,7 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         if state["n"] == state["d"] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        now = materialise(_small_star(_large_star(now)).distinct(), "edges")
+        now = materialise(_small_star(_large_star(now, state["n"]), state["n"]).distinct(), "edges")
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
