@@ -14,6 +14,7 @@ further columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,8 @@ BATCH_BYTES = 64 << 30
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
+    # replace searches bytes; translate would look every character up
+    return functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), " \t\n\x0b\x0c\r", F.coalesce(text, F.lit("")))
 
 
 def sha256(text: Column) -> Column:
