@@ -40,7 +40,7 @@ LETTERS = "etaoinshrdlucmfw" + "gypbvk,. jxqzäéñ"
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no (from 0), line: all lines but blank ones. text_key tells texts of one doc_id apart."""
     each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.filter(F.length(F.translate("line", " \t\r\x0b\x0c", "")) > 0)
+    return each.filter(F.col("line").rlike("[^ \\t\\r\\x0B\\f]"))
 
 
 def identity(line: Column) -> Column:
@@ -81,7 +81,7 @@ def shared_keys(distinct: DataFrame, tau: int = TAU) -> DataFrame:
 def letter_counts(line: Column, letters: str) -> Column:
     """The counts of sixteen characters, four bits each, in one long."""
     n = F.length(line)
-    packed = [F.shiftleft(((n - F.length(F.translate(line, c, ""))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
+    packed = [F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long"), 4 * i) for i, c in enumerate(letters)]
     return functools.reduce(lambda x, y: x.bitwiseOR(y), packed)
 
 
