@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import materialise, new_path
+from lectern.llm.common import join_facts, materialise, new_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -108,13 +108,17 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of the Parquet table at path."""
     groups = fold(spark, path, digest, checkpoint, batch_bytes)
     table = spark.read.parquet(path)
+    n = table.count()
+    by_row = ["rank"]
     # full bytes on hits
     hits = groups.filter("group_size > 1")
-    members = materialise(_keyed(table, digest, F.col("doc_id"), normalised(F.col("text")).alias("norm")).join(hits, "digest"), "dedup-hits")
-    kept = members.filter("rank = best").select("digest", F.col("norm").alias("keep_norm"))
-    clashing = materialise(members.join(kept, "digest").filter("norm != keep_norm").select("digest").distinct(), "dedup-clashes")
+    members = materialise(join_facts(_keyed(table, digest, F.col("doc_id"), normalised(F.col("text")).alias("norm")), hits.withColumn("n", F.col("group_size")), "digest", "n", n, by_row), "dedup-hits")
+    kept = members.filter("rank = best").select("digest", F.col("norm").alias("keep_norm"), F.col("group_size").alias("n"))
+    clashing = join_facts(members.select("digest", "rank", "norm"), kept, "digest", "n", n, by_row).filter("norm != keep_norm")
+    clashing = materialise(clashing.groupBy("digest").agg(F.count("*").alias("n")).select("digest"), "dedup-clashes")
     rows = _keyed(table, digest, F.col("doc_id"), sha256(normalised(F.col("text"))).alias("text_sha256"))
-    plain = rows.join(groups, "digest").join(clashing, "digest", "left_anti")
+    sound = groups.withColumn("n", F.col("group_size")).join(clashing, "digest", "left_anti")
+    plain = join_facts(rows, sound, "digest", "n", n, by_row)
     # rows of different texts under one digest: by their bytes
     apart = members.drop("best", "group_size").join(clashing, "digest", "left_semi")
     again = apart.groupBy("digest", "norm").agg(F.max("rank").alias("best"), F.count("*").alias("group_size"))
