@@ -4,7 +4,10 @@ Two lines are near copies when their edit distance is at most TAU (2) and the lo
 similarity of 0.8 or more; shorter lines are copies only when equal. Distinct lines are cut into TAU + 1 even segments, of
 which at least one survives TAU edits unharmed. Each line is indexed by (length, segment number, segment)
 and probes the indexes of its own and the TAU lengths below at the few places where the segment can lie (the
-multi-match-aware windows). Keys that only one line has are dropped before any text is fetched. Pairs under a
+multi-match-aware windows). Keys that only one line has are dropped before any text is fetched. A key that over
+CROWD lines have (a segment of a template) is no work for pairs: of two lines within TAU edits that share a segment the
+rests are within TAU edits as well, so the rests are cut into TAU + 1 segments in turn and meet under the pair of segments,
+DEPTH times at most; what is crowded then is dealt out in blocks. Pairs under a
 key pass an exact bound on letter counts and then a banded bit-parallel automaton: one bit for each diagonal of the band,
 one word for each number of errors. Classes are connected components of the links; of each class the line first by
 (doc_id, line number) stays.
@@ -25,11 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import fresh, materialise
+from lectern.llm.common import HOT, fresh, join_facts, materialise
 from lectern.llm.components import components
 
 TAU, LEAST = 2, 10
 
+#: Lines under a key that are compared pair by pair; more are told apart by a further segment, so many times.
+CROWD, DEPTH = 2048, 3
+
+#: Documents whose keys tell which keys are hot, about, and the parts that a hot key's lines are dealt out in.
+PROBE_DOCS, HOT_PARTS = 2048, 64
+
 #: Line ids that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1 << 21
 
@@ -55,8 +64,8 @@ def segment(length: Column, i: int, tau: int = TAU) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), F.lit(i) - first), base + F.when(F.lit(i) >= first, 1).otherwise(0)
 
 
-def keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    """Array of (key, indexed): where the line is indexed (indexed is true) and what it probes."""
+def keys(line: Column, length: Column, tau: int = TAU, rest: bool = False) -> Column:
+    """Array of (key, indexed): where the line is indexed (indexed is true) and what it probes; with rest also the line without the segment."""
     out = []
     for shorter in range(tau + 1):
         other = length - shorter
@@ -65,17 +74,61 @@ def keys(line: Column, length: Column, tau: int = TAU) -> Column:
             low, high = max(-i, shorter - (tau - i)), min(i, shorter + (tau - i))
             for shift in range(low, high + 1):
                 text = F.substr(line, (at + 1 + shift).cast("int"), size.cast("int"))
-                out.append(F.struct(F.xxhash64(F.lit(i), other, text).alias("key"), F.lit(shorter == 0 and shift == 0).alias("indexed")))
+                parts = [F.xxhash64(F.lit(i), other, text).alias("key"), F.lit(shorter == 0 and shift == 0).alias("indexed")]
+                if rest:
+                    parts.append(F.concat(F.substr(line, F.lit(1), (at + shift).cast("int")), F.substr(line, (at + 1 + shift + size).cast("int"))).alias("rest"))
+                out.append(F.struct(*parts))
     return F.array(*out)
 
 
-def shared_keys(distinct: DataFrame, tau: int = TAU) -> DataFrame:
-    """key, id, indexed for keys that different lines have, one of them indexed. distinct: line."""
-    rows = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= LEAST - tau)
-    each = rows.select("id", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("k")).select("id", "k.key", "k.indexed")
-    by_key = Window.partitionBy("key")
-    seen = each.select("key", "id", "indexed", F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high"), F.max("indexed").over(by_key).alias("any"))
-    return seen.filter("low <> high AND any").select("key", "id", "indexed")
+def hot_keys(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """Keys that over one in HOT lines of a few documents have, several lines and one of them indexed. HOT keys of each kind at most.
+
+    What is found changes how the work is dealt out, not the result.
+    """
+    every = max(1, docs.count() // PROBE_DOCS)
+    probe = lines_of(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).select("line").distinct()
+    rows = probe.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= LEAST - tau)
+    each = rows.select("id", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("k"))
+    seen = each.groupBy("k.key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("k.indexed").alias("any"), F.count("*").alias("n"))
+    seen = materialise(seen.filter("low <> high AND any AND n > 8").select("key", "n"), "line-probe")
+    return seen.filter(F.col("n") * HOT > probe.count()).select("key")
+
+
+def shared_keys(each: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """The rows of each (key, id, indexed) whose key different lines have, one of them indexed, with their number as crowd.
+
+    The lines of keys in hot, known to be shared and taken as crowded, are dealt out in parts.
+    """
+    part = F.lit(0).cast("long")
+    if hot is not None:
+        each = each.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+        part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).otherwise(part)
+    by_key = Window.partitionBy("key", "part")
+    seen = each.withColumn("part", part).withColumns({"low": F.min("id").over(by_key), "high": F.max("id").over(by_key), "any": F.max("indexed").over(by_key), "crowd": F.count("*").over(by_key)})
+    shared = F.col("low") != F.col("high")
+    if hot is None:
+        return seen.filter(shared & F.col("any")).drop("part", "low", "high", "any")
+    seen = seen.filter(F.col("hot") | (shared & F.col("any"))).withColumn("crowd", F.when(F.col("hot"), CROWD + 1).otherwise(F.col("crowd")))
+    return seen.drop("part", "low", "high", "any", "hot")
+
+
+def told_apart(crowded: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """key, id, indexed, crowd under which the lines of crowded keys meet instead: by further segments of what a segment leaves."""
+    whole = crowded.select("key", "id", "indexed").distinct().join(texts.select("id", "line", "n"), "id")
+    each = whole.select("key", "id", "indexed", F.explode(keys(F.col("line"), F.col("n"), tau, rest=True)).alias("k"))
+    rests = each.filter("k.key = key AND k.indexed = indexed").select("key", "id", "indexed", "k.rest")
+    done = []
+    for depth in range(DEPTH):
+        under = rests.select("key", "id", "indexed", F.explode(keys(F.col("rest"), F.length("rest"), tau, rest=True)).alias("k"))
+        under = under.select(F.xxhash64("key", "k.key").alias("key"), "id", (F.col("indexed") & F.col("k.indexed")).alias("indexed"), "k.rest")
+        seen = materialise(shared_keys(under), "line-rests")
+        rests = seen.filter(F.col("crowd") > CROWD)
+        if depth == DEPTH - 1 or rests.isEmpty():
+            done.append(seen)
+            break
+        done.append(seen.filter(F.col("crowd") <= CROWD))
+    return functools.reduce(DataFrame.unionByName, [d.select("key", "id", "indexed", "crowd") for d in done])
 
 
 def letter_counts(line: Column, letters: str) -> Column:
@@ -127,22 +180,32 @@ def within(a: str, b: str, tau: int = TAU) -> Column:
 def links(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """u, v: identities of near lines, each link once."""
     distinct = lines_of(docs).groupBy("line").agg(F.count("*").alias("n")).select("line")
-    shared = materialise(shared_keys(distinct, tau), "line-keys")
+    rows = distinct.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= LEAST - tau)
+    each = rows.select("id", F.explode(keys(F.col("line"), F.col("n"), tau)).alias("k")).select("id", "k.key", "k.indexed")
+    hot = hot_keys(docs, tau)
+    shared = materialise(shared_keys(each, None if hot.isEmpty() else hot), "line-keys")
     ids = shared.select("id").distinct()
     if shared.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = lines_of(docs).select("line").withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").groupBy("id", "line").agg(F.count("*").alias("n"))
     texts = materialise(texts.select("id", "line", F.length("line").alias("n"), letter_counts(F.col("line"), LETTERS[:16]).alias("c1"), letter_counts(F.col("line"), LETTERS[16:]).alias("c2")), "line-texts")
+    crowded = shared.filter(F.col("crowd") > CROWD)
+    if not crowded.isEmpty():
+        shared = shared.filter(F.col("crowd") <= CROWD).unionByName(told_apart(crowded, texts, tau))
     full = shared.join(texts, "id")
-    left = full.filter("indexed").select("key", *[F.col(c).alias("l_" + c) for c in ("line", "n", "c1", "c2")])
-    right = full.select("key", *[F.col(c).alias("r_" + c) for c in ("line", "n", "c1", "c2")])
+    # a key that is still crowded is dealt out as pairs of parts
+    parts = F.ceil(F.col("crowd") / CROWD)
+    own, other = F.pmod(F.xxhash64(F.lit("part"), "id"), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    left = full.filter("indexed").select("key", own.alias("part"), other.alias("other"), *[F.col(c).alias("l_" + c) for c in ("line", "n", "c1", "c2")])
+    right = full.select(F.col("key").alias("r_key"), own.alias("r_part"), other.alias("r_other"), *[F.col(c).alias("r_" + c) for c in ("line", "n", "c1", "c2")])
     close = (
         (F.col("r_n") - F.col("l_n")).between(0, tau)
         & (F.col("r_n") >= LEAST)
         & ((F.col("r_n") > F.col("l_n")) | (F.col("l_line") < F.col("r_line")))
         & (unlike(F.col("l_c1"), F.col("r_c1")) + unlike(F.col("l_c2"), F.col("r_c2")) <= 2 * tau)
     )
-    pairs = left.join(right, (left["key"] == right["key"]) & F.when(close, within("l_line", "r_line", tau)).otherwise(False))
+    meet = (F.col("key") == F.col("r_key")) & (F.col("part") == F.col("r_other")) & (F.col("other") == F.col("r_part"))
+    pairs = left.join(right, meet & F.when(close, within("l_line", "r_line", tau)).otherwise(False))
     return pairs.select(identity(F.col("l_line")).alias("u"), identity(F.col("r_line")).alias("v")).distinct()
 
 
@@ -153,17 +216,20 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     near = materialise(degree.join(roots, "node", "left"), "line-near")
     own = lines_of(docs).select("doc_id", "text_key", "line_no", identity(F.col("line")).alias("id"))
-    # read twice below: written once instead of hashing every line again
+    # read three times below: written once instead of hashing every line again
     named = materialise(own.join(near, own["id"] == near["node"], "left").select("doc_id", "text_key", "line_no", F.coalesce("root", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-classes")
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.count("*").alias("class_size"))
-    return named.join(first, "class").select(
+    line = F.struct("doc_id", "text_key", "line_no")
+    first = named.groupBy("class").agg(F.min(line).alias("first"), F.count("*").alias("class_size")).filter("class_size > 1")
+    first = materialise(first.withColumn("n", F.col("class_size")), "line-first")
+    known = join_facts(named, first, "class", "n", named.count(), ["doc_id", "text_key", "line_no"], "left")
+    return known.select(
         "doc_id",
         "line_no",
-        F.col("first.doc_id").alias("class_doc_id"),
-        F.col("first.line_no").alias("class_line_no"),
-        "class_size",
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
+        F.coalesce("first.line_no", "line_no").alias("class_line_no"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"),
         "n_links",
-        F.struct("doc_id", "text_key", "line_no").eqNullSafe(F.col("first")).alias("kept"),
+        (F.col("first").isNull() | line.eqNullSafe(F.col("first"))).alias("kept"),
         "text_key",
     )
 

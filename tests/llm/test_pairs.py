@@ -88,6 +88,27 @@ def test_lines_against_all_pairs(spark):
     assert got == {(d, n): (*first[of[x]], links[x], first[of[x]] == (d, n)) for d, n, x in occ}
 
 
+@pytest.mark.parametrize(("crowd", "depth"), [(3, 1), (3, 3), (40, 2)])
+def test_crowded_segments_lose_no_link(spark, monkeypatch, crowd, depth):
+    """Lines of a template, which share a segment that says nothing, against all pairs."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "DEPTH", depth)
+    monkeypatch.setattr(line_dedup, "HOT_PARTS", 3)
+    rng = random.Random(12)
+    lines = set()
+    for _ in range(30):
+        base = "the same beginning of them all: " + "".join(rng.choice("abcdef") for _ in range(rng.randrange(12)))
+        lines |= {edited(rng, base, rng.randrange(3)) for _ in range(4)}
+    lines |= {"a" * n for n in range(9, 16)} | {edited(rng, "aaaaaaaaaaaa", 1) for _ in range(12)}
+    lines = sorted(x.replace("\n", "") for x in lines)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert not line_dedup.hot_keys(docs).isEmpty()
+    pairs = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if max(len(a), len(b)) >= 10 and distance(a, b) <= 2}
+    name = {r["id"]: r["line"] for r in docs.select(line_dedup.identity(F.col("text")).alias("id"), F.col("text").alias("line")).collect()}
+    found = [tuple(sorted((name[r["u"]], name[r["v"]]))) for r in line_dedup.links(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs
+
+
 def test_awkward_lines(spark):
     docs = spark.createDataFrame(AWKWARD, DOC).withColumn("__doc", F.lit(1))
     out = line_dedup.drop_lines(docs)
@@ -239,6 +260,17 @@ def test_stage_keeps_one_of_similar_documents(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept} == set(roots(range(len(texts)), pairs).values())
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_meet_their_facts_in_parts(spark, monkeypatch, how):
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    rows = spark.createDataFrame([(i, 1 if i < 60 else i) for i in range(100)], "i int, k int")
+    facts = spark.createDataFrame([(1, 60, "hot")] + [(k, 1, "one") for k in range(60, 99)], "k int, n long, fact string")
+    got = sorted((r["i"], r["fact"]) for r in common.join_facts(rows, facts, "k", "n", 100, ["i"], how).collect())
+    assert got == [(i, "hot" if i < 60 else "one") for i in range(99)] + ([(99, None)] if how == "left" else [])
+
+
 def test_components(spark):
     rng = random.Random(6)
     chain = [(i, i + 1) for i in range(40)]
