@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_map, fresh, materialise
+from lectern.llm.common import arrow_map, fresh, join_facts, materialise
 from lectern.llm.components import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
@@ -299,8 +299,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # at most 2 ** DEPTH rows
     sizes = routed.groupBy("leaf").agg(F.count_if(~F.col("asks")).alias("points"), F.count_if(F.col("asks")).alias("askers"))
     sizes = sizes.select("leaf", F.ceil(F.col("points") / BLOCK_POINTS).alias("pb"), F.ceil(F.col("askers") / BLOCK_ASKERS).alias("ab"))
-    mixed = F.abs(F.xxhash64("fp", F.lit(1)))
-    own = F.when(F.col("asks"), mixed % F.greatest("ab", F.lit(1))).otherwise(mixed % F.greatest("pb", F.lit(1)))
+    mixed = F.xxhash64("fp", F.lit(1))
+    own = F.when(F.col("asks"), F.pmod(mixed, F.greatest("ab", F.lit(1)))).otherwise(F.pmod(mixed, F.greatest("pb", F.lit(1))))
     other = F.when(F.col("asks"), F.col("pb")).otherwise(F.col("ab"))
     dealt = (
         routed.join(F.broadcast(sizes), "leaf")
@@ -360,10 +360,11 @@ def _edges_of_block(block: pd.DataFrame, similarity: float, whole: bool) -> pd.D
 def _edges(member: DataFrame, own: DataFrame, similarity: float, whole: bool) -> DataFrame:
     """Edges (u, v) among the members (key, fp) of each key; own: fp, size, counts, and shingles if whole."""
     # large groups are dealt out as pairs of parts, small ones share a block
-    parts = member.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
-    blocks = math.ceil(max(1, member.count()) / (2 * BLOCK_SETS))
+    n = member.count()
+    parts = member.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"), F.count("*").alias("n"))
+    blocks = math.ceil(max(1, n) / (2 * BLOCK_SETS))
     part = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts"))
-    dealt = member.join(parts, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = join_facts(member, parts, "key", "n", n, ["fp"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "fp").join(own, "fp")
     block = F.pmod(F.xxhash64("key", "p", "q"), F.lit(blocks)).alias("block")
     return dealt.groupBy(block).applyInPandas(lambda rows: _edges_of_block(rows, similarity, whole), "u long, v long")
@@ -393,28 +394,30 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     return _edges(member, own, similarity, True)
 
 
+def _named(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, fp, text_key, root (the fingerprint that stands for the class) of every row of prints."""
+    known = prints.groupBy("fp").agg(F.count("*").alias("n")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    facts = materialise(known.select("fp", F.coalesce("root", "fp").alias("root"), "n"), "fingerprints")
+    return materialise(join_facts(prints, facts, "fp", "n", prints.count(), ["doc_id", "text_key"]).select("doc_id", "fp", "text_key", "root"), "classes")
+
+
 def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """As _classes, by the similarity of sets of shingles; equal sets are one node."""
     sets = materialise(shingle_sets(docs, words), "sets")
-    roots = materialise(components(similar(sets, similarity)), "roots")
-    of = roots.withColumnRenamed("node", "fp")
-    return sets.select("doc_id", "fp", "text_key").join(of, "fp", "left").select("doc_id", "fp", "text_key", F.coalesce("root", "fp").alias("root"))
+    return _named(sets.select("doc_id", "fp", "text_key"), materialise(components(similar(sets, similarity)), "roots"))
 
 
 def _classes(docs: DataFrame, words: int, distance: int) -> DataFrame:
-    """doc_id, fp, text_key, root (the fingerprint that stands for the class) of every row."""
     prints = materialise(fingerprints(docs, words), "simhash")
     distinct = materialise(prints.select("fp").distinct(), "distinct")
-    roots = materialise(components(links(distinct, distance)), "roots")
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return prints.join(of, "fp").select("doc_id", "fp", "text_key", "root")
+    return _named(prints, materialise(components(links(distinct, distance)), "roots"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row."""
     rows = _classes(docs, words, distance)
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "components")
+    return join_facts(rows, ids, "root", "n", rows.count(), ["doc_id", "text_key"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
@@ -422,10 +425,10 @@ def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, si
 
     With similarity, classes are joined by the Jaccard similarity of the sets of shingles, and distance isn't read.
     """
-    rows = materialise(_classes(docs, words, distance) if similarity is None else _similar_classes(docs, words, similarity), "classes")
+    rows = _classes(docs, words, distance) if similarity is None else _similar_classes(docs, words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = rows.groupBy("root").agg(F.min(order).alias("first"))
-    marked = materialise(rows.join(first, "root").select("doc_id", "text_key", order.eqNullSafe(F.col("first")).alias("stays")).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "marks")
+    first = materialise(rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first")
+    marked = materialise(join_facts(rows, first, "root", "n", rows.count(), ["doc_id", "text_key"]).select("doc_id", "text_key", order.eqNullSafe(F.col("first")).alias("stays")).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "marks")
     doc, key = fresh(docs, "__doc"), fresh(docs, "__text")
     same = F.col("d.doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("d.text") == F.col(key))
     pick = lambda condition: marked.filter(condition).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
