@@ -1,75 +1,28 @@
-"""What the corpus operators share: the shared folder, materialised tables, Arrow maps."""
+"""What the corpus operators share: reading, joins that split hot keys, Arrow maps."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.storage import materialise, new_path, remove, shared_dir
+
+__all__ = ["ARROW_ROWS", "HOT", "arrow_map", "fresh", "join_facts", "materialise", "new_path", "null_as_empty", "read_table", "remove", "setting", "shared_dir"]
+
 #: A key is hot when it holds over one in HOT rows, so at most HOT keys are.
 HOT = 512
 
 #: Rows in an Arrow batch handed to Python. Texts are long, so batches are short.
 ARROW_ROWS = 512
 
-_dirs: dict[str, str] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application inside the one that spark.checkpoint.dir names.
-
-    Driver and executors both reach it. Only in local mode may the setting be absent: a temporary folder of this
-    machine is taken then. The folder goes when the driver exits.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _dirs:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        path = f"{base.rstrip('/')}/lectern-{sc.applicationId}"
-        _dirs[sc.applicationId] = path
-        atexit.register(_remove, spark, path)
-    return _dirs[sc.applicationId]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder that no later step reads."""
-    _remove(spark, path)
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -104,7 +57,10 @@ def setting(spark: SparkSession, name: str, value: str):  # noqa: ANN201
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow batch by batch with short batches; fn may return None for no rows."""
+    """mapInArrow batch by batch with short batches; fn may return None for no rows.
+
+    The length of batches is a session setting that counts when the plan runs, so it stays set.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
