@@ -72,29 +72,60 @@ SELECT doc_id,
 FROM n
 """
 
-OP5_SQL = r"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""".replace("'", "''")
+    return " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3))
+
+
+def _without_dots(path: str) -> str:
+    kept = f"list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda done, x: CASE x[1] WHEN '..' THEN done[1:greatest(len(done) - 1, 1)] WHEN '.' THEN done ELSE list_concat(done, x) END)"
+    return f"(array_to_string({kept}, '/') || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END)"
+
+
+def _tags(name: str) -> str:
+    return rf"""regexp_extract_all(html, '(?is)<{name}\b(?:[^>"'']+|"[^"]*"|''[^'']*'')*>')"""
+
+
+_REFRESH = url_filter.REFRESH.replace("'", "''")
+OP5_SQL = rf"""
 WITH RECURSIVE raw AS (
-  SELECT page_id, url, html FROM pages
-), found AS (
-  SELECT url AS from_url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS to_url FROM raw
-  UNION ALL
-  SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1) FROM raw
+  SELECT page_id, url, coalesce(html, '') AS html FROM pages
+), links AS (
+  SELECT url, unnest({_tags("link")}) AS tag FROM raw
+), metas AS (
+  SELECT url, unnest({_tags("meta")}) AS tag FROM raw
+), targets AS (
+  SELECT url, {_attribute("tag", "href")} AS t FROM links WHERE list_contains(regexp_split_to_array(lower({_attribute("tag", "rel")}), '\s+'), 'canonical')
   UNION ALL
-  SELECT url, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[\d.]*\s*[;,]\s*(?:url\s*=\s*)?([^"''\s>]+)', 1) FROM raw
+  SELECT url, {" || ".join(f"regexp_extract({_attribute('tag', 'content')}, '{_REFRESH}', {i})" for i in (1, 2, 3))} FROM metas
+  WHERE list_contains(regexp_split_to_array(lower({_attribute("tag", "http-equiv")}), '\s+'), 'refresh')
+), clean AS (
+  SELECT url, replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '&amp;', '&') AS t FROM targets
+), cut_up AS (
+  SELECT url AS from_url, t, regexp_extract(t, '(?s)^[^?#]*') AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme,
+         regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS site, regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS base FROM clean
+), resolved AS (
+  SELECT *, regexp_extract(own, '(?is)^(https?://[^/]*)', 1) AS full_site, regexp_extract(own, '(?is)^https?://[^/]*(.*)$', 1) AS full_path, regexp_extract(own, '(?s)^//[^/]*') AS near_site,
+         regexp_extract(own, '(?s)^//[^/]*(.*)$', 1) AS near_path, CASE WHEN base = '' THEN '/' ELSE regexp_extract(base, '(?s)^(.*/)', 1) END || own AS joined FROM cut_up
 ), whole AS (
-  SELECT from_url, CASE WHEN contains(to_url, '://') THEN to_url WHEN starts_with(to_url, '//') THEN 'http:' || to_url
-                        WHEN starts_with(to_url, '/') THEN regexp_extract(from_url, '^[^/?#]*://[^/?#]*') || to_url END AS to_url
-  FROM found WHERE to_url <> ''
+  SELECT from_url, CASE WHEN full_site <> '' THEN full_site || {_without_dots("full_path")} || rest
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR scheme = '' OR t = '' OR starts_with(t, '#') THEN NULL
+    WHEN starts_with(own, '//') THEN scheme || ':' || near_site || {_without_dots("near_path")} || rest
+    WHEN starts_with(own, '/') THEN site || {_without_dots("own")} || rest
+    WHEN own = '' THEN site || base || rest
+    ELSE site || {_without_dots("joined")} || rest END AS to_url FROM resolved
 ), urls AS (
   SELECT url FROM raw UNION SELECT from_url FROM whole UNION SELECT to_url FROM whole
 ), parts AS (
-  SELECT url, regexp_extract(url, '://(.*)$', 1) AS rest FROM urls WHERE url IS NOT NULL
+  SELECT url, regexp_extract(url, '(?s)^.*?://(.*)$', 1) AS rest FROM urls WHERE url IS NOT NULL
 ), cut AS (
   SELECT url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query, rest
   FROM parts
 ), ruled AS (
-  SELECT url, host, path, host || tail AS node,
+  SELECT url, host, path, CASE WHEN rest <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node,
          CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
               WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
               WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
@@ -102,12 +133,13 @@ WITH RECURSIVE raw AS (
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
   FROM cut
 ), edges AS (
-  SELECT a.node AS u, b.node AS v FROM whole JOIN ruled a ON a.url = from_url JOIN ruled b ON b.url = to_url
+  SELECT a.node AS u, b.node AS v FROM whole JOIN ruled a ON a.url = from_url JOIN ruled b ON b.url = to_url WHERE a.node IS NOT NULL AND b.node IS NOT NULL
 ), both_ways AS (
   SELECT u, v FROM edges UNION SELECT v, u FROM edges
 ), reach AS (
   SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u
 ), tainted AS (
+  -- rules of URLs that are the end of an edge
   SELECT DISTINCT u AS node FROM reach JOIN ruled ON ruled.node = v WHERE rule IN ('com/en/', 'example.net/de/8', 'org/es/')
 )
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,

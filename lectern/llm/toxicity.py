@@ -5,7 +5,8 @@ theta_0 < theta_1 < ...; the expected severity is the sum of these probabilities
 distinct words of the whole lower-cased text, each with its first four and first five characters,
 hashed; f is the sum of their weights, so scoring a text is a sum over its distinct words.
 
-The model is fitted on a bounded sample: the SAMPLE labelled documents of the least hash of doc_id. Where the
+The model is fitted on a bounded sample: the SAMPLE labelled documents of the least hash of doc_id, as many of them as hold
+SAMPLE_FEATURES features together; of documents with one doc_id the least text teaches. Where the
 label is binary, grades come from the sample itself: 0 for clean documents; toxic ones get 1 to GRADES - 1 by
 quantiles of the number of their distinct words that mark toxic documents there.
 A document is toxic when a grade above 0 is likelier than not.
@@ -23,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ARROW_ROWS, arrow_map, null_as_empty
+from lectern.llm.common import ARROW_ROWS, arrow_map, materialise, null_as_empty
 
 SAMPLE, GRADES = 6000, 4
+#: Features of the sample, of four bytes each: what the driver holds at most.
+SAMPLE_FEATURES = 8_000_000
 BUCKETS = 1 << 20
 LEAST, L1, ROUNDS, RATE, START, CHI = 8, 1e-5, 600, 0.5, 1e-4, 12.0
 WORD = re.compile(r"\w+")
@@ -76,6 +79,25 @@ class Model:
         return _sigmoid(f[:, None] - self.thetas[None, :])
 
 
+def thresholds(cut: np.ndarray) -> np.ndarray:
+    """Ascending thresholds from the first one and the logarithms of the steps."""
+    return cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
+
+
+def likelihood(f: np.ndarray, grades: np.ndarray, cut: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood of the grades, and its gradients by f and by cut."""
+    n, top = len(grades), len(cut)
+    edge = np.concatenate([[-np.inf], thresholds(cut), [np.inf]])
+    below, above = _sigmoid(edge[grades] - f), _sigmoid(edge[grades + 1] - f)
+    below, above = np.where(grades == 0, 0, below), np.where(grades == top, 1, above)
+    p = np.maximum(above - below, 1e-9)
+    d_above, d_below = above * (1 - above) / p, below * (1 - below) / p
+    grad_f = (1 - above - below) / n  # it doesn't vanish far from the thresholds
+    d_theta = np.bincount(grades[grades > 0] - 1, weights=d_below[grades > 0], minlength=top) - np.bincount(grades[grades < top], weights=d_above[grades < top], minlength=top)
+    tail = np.cumsum(d_theta[::-1])[::-1] / n
+    return float(-np.log(p).mean()), grad_f, np.concatenate([[tail[0]], tail[1:] * np.exp(cut[1:])])
+
+
 def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray) -> Model:
     """rows, buckets: a feature of a document each (repeats count); grades: of every document, from 0."""
     top = int(grades.max(initial=0))
@@ -100,18 +122,9 @@ def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray) -> Model:
     first, steps = -np.log(share[0] / (1 - share[0])), np.log(np.maximum(np.diff(-np.log(share / (1 - share))), 1e-2))
     cut, cut_square = np.concatenate([[first], steps]), np.full(top, START)
     for _ in range(ROUNDS):
-        thetas = cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))])
         f = np.bincount(r, weights=w[b] * times, minlength=n)
-        edge = np.concatenate([[-np.inf], thetas, [np.inf]])
-        below, above = _sigmoid(edge[grades] - f), _sigmoid(edge[grades + 1] - f)
-        below, above = np.where(grades == 0, 0, below), np.where(grades == top, 1, above)
-        p = np.maximum(above - below, 1e-9)
-        d_above, d_below = above * (1 - above) / p, below * (1 - below) / p
-        grad_f = (1 - above - below) / n  # of the negative log-likelihood; it doesn't vanish far from the thresholds
+        _, grad_f, g_cut = likelihood(f, grades, cut)
         g = np.bincount(b, weights=grad_f[r] * times, minlength=len(own))
-        d_theta = np.bincount(grades[grades > 0] - 1, weights=d_below[grades > 0], minlength=top) - np.bincount(grades[grades < top], weights=d_above[grades < top], minlength=top)
-        tail = np.cumsum(d_theta[::-1])[::-1] / n
-        g_cut = np.concatenate([[tail[0]], tail[1:] * np.exp(cut[1:])])
         square += g * g
         rate = RATE / np.sqrt(square)
         w = w - rate * g
@@ -119,7 +132,7 @@ def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray) -> Model:
         cut_square += g_cut * g_cut
         cut -= RATE * g_cut / np.sqrt(cut_square)
     live = np.flatnonzero(w)
-    return Model(own[live], w[live], cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))]))
+    return Model(own[live], w[live], thresholds(cut))
 
 
 def graded(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
@@ -140,19 +153,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
     """Fits on the bounded sample; a label above 1 is taken as a grade."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
-    # at most `sample` rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(2 * sample)
+    # at most `sample` rows on either side
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.array([x for w in sorted(words_of(t)) for x in features(w)], "<i4").tobytes() for t in null_as_empty(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
-    # executors leave out what occurs in few documents only after the driver has seen the sample's counts
-    got = sorted(arrow_map(texts, run, "doc_id long, label int, features binary").toLocalIterator(), key=lambda r: (r[0], bytes(r[2])))
+    # the driver fits: it holds the sample's features
+    told = materialise(arrow_map(texts, run, "doc_id long, label int, features binary"), "toxicity-sample")
+    so_far = F.sum(F.length("features") / 4).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = told.select("doc_id", so_far.alias("n")).filter(F.col("n") <= SAMPLE_FEATURES).select("doc_id")
+    got = sorted(told.join(F.broadcast(within), "doc_id").collect(), key=lambda r: r["doc_id"])
     if not got:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 40.0))
-    label_of = np.array([r[1] for r in got], np.int64)
-    each = [np.frombuffer(r[2], "<i4") for r in got]
+    label_of = np.array([r["label"] for r in got], np.int64)
+    each = [np.frombuffer(r["features"], "<i4") for r in got]
     # 32 bits: the driver's memory is what the sample costs
     rows, buckets = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
     del got, each

@@ -2,14 +2,16 @@
 
 A rule blocks or allows a host with all its subdomains below a path prefix; of the rules that fit a URL the
 longest (host and path together) decides, at equal length an allowing one. Redirect and canonical-link edges make URLs aliases:
-canonical links and refresh redirects are taken from the pages' markup, further redirects from a table. Over the edges'
+all canonical links (`canonical` among the tokens of rel) and refresh redirects of a page are taken from its markup, further
+redirects from a table. Targets are resolved against the page's URL by RFC 3986 (`base` elements aren't read; of the character
+references only that of & is). Over the edges'
 connected components block decisions reach the aliases: a URL that no rule fits is blocked when a rule
 blocks any URL of its component. An explicit allow goes first: a URL that a rule allows is never blocked by an alias.
 
 A URL's node is its host, path and query; scheme and fragment don't make another page.
 
 Nulls: a null url, or one without `://`, has an empty host and path, fits no rule, is no node and so is allowed; null
-markup holds no edges; a null page_id is kept. Repeated rows give repeated results, an empty table an empty one;
+markup holds no edges, nor does a target of another scheme than http and https; a null page_id is kept. Repeated rows give repeated results, an empty table an empty one;
 further columns are not read.
 """
 
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import re
 import string
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +37,12 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[\d.]*\s*[;,]\s*(?:url\s*=\s*)?([^"'\s>]+)"""
+#: Whole tags, with `>` inside quotes.
+LINK, META = (rf"""(?is)<{tag}\b(?:[^>"']+|"[^"]*"|'[^']*')*>""" for tag in ("link", "meta"))
+#: A refresh: seconds, then the address, in quotes or not.
+REFRESH = r"""(?is)^[\s]*[\d.]*[\s]*[;,\s][\s]*(?:url[\s]*=[\s]*)?(?:"([^"]*)|'([^']*)|([^"'\s].*))"""
+#: scheme, authority, path and query of a base URL.
+BASE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
 
 
 def _rest(url: Column) -> Column:
@@ -52,19 +60,51 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The node of a URL; null if it is none."""
-    node = F.concat(host_of(url), F.regexp_extract(_rest(url), "^[^/?#]*([^#]*)", 1))
-    return F.when(node != "", node)
+    """The node of a URL; null if it is none. An empty path is the path /."""
+    path = path_of(url)
+    node = F.concat(host_of(url), F.when(path == "", "/").otherwise(path), F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1))
+    return F.when(_rest(url) != "", node)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes; empty without one."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its `.` and `..` segments."""
+    parts = F.split(path, "/")
+    done = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.array_append(kept, x)),
+    )
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(done, ends), "/")
 
 
 def absolute(target: Column, base: Column) -> Column:
-    """target as an absolute URL; paths are completed from base, other relative forms give null."""
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract(base, r"(?s)^[^/?#]*?://[^/?#]*", 0)
+    """target as an absolute URL, resolved against base; null if it is none of http or https, or names base's own document."""
+    target = F.replace(F.regexp_replace(target, r"^\s+|\s+$", ""), F.lit("&amp;"), F.lit("&"))
+    scheme, authority, path = (F.regexp_extract(base, BASE, i) for i in (1, 2, 3))
+    own = F.regexp_extract(target, "(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    host = F.concat(scheme, F.lit("://"), authority)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+
+    def placed(front: Column, below: Column) -> Column:
+        """below split into authority and path, the path without dots."""
+        return F.concat(front, F.regexp_extract(below, "(?s)^[^/]*", 0), without_dots(F.regexp_extract(below, "(?s)^[^/]*(.*)$", 1)), rest)
+
+    full = F.regexp_extract(own, "(?is)^(https?://)", 1)
     return (
-        F.when(F.instr(target, "://") > 0, target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/") & (origin != ""), F.concat(origin, target))
+        F.when(full != "", placed(full, F.regexp_extract(own, "(?is)^https?://(.*)$", 1)))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (scheme == "") | (target == "") | target.startswith("#"), None)
+        .when(own.startswith("//"), placed(F.concat(scheme, F.lit("://")), F.regexp_extract(own, "(?s)^//(.*)$", 1)))
+        .when(own.startswith("/"), F.concat(host, without_dots(own), rest))
+        .when(own == "", F.concat(host, path, rest))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, own)), rest))
     )
 
 
@@ -81,12 +121,18 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 def edges_of(pages: DataFrame) -> DataFrame:
     """from_url, to_url: the pages' canonical links and refresh redirects."""
     html, low = F.coalesce("html", F.lit("")), F.lower(F.coalesce("html", F.lit("")))
+    tokens = lambda tag, name: F.split(F.lower(attribute(tag, name)), r"\s+")
+    links = F.filter(F.regexp_extract_all(html, F.lit(LINK), 0), lambda t: F.array_contains(tokens(t, "rel"), "canonical"))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(META), 0), lambda t: F.array_contains(tokens(t, "http-equiv"), "refresh"))
+    told = lambda t: F.concat(*[F.regexp_extract(attribute(t, "content"), REFRESH, i) for i in (1, 2, 3)])
+    none = F.array().cast("array<string>")
     # the plain tests spare most pages the regular expressions
-    found = F.array(
-        F.when(low.contains("canonical"), F.regexp_extract(html, CANONICAL, 1)),
-        F.when(low.contains("http-equiv"), F.regexp_extract(html, REFRESH, 1)),
+    found = F.concat(
+        F.when(low.contains("canonical"), F.transform(links, lambda t: attribute(t, "href"))).otherwise(none),
+        F.when(low.contains("http-equiv"), F.transform(metas, told)).otherwise(none),
     )
-    return pages.select(F.col("url").alias("from_url"), F.explode(F.filter(found, lambda t: t != "")).alias("target")).select("from_url", absolute(F.col("target"), F.col("from_url")).alias("to_url"))
+    each = pages.select(F.col("url").alias("from_url"), F.explode(found).alias("target"))
+    return each.select("from_url", absolute(F.col("target"), F.col("from_url")).alias("to_url")).filter(F.col("to_url").isNotNull())
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, redirects: DataFrame | None = None) -> DataFrame:
@@ -107,6 +153,34 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, red
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", F.when(F.col("tainted").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
 
+def markup_edges(pages: list[tuple]) -> list[tuple[str, str]]:
+    """(from, to) of (url, html) pages by an HTML parser and the standard library's resolution, for tests."""
+    found: list[tuple[str, str]] = []
+
+    class Tags(HTMLParser):
+        def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+            own = {}
+            for k, v in attrs:
+                own.setdefault(k, v or "")
+            if tag == "link" and "canonical" in own.get("rel", "").lower().split():
+                self.targets.append(own.get("href", ""))
+            if tag == "meta" and "refresh" in own.get("http-equiv", "").lower().split():
+                _, _, told = own.get("content", "").partition(";")
+                told = told.strip()
+                told = told[3:].lstrip()[1:].lstrip() if told.lower().startswith("url") else told
+                self.targets.append(told[1:].partition(told[0])[0] if told[:1] in ("'", '"') else told)
+
+    for url, html in pages:
+        parser = Tags()
+        parser.targets = []
+        parser.feed(html or "")
+        for t in (x.strip() for x in parser.targets):
+            to = urljoin(url or "", t)
+            if url and "://" in url and t and not t.startswith("#") and to.split(":")[0].lower() in ("http", "https"):
+                found.append((url, to))
+    return found
+
+
 def brute_force(pages: list[tuple], rules: list[tuple[str, str, str]], redirects: list[tuple[str, str]]) -> dict:
     """page_id: verdict by plain loops over explicit redirects, for tests."""
 
@@ -114,7 +188,7 @@ def brute_force(pages: list[tuple], rules: list[tuple[str, str, str]], redirects
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         m = re.match(r"([^/?#]*)([^?#]*)([^#]*)", rest)
         host = "".join(c.lower() if c in string.ascii_uppercase else c for c in m[1])
-        return host, m[2], host + m[2] + m[3]
+        return host, m[2], host + (m[2] or "/") + m[3] if rest else ""
 
     def rule(url: str | None) -> str | None:
         host, path, _ = parts(url)

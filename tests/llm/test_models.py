@@ -28,6 +28,37 @@ def test_grades_are_learned_in_order():
     assert np.corrcoef(severity, grades[600:])[0, 1] > 0.9
 
 
+def test_likelihood_by_brute_force():
+    """The likelihood grade by grade, its gradients by differences."""
+    import math
+
+    rng = np.random.default_rng(5)
+    grades, f, cut = rng.integers(0, 4, 40), rng.normal(size=40), np.array([-0.3, 0.2, -0.5])
+
+    def loss(f, cut):
+        over = lambda x, k: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + math.exp(-(x - (cut[0] + sum(math.exp(c) for c in cut[1:k])))))
+        return -sum(math.log(over(x, g) - over(x, g + 1)) for x, g in zip(f, grades, strict=True)) / len(f)
+
+    got, by_f, by_cut = toxicity.likelihood(f, grades, cut)
+    assert abs(got - loss(f, cut)) < 1e-12
+    moved = lambda x, i, d: np.where(np.arange(len(x)) == i, x + d, x)
+    for x, found, at in ((f, by_f, lambda y: loss(y, cut)), (cut, by_cut, lambda y: loss(f, y))):
+        assert np.allclose(found, [(at(moved(x, i, 1e-6)) - at(moved(x, i, -1e-6))) / 2e-6 for i in range(len(x))], atol=1e-7)
+
+
+def test_sample_is_bounded_by_its_features(spark, monkeypatch):
+    rows = [(i, f"clean word{i} " * 3 + ("vile nasty" if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(i, "") for i in range(60)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    # the least text of an id teaches: all are empty
+    assert len(toxicity.train(docs, labels).buckets) == 0
+    docs = docs.filter("text <> ''")
+    model = toxicity.train(docs, labels)
+    assert len(model.buckets) and toxicity.score(docs, model).filter("toxic").count() == 30
+    monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", 3 * 3)
+    assert len(toxicity.train(docs, labels).buckets) == 0
+
+
 def test_held_out_toxicity(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
@@ -88,6 +119,61 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_targets_are_resolved(spark):
+    """The cases of RFC 3986, and what pages write."""
+    base = "http://a/b/c/d;p?q"
+    targets = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "g;x=1/../y", "g?y/./x", "g?y/../x", "g#s/../x", "http://h/x/../y?z", "https://H", "/go?u=http://x/", "//h/../z", "é/ü"]
+    rows = [(i, base, t) for i, t in enumerate(targets)]
+    rows += [(100 + i, b, t) for i, (b, t) in enumerate([("http://a", "x"), ("http://a?q", "x"), ("http://a", "?x"), ("https://a/", "//b"), ("http://a/b", " c&amp;d ")])]
+    from urllib.parse import urljoin, urlsplit
+
+    def resolved(b, t):
+        """urljoin leaves the dots of a target with a host."""
+        to = urljoin(b, t.strip().replace("&amp;", "&"))
+        return urljoin(to, urlsplit(to)._replace(scheme="", netloc="").geturl()) if "//" in t.split("?")[0] else to
+
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, b string, t string").select("i", url_filter.absolute(F.col("t"), F.col("b")).alias("x")).collect()}
+    assert got == {i: resolved(b, t) for i, b, t in rows}
+    for b, t in (("http://a/", "mailto:x@y"), ("http://a/", "javascript:x('http://b')"), ("http://a/", "#top"), ("http://a/", ""), ("a/b", "c"), (None, "c")):
+        assert spark.createDataFrame([(b, t)], "b string, t string").select(url_filter.absolute(F.col("t"), F.col("b")).alias("x")).first()["x"] is None
+
+
+def test_all_links_of_a_page_count(spark):
+    import duckdb
+
+    from lectern.llm import queries
+
+    rng = random.Random(13)
+    hosts, paths = ["alias.fr", "b.com", "x.net", "example.com", "deep.alias.fr", "o.org"], ["/", "/en/1", "/en/7", "/de/1", "/x/y/z", "/x/y/", "", "/es/2?q=1", "/x?id=3"]
+    urls = [f"http{rng.choice(['', 's'])}://{h}{p}" for h in hosts for p in paths] + ["HTTP://ALIAS.FR/Up"]
+    targets = [*urls, "../z", "z", "../../en/1", "?id=3", "?q=1", "//b.com/en/2", "//alias.fr", "/x/y/z", "./", "..", "#f", "mailto:a@b.com", "/x/./y/../y/", "/x?id=3&amp;n=1"]
+    link = ["<link rel=\"canonical\" href='{t}'>", "<LINK href=\"{t}\" title='a > b' REL='alternate Canonical'/>", "<link rel=canonical href={t} >", "<link rel='canonicals' href='{t}'>", "<link data-rel='canonical' href='{t}'>"]
+    meta = ["<meta http-equiv=refresh content=\"0;url='{t}'\">", "<META HTTP-EQUIV='Refresh' content='3; URL = {t}'>", "<meta content=\"0; {t}\" http-equiv=\"refresh\">", "<meta name=refresh content='0;url={t}'>"]
+    rows = []
+    for i, u in enumerate(urls * 2):
+        html = "".join(rng.choice(link + meta).format(t=rng.choice(targets)) for _ in range(rng.randrange(4)) if rng.random() < 0.6)
+        rows.append((i, u, f"<html><head>{html}</head><p>canonical http-equiv</p></html>"))
+    rows += [(None, urls[0], None), (900, None, rows[0][2]), (901, "no scheme", rows[1][2]), rows[3]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = url_filter.markup_edges([r[1:] for r in rows])
+    assert len(edges) > 40
+    found = url_filter.edges_of(df).filter("from_url <> 'no scheme' AND from_url IS NOT NULL").collect()
+    # schemes may differ in case
+    assert sorted((a, b.split("://", 1)[1]) for a, b in found) == sorted((a, b.split("://", 1)[1]) for a, b in edges)
+    expected = url_filter.brute_force([(i, r[1]) for i, r in enumerate(rows)], url_filter.RULES, edges)
+    got = sorted(map(str, url_filter.judge(df).collect()))
+    judged = sorted((str(r["page_id"]), r["verdict"]) for r in url_filter.judge(df).collect())
+    assert judged == sorted((str(r[0]), expected[i]) for i, r in enumerate(rows))
+    assert 5 < sum(expected[i] == "block" for i in range(len(urls))) < len(urls)
+    con = duckdb.connect()
+    con.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    rows_of = con.execute(queries.OP5_SQL)
+    names = [c[0] for c in rows_of.description]
+    assert names == ["page_id", "host", "path", "rule", "verdict"]
+    # a join by url repeats a row of two pages that are one
+    assert sorted({tuple(map(str, r)) for r in rows_of.fetchall()}) == sorted({tuple(map(str, r)) for r in url_filter.judge(df).collect()}) and got
+
+
 def brute(rows, every=20, k=20):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows])
