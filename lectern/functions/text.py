@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ REFUSALS = ["don't have enough information", "designed to assist with radiology"
 SPACE = r"[ \t\n\r\x0B\f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; an expression inside a lambda would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends; SQL's trim would take blanks alone."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
@@ -64,9 +71,8 @@ def strip(text: Column) -> Column:
 
 def words(text: Column, pattern: str, stopwords: list[str], least: int = 1) -> Column:
     """Matches of pattern in the lower-cased text that are long enough and no stopwords, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(stopwords)])
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
-    return F.filter(found, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*dict.fromkeys(stopwords)))
 
 
 def tokenize(text: Column) -> Column:
@@ -125,6 +131,15 @@ def contextualise(title: Column, filename: Column, chunk: Column) -> Column:
     return F.concat_ws(". ", label, chunk)
 
 
+def final_text(draft: Column, edited: Column) -> Column:
+    return F.coalesce(edited, draft)
+
+
+def was_edited(draft: Column, edited: Column) -> Column:
+    """Whether an edit changes more than white space at the ends; no edit changes nothing."""
+    return F.coalesce(strip(edited) != strip(draft), F.lit(False))
+
+
 def title_of(filename: Column) -> Column:
     stem = F.regexp_replace(filename, r"\.[^.]*$", "")
     return F.initcap(F.translate(stem, "_-", "  "))

@@ -60,6 +60,16 @@ def by_category(rows: DataFrame) -> DataFrame:
     return rows.filter("should_answer").groupBy("category").agg(F.count("*").alias("n"), F.round(100 * F.count_if("keyword_hit_12") / F.count("*"), 1).alias("keyword_recall_12"))
 
 
+# From which recall in percent on a category is good, or fair.
+GOOD, FAIR = 80, 50
+
+
+def banded(categories: DataFrame) -> DataFrame:
+    """The categories' recall with its band."""
+    recall = F.col("keyword_recall_12")
+    return categories.withColumn("band", F.when(recall >= GOOD, "good").when(recall >= FAIR, "fair").otherwise("poor"))
+
+
 def errors(rows: DataFrame) -> DataFrame:
     """Each error with its number and the first three questions."""
     ids = F.slice(F.array_sort(F.collect_list("query_id")), 1, 3)
@@ -77,10 +87,36 @@ def change(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.filter("delta <> 0").withColumn("better", F.when(F.col("metric").contains("latency"), F.col("delta") < 0).otherwise(F.col("delta") > 0))
 
 
-def keyword_status(phrases: DataFrame, retrieved: DataFrame, corpus: DataFrame, by: str = "query_id") -> DataFrame:
-    """by, phrase, status: retrieved, in corpus but missed, or not in corpus."""
-    low = F.lower("phrase")
-    hit = phrases.join(retrieved, by).filter(F.lower("text").contains(low)).select(by, "phrase").distinct().withColumn("hit", F.lit(True))
-    there = phrases.select("phrase").distinct().join(corpus.select(F.lower("text").alias("t")), F.col("t").contains(low), "left_semi").withColumn("there", F.lit(True))
-    joined = phrases.join(hit, [by, "phrase"], "left").join(there, "phrase", "left")
+#: Phrases without a whole word inside that are looked for by scanning.
+MOST_SHORT = 1000
+
+
+def containing(phrases: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
+    """The phrases (column phrase) that some text of the corpus holds, in any case, each once.
+
+    A text that holds a phrase has all words that lie whole inside it; candidates meet under the longest of them. Phrases
+    of one or two words have none: these few are looked for in every text.
+    """
+    wanted = phrases.select("phrase").filter(F.col("phrase").isNotNull()).distinct()
+    # words that touch neither end are words of any text around the phrase
+    inner = F.regexp_extract_all(F.lower("phrase"), F.lit("[^a-z0-9]([a-z0-9]+)(?=[^a-z0-9])"), 1)
+    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
+    keyed = wanted.withColumn("term", longest)
+    terms = corpus.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0))).alias("term"))
+    candidates = terms.join(keyed.filter("term IS NOT NULL"), "term").select(key, "phrase")
+    found = candidates.join(corpus.select(key, "text"), key).filter(F.lower("text").contains(F.lower("phrase"))).select("phrase")
+    short = keyed.filter("term IS NULL").select("phrase")
+    n = short.count()
+    if n > MOST_SHORT:
+        raise ValueError(f"{n} phrases hold no whole word inside; at most {MOST_SHORT} can be looked for at once")
+    if n:
+        # at most MOST_SHORT rows meet each text
+        found = found.unionByName(corpus.join(F.broadcast(short), F.lower("text").contains(F.lower("phrase"))).select("phrase"))
+    return found.distinct()
+
+
+def keyword_status(phrases: DataFrame, retrieved: DataFrame, corpus: DataFrame, key: str, by: str = "query_id") -> DataFrame:
+    """by, phrase, status: retrieved, in corpus but missed, or not in corpus. key: of the corpus's texts."""
+    hit = phrases.join(retrieved, by).filter(F.lower("text").contains(F.lower("phrase"))).select(by, "phrase").distinct().withColumn("hit", F.lit(True))
+    joined = phrases.join(hit, [by, "phrase"], "left").join(containing(phrases, corpus, key).withColumn("there", F.lit(True)), "phrase", "left")
     return joined.select(by, "phrase", F.when(F.col("hit"), "retrieved").when(F.col("there"), "in corpus but missed").otherwise("not in corpus").alias("status"))

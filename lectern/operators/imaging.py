@@ -39,6 +39,11 @@ def windowed(pixels: Column, slope: Column | None = None, intercept: Column | No
     return F.transform(real, lambda p: (F.least(F.greatest((p - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
 
 
+def middle(frames: Column) -> Column:
+    """The frame that is shown of several: the middle one, the later of two."""
+    return F.try_element_at(frames, (F.size(frames) / 2).cast("int") + 1)
+
+
 def shown(levels: Column, photometric: Column) -> Column:
     """Inverted where the least value is white."""
     return F.when(photometric == "MONOCHROME1", F.transform(levels, lambda p: 255 - p)).otherwise(levels)

@@ -1,4 +1,4 @@
-"""BM25 over an inverted index of three tables."""
+"""BM25 over an inverted index."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokenize
+from lectern.storage import materialise
 
 K1, B = 1.5, 0.75
 TOP, SALIENT = 20, 24
@@ -15,25 +16,30 @@ TOP, SALIENT = 20, 24
 
 @dataclass
 class Index:
-    """postings: term, id, tf; lengths: id, dl; frequencies: term, df; size: one row of n and avgdl."""
+    """postings: term, id, tf, dl (the chunk's length), lead (true for one posting of each chunk)."""
 
     postings: DataFrame
-    lengths: DataFrame
-    frequencies: DataFrame
-    size: DataFrame
+
+    @property
+    def frequencies(self) -> DataFrame:
+        """term, df."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def size(self) -> DataFrame:
+        """One row of n and avgdl."""
+        return self.postings.agg(F.count_if("lead").alias("n"), F.avg(F.when(F.col("lead"), F.col("dl"))).alias("avgdl"))
+
+    def stored(self) -> Index:
+        """The same index, written once: for several passes over it."""
+        return Index(materialise(self.postings, "postings"))
 
 
 def build(chunks: DataFrame, key: str, text: str = "text") -> Index:
-    """Indexes chunks; those without any term count nowhere."""
-    tokens = chunks.select(F.col(key).alias("id"), F.explode(tokenize(F.col(text))).alias("term"))
-    postings = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    lengths = chunks.select(F.col(key).alias("id"), F.size(tokenize(F.col(text))).alias("dl")).filter("dl > 0")
-    return Index(
-        postings,
-        lengths,
-        postings.groupBy("term").agg(F.count("*").alias("df")),
-        lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")),
-    )
+    """Indexes chunks, each tokenized once; those without any term count nowhere. Keys are unique."""
+    words = chunks.select(F.col(key).alias("id"), tokenize(F.col(text)).alias("w"))
+    tokens = words.select("id", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
+    return Index(tokens.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"), (F.min("pos") == 0).alias("lead")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -51,15 +57,13 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "text", top: int = TOP) -> DataFrame:
     """query_id, rank, id, bm25_score: the best chunks of every query.
 
-    Only the queries' terms are looked up: their postings are found before frequencies and lengths are joined. Scores are
+    Only the queries' terms are looked up: their postings are found before frequencies are counted. Scores are
     rounded before they are ranked, ties go to the larger id (the later chunk).
     """
     terms = query_terms(queries, key, text)
-    wanted = terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
+    hits = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     weighted = (
         hits.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term")
-        .join(index.lengths, "id")
         .crossJoin(F.broadcast(index.size))  # one row
         .select("term", "id", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,19 @@ def page(rows: DataFrame, number: int, size: int, *order: Column | str) -> DataF
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+#: Chunks of one document that are shown at most.
+MOST_CHUNKS = 1000
+
+
+def chunks_of(points: DataFrame, document: Any = None, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A slice of each document's chunks, or of one document's, in order of chunk_index (null first)."""
+    if offset < 0 or limit < 1:
+        raise ValueError("a slice begins at 0 or later and holds 1 chunk or more")
+    own = matching(points, document_id=document)
+    order = Window.partitionBy("document_id").orderBy("chunk_index")
+    return own.withColumn("__n", F.row_number().over(order)).filter(F.col("__n").between(offset + 1, min(offset + limit, MOST_CHUNKS))).drop("__n")
+
+
 def status_counts(rows: DataFrame, status: str, values: list[str]) -> DataFrame:
     """One row: total and the number of rows in each status, in one pass."""
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == v).alias(v) for v in values])
@@ -78,6 +91,40 @@ def replace_documents(stored: DataFrame, new: DataFrame, key: str = "document_id
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def update_vectors(stored: DataFrame, new: DataFrame, key: str = "point_id", vector: str = "embedding") -> DataFrame:
+    """stored with the vectors of new, by key; everything else stays, unknown keys change nothing. A vector of another length is an error."""
+    given = new.select(key, F.col(vector).alias("__vector"))
+    same = F.size("__vector") == F.size(vector)
+    checked = F.when(F.col("__vector").isNull(), F.col(vector)).when(same, F.col("__vector")).otherwise(F.raise_error(F.concat(F.lit("another length of vector for "), F.col(key).cast("string"))))
+    return stored.join(given, key, "left").select(*[checked.alias(c) if c == vector else F.col(c) for c in stored.columns])
+
+
+def delete(rows: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:
+    """rows without those of the keys in gone: a document's metadata, chunks and figures alike."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+#: States of a background job, in the order in which they follow each other.
+STATES = ["pending", "processing", "completed", "failed"]
+
+
+def next_status(now: Column, told: Column) -> Column:
+    """The state after a report: jobs go forward only, and a finished one stays as it is."""
+    place = lambda c: F.array_position(F.array(*[F.lit(s) for s in STATES]), c)
+    return F.when(now.isin("completed", "failed") | (place(told) <= place(now)), now).otherwise(told)
+
+
+def accepted(uploads: DataFrame, extensions: list[str], most: int) -> DataFrame:
+    """uploads (filename, size) with status pending, or rejected and the reason: an extension that isn't taken, no content, or more than `most` bytes."""
+    extension = F.lower(F.regexp_extract(F.coalesce("filename", F.lit("")), r"(\.[^.]+)$", 1))
+    reason = (
+        F.when(~extension.isin(*extensions), F.concat(F.lit("files of type "), F.when(extension == "", F.lit("?")).otherwise(extension), F.lit(" aren't taken")))
+        .when(F.coalesce("size", F.lit(0)) == 0, F.lit("the file is empty"))
+        .when(F.col("size") > most, F.lit(f"the file is larger than {most} bytes"))
+    )
+    return uploads.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "pending").otherwise("rejected"))
+
+
 def unlink(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Children keep their rows when parents go; their link becomes null."""
     gone = deleted.select(F.col(key).alias("__gone")).distinct()

@@ -38,13 +38,13 @@ def mode_of(mode: Column, prior: Column, attached: Column) -> Column:
 
 
 def source_header(number: Column, title: Column, kind: Column, score: Column) -> Column:
-    return F.format_string("[Source %d] (%s | %s | score: %.2f)", number.cast("int"), F.coalesce(title, F.lit("Unknown")), F.coalesce(kind, F.lit("general")), score)
+    return F.format_string("[%d] %s (%s, score %.2f)", number.cast("int"), F.coalesce(title, F.lit("Unknown")), F.coalesce(kind, F.lit("general")), score)
 
 
 def context_block(sources: Column) -> Column:
     """sources: array of (chunk_id, title, source_type, score, text) in order."""
     each = F.transform(sources, lambda s: F.concat(source_header(s["chunk_id"], s["title"], s["source_type"], s["score"]), F.lit("\n"), s["text"], F.lit("\n")))
-    return F.when(F.size(sources) > 0, F.concat(F.lit("\nCONTEXT (use ONLY this to answer):\n\n"), F.array_join(each, "\n"))).otherwise("\n\nCONTEXT: No relevant information was found in the knowledge base for this query.")
+    return F.when(F.size(sources) > 0, F.concat(F.lit("\nSOURCES TO ANSWER FROM:\n\n"), F.array_join(each, "\n"))).otherwise("\n\nThe knowledge base holds no source for this question.")
 
 
 def framed(title: str, text: Column, end: str) -> Column:
@@ -68,8 +68,8 @@ def system_message(mode: Column, audience: Column, sources: Column, attached: Co
     for m, text in GROUNDING.items():
         ground = F.when(own == m, text).otherwise(ground)
     told = F.when((F.coalesce(prior, F.lit("")) != "") & (F.coalesce(facts, F.lit("")) != ""), F.concat(F.lit("\n"), facts, F.lit("\n"))).otherwise("")
-    before = F.concat(framed("PRIOR STUDY", prior, "END OF PRIOR STUDY"), told)
-    document = F.concat(framed("UPLOADED DOCUMENT", attached, "END OF UPLOADED DOCUMENT"), F.when(F.coalesce(attached, F.lit("")) != "", warnings_block(warnings)).otherwise(""))
+    before = F.concat(framed("EARLIER REPORT", prior, "EARLIER REPORT ENDS"), told)
+    document = F.concat(framed("ATTACHED TEXT", attached, "ATTACHED TEXT ENDS"), F.when(F.coalesce(attached, F.lit("")) != "", warnings_block(warnings)).otherwise(""))
     return F.concat(role, F.lit("\n\n"), ground, before, document, F.lit("\n"), context_block(sources))
 
 

@@ -1,11 +1,16 @@
-"""A rule-based linter of reports: every rule is a column of issues (code, severity, message, line, excerpt)."""
+"""A rule-based linter of reports: every rule is a column of issues (code, severity, message, line, excerpt).
+
+A rule takes the text, or the text with its sections where they are known already.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import content_words, strip
+from lectern.functions.text import content_words, let, strip
 
 ISSUE = "struct<code:string,severity:string,message:string,line:int,excerpt:string>"
 SEVERITIES = ["error", "warning", "info"]
@@ -38,8 +43,11 @@ COVERED = ["left", "right", "bilateral", "sided"]
 
 def sections(text: Column) -> Column:
     """(findings, impression), cut at the first impression heading."""
-    parts = F.split(text, IMPRESSION, 2)
-    return F.struct(parts[0].alias("findings"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("impression"))
+    return let(F.split(text, IMPRESSION, 2), lambda p: F.struct(p[0].alias("findings"), F.coalesce(F.try_element_at(p, F.lit(2)), F.lit("")).alias("impression")))
+
+
+def _with_sections(text: Column, s: Column | None, rule: Callable[[Column], Column]) -> Column:
+    return rule(s) if s is not None else let(sections(text), rule)
 
 
 def bare(section: Column) -> Column:
@@ -67,35 +75,40 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
-def _lines_of(text: Column, pattern: str) -> Column:
-    """The line of each match: feeds before it, plus one."""
-    before = F.split(text, pattern)
-    feeds = F.transform(before, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    inside = F.transform(_matches(text, pattern), lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    return F.transform(inside, lambda x, i: F.aggregate(F.slice(feeds, 1, i + 1), F.lit(0), lambda s, y: s + y) + F.aggregate(F.slice(inside, 1, i), F.lit(0), lambda s, y: s + y) + 1)
+def _feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def check_sections(text: Column) -> Column:
-    s = sections(text)
+def check_sections(text: Column, s: Column | None = None) -> Column:
     has_findings, has_impression = text.rlike(FINDINGS), text.rlike(IMPRESSION)
-    return _some(
-        (~has_findings, issue("missing_findings", "error", "No FINDINGS section.")),
-        (has_findings & (F.length(bare(s["findings"])) < 10), issue("empty_findings", "error", "The FINDINGS section is empty.")),
-        (~has_impression, issue("missing_impression", "error", "No IMPRESSION section.")),
-        (has_impression & (F.length(bare(s["impression"])) < 10), issue("empty_impression", "error", "The IMPRESSION section is empty.")),
+    return _with_sections(
+        text,
+        s,
+        lambda s: _some(
+            (~has_findings, issue("missing_findings", "error", "No FINDINGS section.")),
+            (has_findings & (F.length(bare(s["findings"])) < 10), issue("empty_findings", "error", "The FINDINGS section is empty.")),
+            (~has_impression, issue("missing_impression", "error", "No IMPRESSION section.")),
+            (has_impression & (F.length(bare(s["impression"])) < 10), issue("empty_impression", "error", "The IMPRESSION section is empty.")),
+        ),
     )
 
 
 def _each(text: Column, pattern: str, code: str, severity: str, message: str, trimmed: bool = False) -> Column:
-    zipped = F.arrays_zip(_matches(text, pattern).alias("m"), _lines_of(text, pattern).alias("n"))
-    return F.transform(zipped, lambda z: issue(code, severity, F.concat(F.lit(message), strip(z["m"])), z["n"], strip(z["m"]) if trimmed else z["m"]))
+    """An issue for each match, at its line: the feeds before it, plus one."""
+
+    def told(z: Column) -> Column:
+        line = lambda i: F.aggregate(F.concat(F.slice(z["before"], 1, i + 1), F.slice(z["inside"], 1, i)), F.lit(1), lambda n, x: n + x)
+        return F.transform(z["found"], lambda m, i: issue(code, severity, F.concat(F.lit(message), strip(m)), line(i), strip(m) if trimmed else m))
 
+    found = lambda m: F.struct(m.alias("found"), F.transform(m, _feeds).alias("inside"), F.transform(F.split(text, pattern), _feeds).alias("before"))
+    return F.when(text.rlike(pattern), let(let(_matches(text, pattern), found), told)).otherwise(F.array().cast(f"array<{ISSUE}>"))
 
-def check_placeholders(text: Column) -> Column:
+
+def check_placeholders(text: Column, s: Column | None = None) -> Column:
     return _each(text, PLACEHOLDERS, "placeholder_text", "error", "A template placeholder was left: ")
 
 
-def check_units(text: Column) -> Column:
+def check_units(text: Column, s: Column | None = None) -> Column:
     return _each(text, UNITLESS, "measurement_without_unit", "error", "A measurement has no unit: ", trimmed=True)
 
 
@@ -104,7 +117,7 @@ def hedges_in(line: Column) -> Column:
     return F.filter(F.array(*[F.when(low.contains(h), F.lit(h)) for h in HEDGES]), lambda x: x.isNotNull())
 
 
-def check_hedging(text: Column) -> Column:
+def check_hedging(text: Column, s: Column | None = None) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), (i + 1).alias("n"), hedges_in(x).alias("hits")))
     return F.transform(
         F.filter(lines, lambda x: F.size(x["hits"]) >= 2),
@@ -112,43 +125,69 @@ def check_hedging(text: Column) -> Column:
     )
 
 
-def check_laterality(text: Column) -> Column:
-    s = sections(text)
-    f_left, f_right, i_left, i_right = (s[x].rlike(p) for x in ("findings", "impression") for p in (LEFT, RIGHT))
-    return _some(
-        (i_left & ~f_left & f_right, issue("laterality_mismatch", "error", "The impression says LEFT, the findings only RIGHT.")),
-        (i_right & ~f_right & f_left, issue("laterality_mismatch", "error", "The impression says RIGHT, the findings only LEFT.")),
-    )
+def check_laterality(text: Column, s: Column | None = None) -> Column:
+    def rule(s: Column) -> Column:
+        f_left, f_right, i_left, i_right = (s[x].rlike(p) for x in ("findings", "impression") for p in (LEFT, RIGHT))
+        return _some(
+            (i_left & ~f_left & f_right, issue("laterality_mismatch", "error", "The impression says LEFT, the findings only RIGHT.")),
+            (i_right & ~f_right & f_left, issue("laterality_mismatch", "error", "The impression says RIGHT, the findings only LEFT.")),
+        )
+
+    return _with_sections(text, s, rule)
 
 
 def _token(match: Column) -> Column:
     return F.replace(F.lower(match), F.lit(" "), F.lit(""))
 
 
-def check_measurements(text: Column) -> Column:
-    s = sections(text)
-    known = F.transform(_matches(s["findings"], MEASUREMENT), _token)
-    new = F.filter(_matches(s["impression"], MEASUREMENT), lambda m: ~F.array_contains(known, _token(m)))
-    return F.transform(new, lambda m: issue("impression_measurement_not_in_findings", "error", F.concat(F.lit("The impression states a measurement that the findings lack: "), m), excerpt=m))
+def check_measurements(text: Column, s: Column | None = None) -> Column:
+    def rule(s: Column) -> Column:
+        known = F.transform(_matches(s["findings"], MEASUREMENT), _token)
+        new = let(known, lambda k: F.filter(_matches(s["impression"], MEASUREMENT), lambda m: ~F.array_contains(k, _token(m))))
+        return F.transform(new, lambda m: issue("impression_measurement_not_in_findings", "error", F.concat(F.lit("The impression states a measurement that the findings lack: "), m), excerpt=m))
+
+    return _with_sections(text, s, rule)
+
 
+def _novel(own: Column, known: Column) -> Column:
+    """Words of own that share no beginning with a known one: five characters, or all four of a word of four."""
 
-def introduced_terms(text: Column) -> Column:
+    def rule(k: Column) -> Column:
+        told = lambda w: (
+            F.array_contains(k["whole"], w)
+            | F.when(F.length(w) == 4, F.array_contains(k["four"], w)).otherwise(F.array_contains(k["five"], F.left(w, F.lit(5))) | F.array_contains(k["short"], F.left(w, F.lit(4))))
+        )
+        return F.filter(own, lambda w: ~told(w))
+
+    beginnings = lambda k: F.struct(
+        k.alias("whole"),
+        F.array_distinct(F.transform(k, lambda w: F.left(w, F.lit(5)))).alias("five"),
+        F.array_distinct(F.transform(k, lambda w: F.left(w, F.lit(4)))).alias("four"),
+        F.filter(k, lambda w: F.length(w) == 4).alias("short"),
+    )
+    return let(let(known, beginnings), rule)
+
+
+def introduced_terms(text: Column, s: Column | None = None) -> Column:
     """Content words of the impression that share no beginning with a word of the findings."""
-    s = sections(text)
-    impression = F.regexp_replace(s["impression"], DISCLAIMER, "")
-    known = content_words(s["findings"])
-    own = F.array_sort(F.array_except(F.array_except(content_words(impression), known), F.array(*[F.lit(w) for w in COVERED])))
-    novel = F.filter(own, lambda w: ~F.exists(known, lambda k: k.startswith(F.left(w, F.lit(5))) | w.startswith(F.left(k, F.lit(5)))))
-    return F.when((strip(s["findings"]) != "") & (strip(impression) != ""), novel).otherwise(F.array().cast("array<string>"))
 
+    def rule(s: Column) -> Column:
+        impression = F.regexp_replace(s["impression"], DISCLAIMER, "")
+        own = F.array_sort(F.filter(content_words(impression), lambda w: ~w.isin(*COVERED)))
+        return F.when((strip(s["findings"]) != "") & (strip(impression) != ""), _novel(own, content_words(s["findings"]))).otherwise(F.array().cast("array<string>"))
 
-def check_terms(text: Column) -> Column:
-    novel = introduced_terms(text)
-    return _some((F.size(novel) > 0, issue("impression_introduces_term", "warning", F.concat(F.lit("Terms appear in the impression alone: "), F.array_join(F.slice(novel, 1, 6), ", ")))))
+    return _with_sections(text, s, rule)
 
 
-def check_vague_sizes(text: Column) -> Column:
-    return _each(sections(text)["findings"], VAGUE, "unquantified_size", "info", "A size has no measurement: ", trimmed=True)
+def check_terms(text: Column, s: Column | None = None) -> Column:
+    return let(
+        introduced_terms(text, s),
+        lambda novel: _some((F.size(novel) > 0, issue("impression_introduces_term", "warning", F.concat(F.lit("Terms appear in the impression alone: "), F.array_join(F.slice(novel, 1, 6), ", "))))),
+    )
+
+
+def check_vague_sizes(text: Column, s: Column | None = None) -> Column:
+    return _with_sections(text, s, lambda s: _each(s["findings"], VAGUE, "unquantified_size", "info", "A size has no measurement: ", trimmed=True))
 
 
 #: In the order in which issues of equal severity and line are told.
@@ -158,7 +197,7 @@ RULES = [check_sections, check_placeholders, check_units, check_hedging, check_l
 def issues(text: Column) -> Column:
     """All issues of a report, by severity, line and rule; a blank report has one."""
     text = F.coalesce(text, F.lit(""))
-    found = F.concat(*[rule(text) for rule in RULES])
+    found = let(sections(text), lambda s: F.concat(*[rule(text, s) for rule in RULES]))
     # array_sort is stable in none of its contracts, so the place is part of the key
     ranked = F.transform(found, lambda x, i: F.struct(F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), x["severity"]).alias("r"), F.coalesce(x["line"], F.lit(0)).alias("l"), i.alias("i"), x.alias("issue")))
     ordered = F.transform(F.array_sort(ranked), lambda x: x["issue"])
@@ -166,12 +205,18 @@ def issues(text: Column) -> Column:
     return F.when(strip(text) == "", empty.cast(f"array<{ISSUE}>")).otherwise(ordered.cast(f"array<{ISSUE}>"))
 
 
+def _severity_is(severity: str) -> Callable[[Column], Column]:
+    return lambda x: x["severity"] == severity
+
+
 def lint(reports: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, issues, errors, warnings, is_clean (no error and no warning)."""
     found = reports.select(key, issues(F.col(text)).alias("issues"))
 
-    def number(severity: str) -> Column:
-        return F.size(F.filter("issues", lambda x: x["severity"] == severity))
+    def counts(x: Column) -> Column:
+        number = {s: F.size(F.filter(x, _severity_is(s))) for s in SEVERITIES[:2]}
+        return F.struct(x.alias("issues"), *[n.alias(s) for s, n in number.items()])
 
-    count = {s: number(s) for s in SEVERITIES}
-    return found.select(key, "issues", count["error"].alias("errors"), count["warning"].alias("warnings"), ((count["error"] == 0) & (count["warning"] == 0)).alias("is_clean"))
+    # bound once: the issues would be computed again for every count
+    counted = found.select(key, let(F.col("issues"), counts).alias("r"))
+    return counted.select(key, "r.issues", F.col("r.error").alias("errors"), F.col("r.warning").alias("warnings"), ((F.col("r.error") == 0) & (F.col("r.warning") == 0)).alias("is_clean"))

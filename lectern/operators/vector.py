@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from typing import Protocol
 
 import numpy as np
@@ -22,18 +22,28 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Feature hashing of words, deterministic and without a model."""
+    """Feature hashing of words, deterministic and without a model: the first 32 bits of a word's MD5 tell its place and sign."""
+
+    #: Words remembered by one Python worker before it starts anew.
+    CACHE = 500_000
 
     def __init__(self, dim: int = 384):
         self.dim = dim
+        self.known: dict[str, int] = {}
+
+    def _hash(self, word: str) -> int:
+        if (h := self.known.get(word)) is None:
+            if len(self.known) > self.CACHE:
+                self.known.clear()
+            h = self.known[word] = int(hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()[:8], 16)
+        return h
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode("utf-8", "replace"))
-                row[h % self.dim] += 1 if h >> 16 & 1 else -1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        words = [t.lower().split() for t in texts]
+        h = np.fromiter((self._hash(w) for own in words for w in own), np.int64)
+        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        out = np.bincount(rows * self.dim + h % self.dim, weights=np.where(h >> 16 & 1, 1.0, -1.0), minlength=len(texts) * self.dim).reshape(-1, self.dim)
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(norm == 0, 1, norm)
 
 

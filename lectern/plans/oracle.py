@@ -72,8 +72,8 @@ SQL["mean_chunks"] = """
 WITH c AS (SELECT source, greatest(ceil((n_chars - 50) / 462), 1) AS chunks FROM documents)
 SELECT source, round(avg(chunks), 1) AS mean_chunks, avg(chunks) < 8 AS refetch FROM c GROUP BY source"""
 SQL["final_text"] = f"""
-WITH j AS (SELECT a.conv_id, a.text AS draft, b.text AS edited FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 2 WHERE a.turn = 0)
-SELECT conv_id, CAST(length(coalesce(edited, draft)) AS INTEGER) AS n_chars, coalesce({_strip('edited')} <> {_strip('draft')}, false) AS was_edited FROM j"""
+WITH j AS (SELECT a.conv_id, a.turn, a.text AS draft, b.text AS edited FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2)
+SELECT conv_id, turn, CAST(length(coalesce(edited, draft)) AS INTEGER) AS n_chars, coalesce({_strip('edited')} <> {_strip('draft')}, false) AS was_edited FROM j"""
 
 SQL["tokenize"] = f"""
 WITH t AS (SELECT doc_id, {_tokens('text')} AS w FROM documents)
@@ -86,7 +86,8 @@ freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths)"""
 SQL["bm25_stats"] = f"""
 WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM freq) AS terms, (SELECT max(df) FROM freq) AS most_df, (SELECT CAST(sum(df) AS BIGINT) FROM freq) AS postings FROM size"""
-SQL["term_frequencies"] = f"WITH {_INDEX} SELECT term, df FROM freq"
+SQL["term_frequencies"] = f"WITH {_INDEX} SELECT id, term, tf, CAST(dl AS INTEGER) AS dl FROM postings JOIN lengths USING (id)"
+SQL["document_frequencies"] = f"WITH {_INDEX} SELECT term, df FROM freq"
 _HITS = f"""{_INDEX},
 terms AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark),
 scored AS (
@@ -148,6 +149,81 @@ WITH t AS (SELECT conv_id, turn, text, {_strip('lower(text)')} AS a, {_strip("lo
 SELECT conv_id, turn, {_SCOPE.replace('(x,', '(a,')} AS out, {_SCOPE.replace('(x,', '(b,')} AS out_with_weather,
        {' OR '.join(f"contains(lower(coalesce(text, '')), '" + r.replace("'", "''") + "')" for r in REFUSALS)} AS refuses FROM t"""
 
+_SPACES = r"\s\x0B\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# One step for each chunk: the state is a separator's level, the place where the chunk begins, the end of the chunk whose tail it begins with, and the ends of the enclosing pieces.
+_CHUNKS = rf"""
+txt AS (SELECT doc_id, regexp_replace(text, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g') AS x FROM documents),
+step AS (
+  SELECT doc_id, 0 AS k, 0 AS lvl, 0::BIGINT AS p, NULL::BIGINT AS old, [length(x)] AS fr, NULL::BIGINT AS a, NULL::BIGINT AS b FROM txt WHERE length(x) > 512
+  UNION ALL
+  SELECT doc_id, k + 1,
+         CASE act WHEN 'pop' THEN lvl - 1 WHEN 'push' THEN lvl + 1 ELSE lvl END,
+         CASE act WHEN 'pop' THEN fe + [2, 1, 2, 1][lvl] WHEN 'cut' THEN p + 462 WHEN 'skip' THEN p + size WHEN 'last' THEN fe WHEN 'push' THEN p
+           ELSE CASE WHEN e - p > 50 THEN e - length(CASE WHEN regexp_matches(held, '^[^{_SPACES}]*[{_SPACES}]+[^{_SPACES}]') THEN regexp_replace(held, '^[^{_SPACES}]*[{_SPACES}]+', '') ELSE held END) ELSE e + size END END,
+         CASE WHEN act = 'emit' AND e - p > 50 THEN e END,
+         CASE act WHEN 'pop' THEN fr[1:lvl] WHEN 'push' THEN list_append(fr, CASE WHEN instr(substring(x, q + 1, fe - q), sep) > 0 THEN q + instr(substring(x, q + 1, fe - q), sep) - 1 ELSE fe END) ELSE fr END,
+         CASE WHEN act IN ('cut', 'last', 'emit') THEN p END, CASE act WHEN 'cut' THEN least(p + 512, fe) WHEN 'last' THEN fe WHEN 'emit' THEN e END
+  FROM (SELECT *, right(substring(x, p + 1, e - p), 50) AS held, coalesce(old + size, p) AS q,
+               CASE WHEN old IS NULL AND p >= fe THEN 'pop' WHEN lvl = 4 THEN 'cut' WHEN old IS NULL AND starts_with(w, sep) THEN 'skip' WHEN fe - p <= 512 THEN 'last'
+                 WHEN len(parts) > 1 AND e > coalesce(old, p) THEN 'emit' ELSE 'push' END AS act
+        FROM (SELECT *, p + length(w) - length(parts[-1]) - size AS e FROM (SELECT *, string_split(w, sep) AS parts FROM (
+          SELECT *, substring(x, p + 1, least(512 + size, greatest(fe - p, 0))) AS w FROM (
+            SELECT s.*, x, fr[lvl + 1] AS fe, [2, 1, 2, 1, 0][lvl + 1] AS size, [chr(10) || chr(10), chr(10), '. ', ' ', ''][lvl + 1] AS sep FROM step s JOIN txt USING (doc_id))))))
+  WHERE NOT (act = 'pop' AND lvl = 0)),
+chunks AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, chunk FROM (
+    SELECT doc_id, k, regexp_replace(substring(x, a + 1, b - a), '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g') AS chunk FROM step JOIN txt USING (doc_id) WHERE a IS NOT NULL
+    UNION ALL SELECT doc_id, 0, x FROM txt WHERE length(x) <= 512) WHERE chunk <> '')"""
+SQL["chunk_documents"] = f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, CAST(length(chunk) AS INTEGER) AS n_chars, sha256(chunk) AS chunk_sha256 FROM chunks"
+
+
+def _hybrid(source: str | None) -> str:
+    near, far = (f"WHERE source_type = '{source}'" if source else "", f"AND source_type = '{source}'" if source else "")
+    words = rf"list_filter(regexp_split_to_array(lower(%s), '[{_SPACES}]+'), lambda w: w <> '')"
+    return f"""
+WITH RECURSIVE {_CHUNKS},
+points AS (SELECT doc_id AS document_id, source AS source_type, chunk_index, chunk AS text, sha256(doc_id || '/' || chunk_index) AS point_id, 'doc-' || doc_id || '. ' || chunk AS search_text
+           FROM chunks JOIN documents USING (doc_id) WHERE length({_strip('documents.text')}) >= 50),
+hashed AS (
+  SELECT key, h % 384 AS place, sum(CASE WHEN (h // 65536) % 2 = 1 THEN 1.0 ELSE -1.0 END) AS v
+  FROM (SELECT key, ('0x' || left(md5(w), 8))::BIGINT AS h FROM (
+    SELECT 'p' || point_id AS key, unnest({words % 'search_text'}) AS w FROM points UNION ALL SELECT 'q' || item_id, unnest({words % 'text'}) FROM benchmark)) GROUP BY ALL),
+vectors AS (SELECT key, place, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS FLOAT)::DOUBLE AS v FROM hashed QUALIFY sum(v * v) OVER (PARTITION BY key) > 0),
+shared AS (SELECT q.key[2:]::BIGINT AS query_id, p.key[2:] AS point_id, sum(p.v * q.v) AS score FROM vectors q JOIN vectors p ON p.place = q.place AND q.key[1] = 'q' AND p.key[1] = 'p' GROUP BY ALL),
+dots AS (SELECT item_id AS query_id, p.point_id, round(coalesce(score, 0.0), 4) + 0.0 AS score FROM benchmark CROSS JOIN points p LEFT JOIN shared s ON s.query_id = item_id AND s.point_id = p.point_id),
+near AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dots JOIN points USING (point_id) {near} {'AND' if source else 'WHERE'} score >= 0 QUALIFY rank <= 48),
+tok AS (SELECT point_id AS id, unnest({_tokens('search_text')}) AS term FROM points),
+postings AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term),
+lengths AS (SELECT id, count(*) AS dl FROM tok GROUP BY id),
+freq AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+total AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
+terms AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark),
+scored AS (SELECT query_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 4) AS bm25_score
+           FROM terms JOIN postings p USING (term) JOIN freq USING (term) JOIN lengths l ON l.id = p.id, total GROUP BY query_id, p.id),
+lexical AS (SELECT query_id, id AS point_id, 48 + row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id DESC) AS rank FROM scored WHERE bm25_score > 0 QUALIFY rank <= 68),
+hits AS (
+  SELECT query_id, point_id, score, rank FROM near
+  UNION ALL
+  SELECT l.query_id, l.point_id, coalesce(d.score, 0.0), l.rank FROM lexical l JOIN points USING (point_id) LEFT JOIN dots d ON d.query_id = l.query_id AND d.point_id = l.point_id
+  WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.query_id = l.query_id AND n.point_id = l.point_id) {far}),
+capped AS (SELECT h.*, document_id, chunk_index, text FROM hits h JOIN points USING (point_id) QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) <= 3),
+kept AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 12),
+starts AS (SELECT *, CASE WHEN document_id = lag(document_id) OVER o AND chunk_index = lag(chunk_index) OVER o + 1 THEN 0 ELSE 1 END AS s FROM kept WINDOW o AS (PARTITION BY query_id ORDER BY document_id::VARCHAR, chunk_index, rank)),
+isl AS (SELECT *, sum(s) OVER (PARTITION BY query_id ORDER BY document_id::VARCHAR, chunk_index, rank ROWS UNBOUNDED PRECEDING) AS island FROM starts),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id, island ORDER BY chunk_index, text) AS k, count(*) OVER (PARTITION BY query_id, island) AS merged FROM isl),
+fold AS (
+  SELECT query_id, island, k, text FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT n.query_id, n.island, n.k, f.text || CASE WHEN o.size IS NULL THEN chr(10) || n.text ELSE substring(n.text, o.size + 1) END
+  FROM fold f JOIN numbered n ON n.query_id = f.query_id AND n.island = f.island AND n.k = f.k + 1,
+       LATERAL (SELECT max(size) AS size FROM (SELECT unnest(range(21, least(length(f.text), length(n.text), 200) + 1)) AS size) WHERE right(f.text, size) = left(n.text, size)) o),
+runs AS (SELECT query_id, island, any_value(document_id) AS document_id, max(chunk_index) AS chunk_index, max(score) AS score, max(merged) AS merged FROM numbered GROUP BY query_id, island)
+SELECT r.query_id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY r.score DESC, r.island) AS INTEGER) AS chunk_id, r.document_id, r.chunk_index, r.score, r.merged, sha256(f.text) AS text_sha256
+FROM runs r JOIN fold f ON f.query_id = r.query_id AND f.island = r.island AND f.k = r.merged"""
+
+
+SQL["hybrid_search"] = _hybrid(None)
+SQL["hybrid_search_filtered"] = _hybrid("src1")
 SQL["char_chunks"] = """
 WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 462)) AS place FROM documents)
 SELECT doc_id, CAST(place / 462 AS INTEGER) AS chunk_index, CAST(length(substring(text, place + 1, 512)) AS INTEGER) AS n_chars, sha256(substring(text, place + 1, 512)) AS chunk_sha256 FROM s WHERE text <> ''"""
@@ -159,7 +235,7 @@ SELECT CASE WHEN c >= 50 THEN 'completed' ELSE 'failed' END AS status, count(*)
 SQL["upsert_points"] = """
 SELECT conv_id AS document_id, turn AS chunk_index, CAST(length(text) AS INTEGER) AS n FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, 0, quality FROM labels"""
-SQL["chunk_preview"] = "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n FROM conversations WHERE conv_id = 0 ORDER BY turn LIMIT 2 OFFSET 1"
+SQL["chunk_preview"] = "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k IN (2, 3)"
 
 _REPORTS = r"""
 rep AS (SELECT doc_id, (CASE WHEN lang = 'en' THEN 'FINDINGS' || chr(10) WHEN lang = 'de' THEN '**Findings**' || chr(10) ELSE '' END) || text || chr(10) || 'Left nodule of 8 mm, ' || source || ' possibly possible TODO' || chr(10)
@@ -199,8 +275,44 @@ WITH {_REPORTS}, w AS (SELECT doc_id, {_content('findings')} AS known, list_filt
 n AS (SELECT doc_id, list_sort(list_filter(own, lambda x: NOT list_contains(known, x) AND len(list_filter(known, lambda k: starts_with(k, left(x, 5)) OR starts_with(x, left(k, 5)))) = 0)) AS novel FROM w)
 SELECT doc_id, array_to_string(novel[1:6], ',') AS terms FROM n"""
 
+
+
+def _unitless(x: str) -> str:
+    """Numbers after a measuring word that letters follow which begin no unit; RE2 has no look-ahead."""
+    seen = rf"regexp_extract_all({x} || chr(0), '(?i)\b(?:measur\w+|approximately|approx\.?|about|up to|size of)\s+\d+(?:\.\d+)?\s*(?:[a-z°%]{{1,10}}|[°%]|\n?\x00)')"
+    return rf"list_filter({seen}, lambda m: NOT regexp_matches(m, '(?i)\d\s*(?:mm|cm|m$|millimet|centimet|%|percent|degrees?|°)'))"
+
+
+def _vague(x: str) -> str:
+    """Sizes that no number follows within 40 characters of their sentence: from the pieces between them."""
+    word = r"(?i)\b(?:somewhat|fairly|rather|slightly)?\s*(?:enlarged|prominent|increased|decreased|small|large|big)\b"
+    found, pieces = f"regexp_extract_all({x}, '{word}')", f"regexp_split_to_array({x}, '{word}')"
+    after = f"array_to_string(list_concat(list_zip({pieces}[i + 1:i + 41], {found}[i + 1:i + 41]).list_transform(lambda z: z[1] || coalesce(z[2], ''))), '')"
+    return rf"list_filter(range(1, len({found}) + 1), lambda i: NOT regexp_matches(left({after}, 60), '^[^.]{{0,40}}\b\d'))"
+
+
+SQL["quality_units"] = rf"""
+WITH b AS (SELECT doc_id, text || chr(10) || 'Nodule measuring 8 and approximately 9 mm, somewhat enlarged.' AS text FROM documents),
+sec AS (SELECT doc_id, text, CASE WHEN head = '' THEN text ELSE left(text, instr(text, head) - 1) END AS findings
+        FROM (SELECT *, regexp_extract(text, '(?im)^\W*\**\s*(?:impression|conclusion)s?\s*\**\W*$') AS head FROM b))
+SELECT doc_id, CAST(len({_unitless("text")}) AS INTEGER) AS unitless, CAST(len({_vague("findings")}) AS INTEGER) AS vague FROM sec"""
+
+
+def _with(name: str) -> str:
+    """The query of that name as a common table expression."""
+    return f"{name} AS ({SQL[name].strip()})"
+
+
+SQL["quality_summary"] = rf"""
+WITH {_REPORTS}, {", ".join(map(_with, ("quality_sections", "quality_placeholders", "quality_hedging", "quality_laterality", "quality_measurements", "quality_terms")))},
+u AS (SELECT doc_id, len({_unitless("text")}) AS n, length({_strip("text")}) = 0 AS blank FROM rep),
+c AS (SELECT doc_id, blank, CASE WHEN s.codes = '' THEN 0 ELSE len(string_split(s.codes, ',')) END + p.n + u.n + l.n + m.n AS e, h.n + CASE WHEN t.terms = '' THEN 0 ELSE 1 END AS w
+      FROM quality_sections s JOIN quality_placeholders p USING (doc_id) JOIN quality_hedging h USING (doc_id) JOIN quality_laterality l USING (doc_id)
+      JOIN quality_measurements m USING (doc_id) JOIN quality_terms t USING (doc_id) JOIN u USING (doc_id))
+SELECT doc_id, CAST(CASE WHEN blank THEN 1 ELSE e END AS INTEGER) AS errors, CAST(CASE WHEN blank THEN 0 ELSE w END AS INTEGER) AS warnings, blank = false AND e = 0 AND w = 0 AS is_clean FROM c"""
+
 _STUDIES = """
-st AS (SELECT a.conv_id, 'Nodule of 1.2 cm in the lung. ' || a.text AS prior, 'Nodule of 15 mm in the lung. ' || b.text AS current FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)"""
+st AS (SELECT a.conv_id, a.turn, 'Nodule of 1.2 cm in the lung. ' || a.text AS prior, 'Nodule of 15 mm in the lung. ' || b.text AS current FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 _VALUE = r"(\d+(?:\.\d+)?)\s*((?:mm|cm|millimet(?:re|er)s?|centimet(?:re|er)s?|percent)\b|%)"
 SQL["measurements"] = rf"""
 WITH {_REPORTS}, v AS (SELECT doc_id, regexp_extract_all(text, '(?i){_VALUE}', 1) AS numbers, regexp_extract_all(text, '(?i){_VALUE}', 2) AS units FROM rep),
@@ -208,15 +320,81 @@ e AS (SELECT doc_id, unnest(range(0, len(numbers))) AS pos, numbers, units FROM
 u AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(numbers[pos + 1] AS DOUBLE) AS value, CASE WHEN lower(units[pos + 1]) = 'percent' THEN '%' ELSE lower(units[pos + 1]) END AS unit FROM e)
 SELECT doc_id, pos, value, unit, value * CASE WHEN unit IN ('mm', 'millimetre', 'millimeter') THEN 1.0 WHEN unit IN ('cm', 'centimetre', 'centimeter') THEN 10.0 END::DOUBLE AS mm FROM u"""
 SQL["jaccard_mismatch"] = f"""
-WITH {_STUDIES}, w AS (SELECT conv_id, {_context('prior')} AS a, {_context('current')} AS b FROM st)
-SELECT conv_id, round({_overlap('a', 'b')}, 6) AS overlap, len(a) >= 5 AND len(b) >= 5 AND ({_overlap('a', 'b')}) < 0.08 AS other_study FROM w"""
+WITH {_STUDIES}, w AS (SELECT conv_id, turn, {_context('prior')} AS a, {_context('current')} AS b FROM st)
+SELECT conv_id, turn, round({_overlap('a', 'b')}, 6) AS overlap, len(a) >= 5 AND len(b) >= 5 AND ({_overlap('a', 'b')}) < 0.08 AS other_study FROM w"""
 SQL["agreement"] = f"""
-WITH {_STUDIES}, w AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(prior), '[a-z0-9%]+')) AS a, list_distinct(regexp_extract_all(lower(current), '[a-z0-9%]+')) AS b FROM st)
-SELECT conv_id, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 3) END AS agreement FROM w"""
+WITH {_STUDIES}, w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(prior), '[a-z0-9%]+')) AS a, list_distinct(regexp_extract_all(lower(current), '[a-z0-9%]+')) AS b FROM st)
+SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 3) END AS agreement FROM w"""
+SQL["study_mismatch"] = f"""
+WITH w AS (SELECT conv_id, turn, {_context("'Lumbar vertebra alignment preserved, sacral disc height maintained, thecal conus unremarkable.'")} AS a, {_context('text')} AS b FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(a) >= 5 AND len(b) >= 5 AND ({_overlap('a', 'b')}) < 0.08 THEN 'The reports have ' || CAST(round_even(({_overlap('a', 'b')}) * 100, 0) AS INTEGER)
+  || '% of their words in common: they may be of different studies or regions. Make sure that the earlier report is the right one.' ELSE '' END AS warning FROM w"""
+
+# Measurements with their places and sentences, each earlier one paired in turn with the most alike later one.
+_PLACES = rf"""
+me AS (
+  SELECT conv_id, turn, 'prior' AS side, prior || chr(10) || 'Liver cyst 2.' || conv_id % 7 || ' cm; kidney stone 4 mm. Height loss 50 percent' AS x FROM st
+  UNION ALL
+  SELECT conv_id, turn, 'current', current || chr(10) || 'Kidney stone ' || turn || ' mm. Liver cyst 2' || conv_id % 7 || ' mm; height loss ' || turn || '%' FROM st),
+raw AS (SELECT *, regexp_extract_all(x, '(?i){_VALUE}', 0) AS raws, regexp_extract_all(x, '(?i){_VALUE}', 1) AS numbers, regexp_extract_all(x, '(?i){_VALUE}', 2) AS units FROM me),
+place AS (
+  SELECT conv_id, turn, side, 0 AS i, 0 AS start, 0 AS stop FROM raw
+  UNION ALL
+  SELECT p.conv_id, p.turn, p.side, p.i + 1, p.stop + instr(substring(x, p.stop + 1), raws[p.i + 1]) - 1, p.stop + instr(substring(x, p.stop + 1), raws[p.i + 1]) - 1 + length(raws[p.i + 1])
+  FROM place p JOIN raw r ON r.conv_id = p.conv_id AND r.turn = p.turn AND r.side = p.side WHERE p.i < len(raws)),
+ends AS (
+  SELECT conv_id, turn, side, k, x[k + 1] = chr(10) OR NOT regexp_matches(x[k + 2], '^\d') AS whole
+  FROM (SELECT *, unnest(range(0, length(x))) AS k FROM me) WHERE x[k + 1] = chr(10) OR (x[k + 1] IN ('.', ';') AND NOT regexp_matches(CASE WHEN k > 0 THEN x[k] ELSE '' END, '\d'))),
+m AS (
+  SELECT p.conv_id, p.turn, p.side, p.i, raws[p.i] AS raw, CAST(numbers[p.i] AS DOUBLE) AS v, CASE lower(units[p.i]) WHEN 'percent' THEN '%' ELSE lower(units[p.i]) END AS unit,
+         {_strip('substring(x, coalesce(b.k, 0) + 1, coalesce(a.k, length(x)) - coalesce(b.k, 0))')} AS sentence
+  FROM place p JOIN raw r ON r.conv_id = p.conv_id AND r.turn = p.turn AND r.side = p.side,
+       LATERAL (SELECT max(k) + 1 AS k FROM ends e WHERE e.conv_id = p.conv_id AND e.turn = p.turn AND e.side = p.side AND e.k < p.start AND (e.whole OR e.k + 1 = p.start)) b,
+       LATERAL (SELECT min(k) AS k FROM ends e WHERE e.conv_id = p.conv_id AND e.turn = p.turn AND e.side = p.side AND e.k >= p.stop AND e.whole) a
+  WHERE p.i > 0),
+c AS (SELECT *, {_context('sentence')} AS w, CASE unit WHEN 'mm' THEN 1.0 WHEN 'cm' THEN 10.0 END::DOUBLE AS factor FROM m),
+alike AS (SELECT p.conv_id, p.turn, p.i, q.i AS j, {_overlap('p.w', 'q.w')} AS o FROM c p JOIN c q ON q.conv_id = p.conv_id AND q.turn = p.turn AND p.side = 'prior' AND q.side = 'current'),
+chosen AS (
+  SELECT conv_id, turn, 0 AS i, NULL::BIGINT AS j, []::BIGINT[] AS used FROM st
+  UNION ALL
+  SELECT conv_id, turn, i, CASE WHEN o >= 0.3 THEN j END, CASE WHEN o >= 0.3 THEN list_append(used, j) ELSE used END
+  FROM (SELECT s.conv_id, s.turn, s.i + 1 AS i, s.used, arg_max(k.j, (o, -k.j)) AS j, max(o) AS o
+        FROM chosen s JOIN c p ON p.conv_id = s.conv_id AND p.turn = s.turn AND p.side = 'prior' AND p.i = s.i + 1 LEFT JOIN alike k ON k.conv_id = s.conv_id AND k.turn = s.turn AND k.i = s.i + 1 AND NOT list_contains(s.used, k.j)
+        GROUP BY ALL)),
+pr AS (
+  SELECT h.conv_id, h.turn, h.i, h.j, p.raw AS p_raw, q.raw AS q_raw, left(p.sentence, 110) AS p_said, left(q.sentence, 110) AS q_said, p.unit AS p_unit, q.unit AS q_unit, '%' IN (p.unit, q.unit) AS shares,
+         CASE WHEN '%' NOT IN (p.unit, q.unit) THEN round(q.v * q.factor - p.v * p.factor, 2) END AS delta
+  FROM chosen h JOIN c p ON p.conv_id = h.conv_id AND p.turn = h.turn AND p.side = 'prior' AND p.i = h.i JOIN c q ON q.conv_id = h.conv_id AND q.turn = h.turn AND q.side = 'current' AND q.i = h.j),
+told AS (
+  SELECT conv_id, turn, count(*) AS n, arg_min(coalesce(delta, -1.0), i) AS delta, list(j) AS used, list(i) AS paired,
+         string_agg('  - earlier ' || p_raw || ', now ' || q_raw || CASE WHEN p_raw = q_raw OR delta = 0 THEN ': the same value'
+           WHEN delta IS NOT NULL THEN ': ' || regexp_replace(printf('%.2f', abs(delta)), '\.?0+$', '') || CASE WHEN delta > 0 THEN ' mm more as printed' ELSE ' mm less as printed' END
+           WHEN shares AND p_unit = q_unit THEN '' WHEN shares THEN '. A share and a length have no difference.' ELSE '. One of the units has no conversion.' END
+           || chr(10) || '      earlier: ' || p_said || chr(10) || '      now: ' || q_said, chr(10) ORDER BY i) AS lines,
+         string_agg(CASE WHEN delta IS NOT NULL AND p_unit <> q_unit THEN '  ! ' || p_raw || ' and ' || q_raw || ' have different units; their difference is in millimetres.' END, chr(10) ORDER BY i) AS warned,
+         count(CASE WHEN delta IS NOT NULL AND p_unit <> q_unit THEN 1 END) AS warnings
+  FROM pr GROUP BY conv_id, turn),
+alone AS (
+  SELECT c.conv_id, c.turn, side, string_agg(raw, ',' ORDER BY i) AS raws,
+         string_agg('  - ' || raw || ' in the ' || CASE side WHEN 'prior' THEN 'earlier' ELSE 'current' END || ' report alone: ' || left(sentence, 110), chr(10) ORDER BY i) AS lines
+  FROM c LEFT JOIN told t ON t.conv_id = c.conv_id AND t.turn = c.turn WHERE NOT coalesce(list_contains(CASE side WHEN 'prior' THEN paired ELSE used END, i), false) GROUP BY c.conv_id, c.turn, side)"""
+_WARNING = f"""
+warn AS (
+  SELECT p.conv_id, p.turn, CASE WHEN len(a) >= 5 AND len(b) >= 5 AND ({_overlap('a', 'b')}) < 0.08 THEN 'The reports have ' || CAST(round_even(({_overlap('a', 'b')}) * 100, 0) AS INTEGER)
+         || '% of their words in common: they may be of different studies or regions. Make sure that the earlier report is the right one.' END AS mismatch
+  FROM (SELECT conv_id, turn, {_context('x')} AS a FROM me WHERE side = 'prior') p JOIN (SELECT conv_id, turn, {_context('x')} AS b FROM me WHERE side = 'current') q USING (conv_id, turn))"""
+SQL["measurement_pairs"] = f"""
+WITH RECURSIVE {_STUDIES}, {_PLACES}, {_WARNING}
+SELECT conv_id, turn, CAST(coalesce(n, 0) AS INTEGER) AS pairs, coalesce(delta, -1.0) AS delta_mm, coalesce(b.raws, '') AS prior_only, coalesce(a.raws, '') AS current_only,
+       CAST(coalesce(warnings, 0) + (mismatch IS NOT NULL)::INT AS INTEGER) AS warnings,
+       sha256(concat_ws(chr(10) || chr(10), 'SAY FIRST THAT THE STUDIES MAY NOT BELONG TOGETHER:' || chr(10) || '  ' || mismatch,
+         concat_ws(chr(10), 'MEASUREMENTS AS PRINTED, ALREADY COMPARED:', t.lines, b.lines, a.lines, nullif(concat_ws(chr(10), warned, '  ! ' || mismatch), ''), '  Whether a difference is a change or a matter of measuring isn''t settled.'))) AS told_sha256
+FROM st LEFT JOIN told t USING (conv_id, turn) LEFT JOIN alone b ON b.conv_id = st.conv_id AND b.turn = st.turn AND b.side = 'prior'
+  LEFT JOIN alone a ON a.conv_id = st.conv_id AND a.turn = st.turn AND a.side = 'current' LEFT JOIN warn w ON w.conv_id = st.conv_id AND w.turn = st.turn"""
 
 _EVAL = f"""{_HITS},
-questions AS (SELECT item_id AS query_id, lower(substring(text, 1, 30)) AS keyword, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS category, length(text) > 40 AS should_answer,
-              length(text) AS latency_ms, CASE WHEN length(text) > 400 THEN 'too long' END AS error FROM benchmark),
+questions AS (SELECT item_id AS query_id, lower(text) AS keyword, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS category, length(text) > 40 AS should_answer,
+              length(text) AS latency_ms, CASE WHEN length(text) > 300 THEN 'too long' END AS error FROM benchmark),
 found AS (SELECT r.query_id, rank, text, source, doc_id, bm25_score FROM ranked r JOIN documents d ON d.doc_id = r.id WHERE rank <= 12),
 run AS (SELECT q.query_id, category, should_answer, latency_ms, error,
           min(rank) FILTER (contains(lower(text), keyword)) AS keyword_rank,
@@ -246,8 +424,8 @@ m AS (SELECT 'mean_quantity' AS metric, a.q AS before, b.q AS now FROM s a, s b
       UNION ALL SELECT 'latency_rows', a.n::DOUBLE, b.n::DOUBLE FROM s a, s b WHERE a.l_linestatus = 'O' AND b.l_linestatus = 'F')
 SELECT metric, before, now, round(now - before, 3) AS delta, CASE WHEN contains(metric, 'latency') THEN round(now - before, 3) < 0 ELSE round(now - before, 3) > 0 END AS better FROM m WHERE round(now - before, 3) <> 0"""
 SQL["keyword_status"] = """
-WITH p AS (SELECT item_id AS query_id, substring(text, 1, 40) AS phrase FROM benchmark)
-SELECT query_id, phrase, CASE WHEN EXISTS (SELECT 1 FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id = p.query_id AND contains(lower(d.text), lower(phrase))) THEN 'retrieved'
+WITH p AS (SELECT item_id AS query_id, text AS phrase FROM benchmark)
+SELECT query_id, phrase, CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = p.query_id AND contains(lower(d.text), lower(phrase))) THEN 'retrieved'
   WHEN EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(phrase))) THEN 'in corpus but missed' ELSE 'not in corpus' END AS status FROM p"""
 
 _LIMIT = """
@@ -271,17 +449,68 @@ SQL["page_text"] = r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, trim(regexp_replace(t, '[ \t\n\r]+', ' ', 'g')) AS t FROM a)
 SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS text_sha256 FROM b"""
+SQL["jats_articles"] = rf"""
+WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') || '  end.', '[{_SPACES}]+', ' ', 'g')) AS body FROM documents),
+n AS (SELECT doc_id, length(body) + 7 AS n FROM b)
+SELECT doc_id, CASE WHEN n >= 600 THEN 'open-access' END AS licence, CAST(CASE WHEN n > 120000 THEN 120013 WHEN n >= 600 THEN n END AS INTEGER) AS n_chars, CASE WHEN n >= 600 THEN 1 END AS figures FROM n"""
 SQL["licence"] = """
 SELECT page_id, CASE WHEN split_part(url, '/', 4) <> '' THEN 'CC-' || upper(split_part(url, '/', 4)) || ' 4.0' ELSE 'https://creativecommons.org/licenses//4.0/' END AS licence,
        regexp_matches(lower(url), 'logo|icon|orcid|cover|banner|headshot') AS decorative FROM pages"""
-SQL["article_numbers"] = "SELECT page_id, 'PMC' || page_id AS number FROM pages"
+SQL["article_numbers"] = """
+SELECT page_id, CASE WHEN page_id % 3 = 0 OR page_id % 2 = 0 THEN 'PMC' || page_id ELSE '' END AS number, 'https://host/articles/pmc' || page_id || '/bin/gr1' AS figure FROM pages"""
 SQL["sse_events"] = """
 SELECT conv_id, turn, 'event: token' || chr(10) || 'data: {"n": ' || length(text) || '}' || chr(10) || chr(10) AS frame, '{"n": ' || length(text) || '}' AS data FROM conversations"""
 SQL["citation_fix"] = "SELECT item_id, translate('【1】［2］ ' || text, '【】［］', '[][]') AS fixed FROM benchmark"
-SQL["citation_valid"] = "SELECT item_id, item_id BETWEEN 1 AND 12 AS valid FROM benchmark"
-SQL["prompts"] = f"""
-SELECT item_id, sha256('{ROLES['qa:resident'].replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || '{GROUNDING['qa'].replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || 'CONTEXT (use ONLY this to answer):' || chr(10) || chr(10)
-  || '[Source 1] (Title | general | score: 0.50)' || chr(10) || text || chr(10)) AS message_sha256 FROM benchmark"""
+SQL["citation_valid"] = "SELECT item_id, item_id BETWEEN 1 AND 12 AND item_id % 5 <> 0 AND item_id % 7 <> 0 AS valid FROM benchmark"
+_QUOTED = {k: v.replace("'", "''") for k, v in (ROLES | {f"ground {k}": v for k, v in GROUNDING.items()}).items()}
+_NO_SOURCE = "chr(10) || chr(10) || chr(10) || 'The knowledge base holds no source for this question.'"
+_SOURCE = "chr(10) || chr(10) || 'SOURCES TO ANSWER FROM:' || chr(10) || chr(10) || '[1] Title (general, score 0.50)' || chr(10) || text || chr(10)"
+
+
+def _frame(title: str) -> str:
+    rule = "=" * 60
+    return f"chr(10) || chr(10) || '{rule}' || chr(10) || '{title}' || chr(10) || '{rule}' || chr(10) || text || chr(10) || '{rule}' || chr(10) || '{title} ENDS' || chr(10)"
+
+
+def _message(mode: str, role: str, ground: str, rest: str) -> str:
+    return f"SELECT item_id, '{mode}' AS mode, sha256('{_QUOTED[role]}' || chr(10) || chr(10) || '{_QUOTED['ground ' + ground]}' || {rest}) AS message_sha256 FROM benchmark"
+
+
+SQL["prompts"] = " UNION ALL ".join(
+    [
+        _message("qa", "qa:resident", "qa", _SOURCE),
+        _message("report", "report", "report", _NO_SOURCE),
+        _message("report_analysis", "report_analysis", "report_analysis", f"{_frame('ATTACHED TEXT')} || chr(10) || 'The text was read by a machine and may hold errors:' || chr(10) || '  - blurred' || chr(10) || {_NO_SOURCE}"),
+        _message("comparison", "comparison", "comparison", f"{_frame('EARLIER REPORT')} || chr(10) || 'FACTS' || chr(10) || {_SOURCE}"),
+    ]
+)
+SQL["answer_stream"] = """
+WITH t AS (SELECT item_id, string_split('[1] ' || translate(text, '【】［］', '[][]'), ' ') AS w FROM benchmark),
+e AS (SELECT item_id, 0 AS pos, 'sources' AS event, '[{"chunk_id":1}]' AS data FROM t UNION ALL SELECT item_id, len(w) + 1, 'done', '{}' FROM t
+      UNION ALL SELECT item_id, i, 'token', '{"text":' || to_json(w[i]) || '}' FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM t))
+SELECT item_id, CAST(pos AS INTEGER) AS pos, event, data FROM e"""
+SQL["deleted_documents"] = """
+WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+r AS (SELECT 'document' AS kind, doc_id FROM documents WHERE doc_id NOT IN (FROM g) UNION ALL SELECT 'label', doc_id FROM labels WHERE doc_id NOT IN (FROM g)
+      UNION ALL SELECT 'turn', CASE WHEN conv_id NOT IN (FROM g) THEN conv_id END FROM conversations)
+SELECT kind, count(*) AS n, count(doc_id) AS linked, CAST(sum(doc_id) AS BIGINT) AS total FROM r GROUP BY kind"""
+SQL["inserted_documents"] = """
+WITH r AS (SELECT page_id, page_id % 2 = 0 AS taken, length(html) AS size FROM pages),
+t AS (SELECT page_id, CASE WHEN NOT taken THEN 'files of type .exe aren''t taken' WHEN size = 0 THEN 'the file is empty' WHEN size > 2000 THEN 'the file is larger than 2000 bytes' END AS reason FROM r)
+SELECT page_id, CASE WHEN reason IS NULL THEN 'pending' ELSE 'rejected' END AS status, reason FROM t"""
+SQL["status_changes"] = """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus <> 'O' THEN 'failed' WHEN o_orderpriority = '1-URGENT' THEN 'completed' WHEN o_orderpriority = '2-HIGH' THEN 'failed' ELSE 'processing' END AS status FROM orders"""
+SQL["updated_vectors"] = "SELECT vec_id, label, round(CASE WHEN label = 3 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) AS first FROM embeddings"
+SQL["middle_slices"] = "SELECT vec_id, 16 AS n, embedding[16 * CAST(floor((vec_id % 4 + 1) / 2) AS BIGINT) + 1] AS first FROM embeddings"
+SQL["confidences"] = """
+WITH r AS (SELECT vec_id, list_filter(list_transform(embedding, lambda x: round(x::DOUBLE * 100, 0)), lambda x: x >= 0) AS k FROM embeddings)
+SELECT vec_id, CASE WHEN len(k) > 0 THEN round(list_sum(k) / len(k), 1) ELSE 0.0 END AS confidence FROM r"""
+SQL["eval_bands"] = f"""
+WITH {_EVAL}, c AS (SELECT category, count(*) AS n, round(100 * count(*) FILTER (keyword_hit_12) / count(*), 1) AS keyword_recall_12 FROM ev WHERE should_answer GROUP BY category)
+SELECT *, CASE WHEN keyword_recall_12 >= 80 THEN 'good' WHEN keyword_recall_12 >= 50 THEN 'fair' ELSE 'poor' END AS band FROM c"""
+SQL["contacts"] = """
+SELECT c_custkey, lower(c_name) || '@host.org' AS email, coalesce(CASE WHEN c_custkey % 3 = 0 THEN '10.0.0.' || c_nationkey END, CASE WHEN c_custkey % 2 = 0 THEN '1.2.3.4' END, 'unknown') AS client,
+       array_to_string(list_transform(string_split(lower(c_mktsegment) || ' report of ct.v2', ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM customer"""
 SQL["pixel_windowing"] = """
 WITH r AS (SELECT vec_id, list_transform(embedding, lambda p: CAST(floor(least(greatest((p::DOUBLE * 1000.0 - 50.0 + 160.0) / 400.0, 0.0), 1.0) * 255) AS INTEGER)) AS levels FROM embeddings)
 SELECT vec_id, CAST(list_sum(levels) AS INTEGER) AS sum, list_max(levels) AS most, 255 - levels[1] AS first_shown FROM r"""

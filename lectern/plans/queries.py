@@ -11,6 +11,7 @@ from lectern.functions import text as T
 from lectern.operators import chunking, compare, evaluate, imaging, lexical, limits, metadata, prompt, quality, retrieval, vector
 from lectern.plans import ingest, search
 from lectern.session import table
+from lectern.storage import materialise
 from lectern.sources import markup
 from lectern.streaming import windows
 
@@ -115,11 +116,47 @@ def mean_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def final_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as a draft, the turn two later, if there is one, as its edit."""
     turns = table(spark, d, "conversations")
-    draft, edited = (turns.filter(F.col("turn") == i).select("conv_id", F.col("text").alias(n)) for i, n in ((0, "draft"), (2, "edited")))
-    joined = draft.join(edited, "conv_id", "left")
-    changed = F.coalesce(T.strip(F.col("edited")) != T.strip(F.col("draft")), F.lit(False))
-    return joined.select("conv_id", F.length(F.coalesce("edited", "draft")).alias("n_chars"), changed.alias("was_edited"))
+    draft, edited = turns.select("conv_id", "turn", F.col("text").alias("draft")), turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("edited"))
+    joined = draft.join(edited, ["conv_id", "turn"], "left")
+    return joined.select("conv_id", "turn", F.length(T.final_text(F.col("draft"), F.col("edited"))).alias("n_chars"), T.was_edited(F.col("draft"), F.col("edited")).alias("was_edited"))
+
+
+@query
+def deleted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Toxic documents go, with their labels; conversations keep their rows and lose the link."""
+    labels = table(spark, d, "labels")
+    gone = labels.filter("toxic = 1").select("doc_id")
+    left = metadata.delete(docs(spark, d).select("doc_id"), gone, "doc_id").withColumn("kind", F.lit("document"))
+    points = metadata.delete(labels.select("doc_id"), gone, "doc_id").withColumn("kind", F.lit("label"))
+    turns = metadata.unlink(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")), gone, "doc_id").withColumn("kind", F.lit("turn"))
+    return left.unionByName(points).unionByName(turns).groupBy("kind").agg(F.count("*").alias("n"), F.count("doc_id").alias("linked"), F.sum("doc_id").alias("total"))
+
+
+@query
+def inserted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as uploads: which are taken, and with which status."""
+    name = F.element_at(F.split("url", "/"), -1)
+    rows = table(spark, d, "pages").select("page_id", F.concat(name, F.when(F.col("page_id") % 2 == 0, ".pdf").otherwise(".exe")).alias("filename"), F.length("html").alias("size"))
+    return metadata.accepted(rows, [".pdf", ".txt"], 2000).select("page_id", "status", "reason")
+
+
+@query
+def status_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as background jobs that report a state: only forward changes count."""
+    now = F.when(F.col("o_orderstatus") == "O", "processing").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    told = F.when(F.col("o_orderpriority") == "1-URGENT", "completed").when(F.col("o_orderpriority") == "2-HIGH", "failed").otherwise("processing")
+    return table(spark, d, "orders").select("o_orderkey", metadata.next_status(now, told).alias("status"))
+
+
+@query
+def updated_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of label 3 are replaced by their negatives, ids and payload stay."""
+    stored = table(spark, d, "embeddings")
+    new = stored.filter("label = 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    changed = metadata.update_vectors(stored, new, "vec_id")
+    return changed.select("vec_id", "label", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
 # ---- lexical ----
@@ -131,32 +168,42 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return words.select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("n_distinct"), F.try_element_at("w", F.lit(1)).alias("first"))
 
 
+def _index(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.build(docs(spark, d), "doc_id").stored()
+
+
 @query
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.build(docs(spark, d), "doc_id")
+    index = _index(spark, d)
     terms = index.frequencies.agg(F.count("*").alias("terms"), F.max("df").alias("most_df"), F.sum("df").alias("postings"))
     return index.size.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)  # one row each
 
 
 @query
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document has each of its terms."""
+    return lexical.build(docs(spark, d), "doc_id").postings.select("id", "term", "tf", "dl")
+
+
+@query
+def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return lexical.build(docs(spark, d), "doc_id").frequencies
 
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The documents that answer each benchmark item best."""
-    return lexical.search(lexical.build(docs(spark, d), "doc_id"), table(spark, d, "benchmark"))
+    return lexical.search(_index(spark, d), table(spark, d, "benchmark"))
 
 
 @query
 def salient_terms(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.salient(lexical.build(docs(spark, d), "doc_id"), table(spark, d, "benchmark"), "item_id")
+    return lexical.salient(_index(spark, d), table(spark, d, "benchmark"), "item_id")
 
 
 @query
 def document_query(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.document_query(lexical.build(docs(spark, d), "doc_id"), table(spark, d, "benchmark"), "item_id", "What does it show?")
+    return lexical.document_query(_index(spark, d), table(spark, d, "benchmark"), "item_id", "What does it show?")
 
 
 # ---- vectors ----
@@ -234,12 +281,24 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.unite(near, words, cosines).select("query_id", "point_id", "score")
 
 
+def _passages(spark: SparkSession, d: str, source_type: str | None = None) -> DataFrame:
+    rows = docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text"), F.col("source").alias("source_type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("filename"))
+    points = materialise(ingest.points(rows, vector.HashingEmbedder()), "points")
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search.retrieve(points, questions, vector.HashingEmbedder(), source_type=source_type)
+    return found.select("query_id", "chunk_id", "document_id", "chunk_index", "score", "merged", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Passages of whole documents for every benchmark item, by the built-in embedder."""
-    rows = docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text"), F.col("source").alias("source_type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("filename"))
-    points = ingest.points(rows, vector.HashingEmbedder())
-    return search.retrieve(points, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), vector.HashingEmbedder()).drop("text")
+    return _passages(spark, d)
+
+
+@query
+def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same from one source alone: the filter applies before the vector cut and after the lexical one."""
+    return _passages(spark, d, "src1")
 
 
 @query
@@ -253,7 +312,8 @@ def out_of_scope(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_documents(docs(spark, d).select("doc_id", "text")).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"))
+    cut = chunking.chunk_documents(docs(spark, d).select("doc_id", "text"))
+    return cut.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
 @query
@@ -283,8 +343,10 @@ def upsert_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_preview(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations")
-    return turns.filter("conv_id = 0").orderBy("turn").offset(1).limit(2).select("conv_id", "turn", F.length("text").alias("n"))
+    """The second and third turn of every conversation."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), "text")
+    shown = metadata.chunks_of(turns, offset=1, limit=2)
+    return shown.select(F.col("document_id").alias("conv_id"), F.col("chunk_index").alias("turn"), F.length("text").alias("n"))
 
 
 # ---- quality ----
@@ -347,9 +409,11 @@ def quality_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _studies(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn and the next as earlier and current report, with a measurement each."""
     turns = table(spark, d, "conversations")
-    one, two = (turns.filter(F.col("turn") == i).select("conv_id", F.concat(F.lit(f"Nodule of {v} in the lung. "), F.col("text")).alias(n)) for i, v, n in ((0, "1.2 cm", "prior"), (1, "15 mm", "current")))
-    return one.join(two, "conv_id")
+    one = turns.select("conv_id", "turn", F.concat(F.lit("Nodule of 1.2 cm in the lung. "), F.col("text")).alias("prior"))
+    two = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.concat(F.lit("Nodule of 15 mm in the lung. "), F.col("text")).alias("current"))
+    return one.join(two, ["conv_id", "turn"])
 
 
 @query
@@ -360,18 +424,37 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def measurement_pairs(spark: SparkSession, d: str) -> DataFrame:
-    done = compare.compare(_studies(spark, d), ["conv_id"])
-    return done.select("conv_id", F.size("pairs").alias("pairs"), F.try_element_at("pairs", F.lit(1))["delta_mm"].alias("delta_mm"), F.size("warnings").alias("warnings"), compare.render(F.col("pairs")).alias("rendered"))
+    done = compare.compare(_measured(spark, d), ["conv_id", "turn"])
+    first = F.try_element_at("pairs", F.lit(1))
+    told = compare.render_facts(F.struct(*done.columns))
+    raw = lambda x: F.array_join(F.transform(x, lambda m: m["raw"]), ",")
+    return done.select("conv_id", "turn", F.size("pairs").alias("pairs"), F.coalesce(first["delta_mm"], F.lit(-1.0)).alias("delta_mm"), raw("prior_only").alias("prior_only"), raw("current_only").alias("current_only"), F.size("warnings").alias("warnings"), F.sha2(told, 256).alias("told_sha256"))
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """The studies with more measurements, which differ from turn to turn."""
+    n, rest = F.col("turn").cast("string"), (F.col("conv_id") % 7).cast("string")
+    prior = F.concat(F.col("prior"), F.lit("\nLiver cyst 2."), rest, F.lit(" cm; kidney stone 4 mm. Height loss 50 percent"))
+    current = F.concat(F.col("current"), F.lit("\nKidney stone "), n, F.lit(" mm. Liver cyst 2"), rest, F.lit(" mm; height loss "), n, F.lit("%"))
+    return _studies(spark, d).select("conv_id", "turn", prior.alias("prior"), current.alias("current"))
 
 
 @query
 def jaccard_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    return _studies(spark, d).select("conv_id", F.round(compare.overlap(F.col("prior"), F.col("current")), 6).alias("overlap"), compare.other_study(F.col("prior"), F.col("current")).alias("other_study"))
+    own, next_ = F.col("prior"), F.col("current")
+    return _studies(spark, d).select("conv_id", "turn", F.round(compare.overlap(own, next_), 6).alias("overlap"), compare.other_study(own, next_).alias("other_study"))
+
+
+@query
+def study_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn against a report of another region: the warning with its percentage."""
+    spine = F.lit("Lumbar vertebra alignment preserved, sacral disc height maintained, thecal conus unremarkable.")
+    return table(spark, d, "conversations").select("conv_id", "turn", compare.mismatch(spine, F.col("text")).alias("warning"))
 
 
 @query
 def agreement(spark: SparkSession, d: str) -> DataFrame:
-    return _studies(spark, d).select("conv_id", T.agreement(F.col("prior"), F.col("current")).alias("agreement"))
+    return _studies(spark, d).select("conv_id", "turn", T.agreement(F.col("prior"), F.col("current")).alias("agreement"))
 
 
 # ---- evaluation ----
@@ -382,14 +465,14 @@ def _run(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     questions = items.select(
         F.col("item_id").alias("query_id"),
-        F.array(F.substring("text", 1, 30)).alias("keywords"),
+        F.array("text").alias("keywords"),
         F.array(F.lit("src0"), F.lit("src3")).alias("sources"),
         F.when(F.length("text") > 200, "long").otherwise("short").alias("category"),
         (F.length("text") > 40).alias("should_answer"),
         F.length("text").alias("latency_ms"),
-        F.when(F.length("text") > 400, "too long").alias("error"),
+        F.when(F.length("text") > 300, "too long").alias("error"),
     )
-    hits = lexical.search(lexical.build(docs(spark, d), "doc_id"), items, top=12)
+    hits = lexical.search(_index(spark, d), items, top=12)
     found = hits.join(docs(spark, d), hits["id"] == F.col("doc_id")).select("query_id", "rank", "text", F.col("source").alias("title"), F.col("doc_id").alias("document_id"), F.col("bm25_score").alias("score"))
     return evaluate.ranks(questions, found)
 
@@ -410,6 +493,11 @@ def eval_by_category(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.by_category(_run(spark, d))
 
 
+@query
+def eval_bands(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.banded(evaluate.by_category(_run(spark, d)))
+
+
 @query
 def eval_errors(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.errors(_run(spark, d)).select("error", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
@@ -424,10 +512,10 @@ def eval_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_status(spark: SparkSession, d: str) -> DataFrame:
-    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("phrase"))
+    """Benchmark items as phrases; each retrieved the document of its own number."""
+    phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
     corpus = docs(spark, d)
-    retrieved = corpus.join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("query_id"), "text")
-    return evaluate.keyword_status(phrases, retrieved, corpus)
+    return evaluate.keyword_status(phrases, corpus.select(F.col("doc_id").alias("query_id"), "text"), corpus, "doc_id")
 
 
 # ---- limits and windows ----
@@ -485,9 +573,12 @@ def licence(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def article_numbers(spark: SparkSession, d: str) -> DataFrame:
-    url = F.when(F.col("page_id") > 20, F.concat(F.lit("https://host/articles/PMC"), F.col("page_id").cast("string"), F.lit("/")))
-    name = F.concat(F.lit("pmc_PMC"), F.col("page_id").cast("string"), F.lit(".txt"))
-    return table(spark, d, "pages").select("page_id", markup.article_number(url, name).alias("number"))
+    """Links and file names with and without a number, and the address of a figure."""
+    n = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://host/articles/PMC"), n, F.lit("/"))).when(F.col("page_id") % 3 == 1, F.col("url"))
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("pmc_PMC"), n, F.lit(".txt"))).otherwise("notes.txt")
+    number = markup.article_number(url, name)
+    return table(spark, d, "pages").select("page_id", number.alias("number"), markup.figure_url(F.lit("https://host/articles"), F.concat(F.lit(" pmc"), n), F.lit("gr1")).alias("figure"))
 
 
 @query
@@ -507,6 +598,15 @@ def sse_events(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "frame", T.stream_decode(F.col("frame"))["data"].alias("data"))
 
 
+@query
+def contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Names as addresses, forwarding chains and file names."""
+    rows = table(spark, d, "customer")
+    chain = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" 10.0.0."), F.col("c_nationkey").cast("string"), F.lit(" , 9.9.9.9"))).when(F.col("c_custkey") % 3 == 1, F.lit(""))
+    peer = F.when(F.col("c_custkey") % 2 == 0, F.lit("1.2.3.4"))
+    return rows.select("c_custkey", T.normalise_email(F.concat(F.lit(" "), F.col("c_name"), F.lit("@HOST.org\n"))).alias("email"), T.client_address(chain, peer).alias("client"), T.title_of(F.concat(F.lower("c_mktsegment"), F.lit("_report-of_ct.v2.pdf"))).alias("title"))
+
+
 @query
 def citation_fix(spark: SparkSession, d: str) -> DataFrame:
     marked = F.concat(F.lit("【1】［2］ "), F.col("text"))
@@ -515,17 +615,36 @@ def citation_fix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def citation_valid(spark: SparkSession, d: str) -> DataFrame:
-    inside = F.concat(F.lit("1, "), F.col("item_id").cast("string"))
+    """Lists of numbers, some with zeros, words or gaps among them."""
+    n = F.col("item_id").cast("string")
+    inside = F.concat(F.lit("1, "), n, F.when(F.col("item_id") % 5 == 0, F.lit(",x")).when(F.col("item_id") % 7 == 0, F.lit(", ,2")).otherwise(F.lit(" , 3")))
     return table(spark, d, "benchmark").select("item_id", T.citation_valid(inside, F.lit(12)).alias("valid"))
 
 
 @query
 def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item as a source, an attached text and an earlier report, in all modes."""
     rows = table(spark, d, "benchmark")
     source = F.array(F.struct(F.lit(1).alias("chunk_id"), F.lit("Title").alias("title"), F.lit(None).cast("string").alias("source_type"), F.lit(0.5).alias("score"), F.col("text")))
-    none, no_array = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    message = prompt.system_message(F.lit("qa"), F.lit("resident"), source, none, no_array, none, none)
-    return rows.select("item_id", F.sha2(message, 256).alias("message_sha256"))
+    none, no_array, no_source = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.slice(source, 1, 0)
+    warned = F.array(F.lit("blurred"))
+    messages = {
+        "qa": prompt.system_message(F.lit("qa"), F.lit("resident"), source, none, no_array, none, none),
+        "report": prompt.system_message(F.lit("report"), F.lit("other"), no_source, none, no_array, none, none),
+        "report_analysis": prompt.system_message(F.lit("qa"), F.lit("radiologist"), no_source, F.col("text"), warned, none, none),
+        "comparison": prompt.system_message(F.lit("qa"), F.lit("radiologist"), source, none, no_array, F.col("text"), F.lit("FACTS")),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), text.alias("message")) for m, text in messages.items()])).alias("p")
+    return rows.select("item_id", each).select("item_id", "p.mode", F.sha2("p.message", 256).alias("message_sha256"))
+
+
+@query
+def answer_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events of an answer that repeats a benchmark item's words with full-width citations."""
+    sources = F.array(F.struct(F.lit(1).alias("chunk_id")))
+    tokens = F.split(F.concat(F.lit("【1】 "), F.col("text")), " ")
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(prompt.answer_events(sources, tokens)).alias("pos", "e"))
+    return rows.select("item_id", "pos", "e.event", "e.data")
 
 
 @query
@@ -535,6 +654,21 @@ def pixel_windowing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.aggregate("levels", F.lit(0), lambda s, x: s + x).alias("sum"), F.array_max("levels").alias("most"), F.element_at("shown", 1).alias("first_shown"))
 
 
+@query
+def middle_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors cut into frames of 16 values: the middle one is shown."""
+    frames = F.transform(F.sequence(F.lit(1), F.lit(49), F.lit(16)), lambda i: F.slice("embedding", i, F.lit(16)))
+    own = F.slice(frames, F.lit(1), F.pmod(F.col("vec_id"), F.lit(4)).cast("int") + 1)
+    shown = imaging.middle(own)
+    return table(spark, d, "embeddings").select("vec_id", F.size(shown).alias("n"), F.element_at(shown, 1).alias("first"))
+
+
+@query
+def confidences(spark: SparkSession, d: str) -> DataFrame:
+    known = F.transform("embedding", lambda x: F.round(x.cast("double") * 100, 0))
+    return table(spark, d, "embeddings").select("vec_id", imaging.mean_confidence(known).alias("confidence"))
+
+
 @query
 def study_years(spark: SparkSession, d: str) -> DataFrame:
     stamp = F.date_format("o_orderdate", "yyyyMMdd")

@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.operators import lexical, retrieval
 from lectern.operators.vector import CANDIDATES, Embedder, dot, embed
+from lectern.storage import materialise
 
 Reranker = Callable[[DataFrame], DataFrame]
 
 
+#: Questions whose vectors are sent to the tasks at once (at 384 dimensions some 12 MB); more are asked in turns.
+BLOCK = 4096
+
+
+def _nearest(points: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
+    """query_id, point_id, score: of each batch of points those nearest to every question of a block."""
+    asked = queries.collect()
+    ids = pa.array([r["query_id"] for r in asked], to_arrow_type(queries.schema["query_id"].dataType))
+    q = np.array([r["embedding"] for r in asked], float)
+    kinds = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *queries.schema.fields]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                score = q @ p.T
+                # scores are ranked when they are rounded to four digits: what may tie with the last candidate stays
+                least = np.partition(score, -candidates, axis=1)[:, -candidates, None] if batch.num_rows > candidates else -1.0
+                i, j = np.nonzero(score >= np.maximum(least, 0.0) - 1e-4)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "point_id", "score"])
+
+    own = points.filter(F.col("embedding").isNotNull()).select("point_id", "embedding")
+    return own.mapInArrow(run, f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double")
+
+
 def vector_hits(points: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, source_type: str | None = None) -> DataFrame:
-    """The nearest points of each query, exactly. queries (query_id, embedding) is a question set: small, and broadcast as such."""
+    """The nearest points of each question (query_id, embedding), exactly: a stated set of questions, BLOCK at a time, against all points."""
     if source_type is not None:
         points = points.filter(F.col("source_type") == source_type)
-    asked = queries.select("query_id", F.col("embedding").alias("__q"))
-    scored = points.crossJoin(F.broadcast(asked)).withColumn("score", F.round(dot(F.col("embedding"), F.col("__q")), 4)).filter("score >= 0").drop("__q", "embedding")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    own = queries.select("query_id", "embedding")
+    found = [_nearest(points, own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), candidates) for i in range(blocks)]
+    scored = functools.reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 4)).filter("score >= 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates)
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates)
+    return best.join(points.drop("embedding"), "point_id")
 
 
 def retrieve(
@@ -34,24 +67,24 @@ def retrieve(
     final_order: str = "score",
     prefilter: bool = False,
 ) -> DataFrame:
-    """Passages of every question (query_id, text), numbered from 1 by chunk_id.
+    """Passages of every question (query_id, text), numbered from 1 by chunk_id. points are read several times, so they should be written before.
 
     The source filter applies before the vector cut and, as published, after the lexical one; prefilter moves it before both.
     Without a reranker candidates keep their order.
     """
-    queries = questions.select("query_id", F.col("text").alias("question"), embed(F.col("text"), embedder).alias("embedding"))
+    queries = materialise(questions.select("query_id", F.col("text").alias("question"), embed(F.col("text"), embedder).alias("embedding")), "questions")
     near = vector_hits(points, queries, source_type=source_type)
     pool = points.filter(F.col("source_type") == source_type) if source_type is not None and prefilter else points
-    index = index or lexical.build(pool, "point_id", "search_text")
+    index = index or lexical.build(pool, "point_id", "search_text").stored()
     words = lexical.search(index, questions, "query_id", "text").select("query_id", F.col("id").alias("point_id"), F.col("rank").alias("lexical_rank"), "bm25_score")
     found = words.join(points, "point_id")
     if source_type is not None:
         found = found.filter(F.col("source_type") == source_type)
-    scored = found.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("__q"))), "query_id")
+    scored = found.join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
     cosines = scored.select("query_id", "point_id", F.round(dot(F.col("embedding"), F.col("__q")), 4).alias("score"))
     extra = found.drop("embedding").withColumn("rank", F.col("lexical_rank") + CANDIDATES).drop("lexical_rank")
     hits = retrieval.unite(near, extra, cosines)
     if rerank is not None:
-        hits = retrieval.rerank_order(rerank(hits.join(F.broadcast(queries.select("query_id", "question")), "query_id")))
+        hits = retrieval.rerank_order(rerank(hits.join(queries.select("query_id", "question"), "query_id")))
     capped = retrieval.trim(retrieval.cap_per_document(hits), limit)
     return retrieval.merge_adjacent(capped, final_order=final_order)

@@ -152,3 +152,9 @@ def article_number(url: Column, filename: Column) -> Column:
     found = [F.regexp_replace(F.regexp_extract(F.coalesce(x, F.lit("")), p, 1), r"\D", "") for x, p in ((url, r"^.*/PMC(.*)$"), (filename, r"^.*PMC(.*)$"))]
     digits = F.when(found[0] != "", found[0]).otherwise(found[1])
     return F.when(digits != "", F.concat(F.lit("PMC"), digits)).otherwise("")
+
+
+def figure_url(archive: Column, number: Column, href: Column) -> Column:
+    """The address of an article's figure; the number with or without its letters."""
+    bare = F.trim(number)
+    return F.concat(archive, F.lit("/"), F.when(F.upper(bare).startswith("PMC"), bare).otherwise(F.concat(F.lit("PMC"), bare)), F.lit("/bin/"), href)

@@ -48,7 +48,7 @@ def test_pairs():
     f = compare.facts("Nodule of 8 mm in the right upper lobe.", "Nodule of 9 mm in the right upper lobe.")
     assert [(p["delta_mm"], p["comparable"]) for p in f["pairs"]] == [(1.0, True)]
     f = compare.facts("Liver cyst of 8 mm.", "Lung nodule measures 9 mm.")
-    assert f["pairs"] == [] and f["prior_only"] == ["8 mm"] and f["current_only"] == ["9 mm"]
+    assert f["pairs"] == [] and [m["raw"] for m in f["prior_only"] + f["current_only"]] == ["8 mm", "9 mm"]
     f = compare.facts("Right lobe nodule 1.2 cm.", "Right lobe nodule 13 mm.")
     assert f["pairs"][0]["delta_mm"] == 1.0 and len(f["warnings"]) == 1
     f = compare.facts("Height loss 50 percent.", "Height loss 60%.")
@@ -76,3 +76,16 @@ def test_compare_rows(spark):
     rows = spark.createDataFrame([(1, "Nodule 8 mm.", "Nodule 9 mm."), (2, None, None)], "id int, prior string, current string")
     got = {r["id"]: r for r in compare.compare(rows, ["id"]).collect()}
     assert got[1]["pairs"][0]["delta_mm"] == 1.0 and got[2]["pairs"] == []
+
+
+def test_other_studies_are_told_first(spark):
+    spine, chest = "Lumbar vertebra alignment preserved, sacral disc height maintained.", "Lungs clear, pleura normal, cardiac silhouette unremarkable, ribs intact."
+    rows = spark.createDataFrame([(1, spine, chest), (2, spine + " Disc 8 mm.", chest), (3, "Nodule 8 mm.", "Nodule 8 mm."), (4, "Mass 1 cm.", "Mass 1.25 cm, effusion 3 mm."), (5, "", None)], "id int, prior string, current string")
+    done = compare.compare(rows, ["id"])
+    got = {r["id"]: r for r in done.select("*", compare.render_facts(F.struct(*done.columns)).alias("told")).collect()}
+    assert got[1]["mismatch"] and got[1]["warnings"] == [got[1]["mismatch"]] and got[1]["pairs"] == []
+    assert got[1]["told"].startswith("SAY FIRST") and "0%" in got[1]["told"] and "MEASUREMENTS" not in got[1]["told"]
+    assert "  - 8 mm in the earlier report alone: Disc 8 mm\n" in got[2]["told"]
+    assert got[3]["told"].splitlines()[1:4] == ["  - earlier 8 mm, now 8 mm: the same value", "      earlier: Nodule 8 mm", "      now: Nodule 8 mm"]
+    assert "earlier 1 cm, now 1.25 cm: 2.5 mm more as printed" in got[4]["told"] and "3 mm in the current report alone" in got[4]["told"]
+    assert got[5]["told"] == "" == got[5]["mismatch"]
