@@ -6,8 +6,9 @@ its ancestors), the place of its first token in the output, and the intervals of
 ancestors: a token attends to those and to the earlier tokens of its own node.
 
 The order comes from the sorted paths (sequences of node digests) of the distinct conversations: a node belongs to the
-first path that holds it, and nodes are ordered by path and depth. Paths are dealt out by range, so a
-first turn that a third of all conversations share is no hot key; identical conversations are one path.
+first path that holds it, and nodes are ordered by path and depth. Paths are dealt out by range, identical
+conversations are one path, and where paths meet their nodes' facts, a first turn that a third of them share is dealt out
+over many tasks.
 
 A turn is written `<|im_start|>role\\n` text `<|im_end|>\\n`. Backslashes and the opening `<|` of control strings inside roles and
 texts (and line feeds inside roles) are escaped by a backslash, reversibly. Head, body and foot are encoded apart, so the loss
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe_codec import codec, default_ranks
-from lectern.llm.common import arrow_map, materialise
+from lectern.llm.common import arrow_map, join_facts, materialise
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -79,7 +80,8 @@ def tree(conversations: DataFrame, ranks_path: str | None = None) -> tuple[DataF
     """The output's nodes, and conv_id with its path.
 
     Nodes: node, parent, depth, role, offset, position, tokens, ids (unsigned 16-bit), loss_start and loss_end (places in ids),
-    ancestors (array of start, end; neighbouring intervals are merged), tree (digest of the first turn).
+    ancestors (array of start, end; neighbouring intervals are merged), paths (distinct conversations that hold the node), tree (digest of
+    the first turn).
     """
     ranks, pattern = ranks_path or default_ranks()[0], default_ranks()[1]
     convs = materialise(paths_of(conversations), "paths")
@@ -87,7 +89,7 @@ def tree(conversations: DataFrame, ranks_path: str | None = None) -> tuple[DataF
     distinct = convs.groupBy(F.array_join("path", "").alias("sort")).agg(F.first("path").alias("path"), F.first("roles").alias("roles"), F.first("texts").alias("texts"))
     ordered = materialise(distinct.repartitionByRange("sort").sortWithinPartitions("sort").withColumn("rank", F.monotonically_increasing_id()), "ordered")
     each = ordered.select("rank", F.posexplode(F.arrays_zip("path", "roles", "texts"))).select("rank", F.col("pos").alias("depth"), F.col("col.path").alias("node"), F.col("col.roles").alias("role"), F.col("col.texts").alias("text"))
-    parent = each.groupBy("node").agg(F.min("rank").alias("first"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
+    parent = each.groupBy("node").agg(F.min("rank").alias("first"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("paths"))
     nodes = materialise(parent, "nodes")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -104,14 +106,14 @@ def tree(conversations: DataFrame, ranks_path: str | None = None) -> tuple[DataF
         )
 
     tokens = materialise(arrow_map(nodes.select("node", "role", "text"), run, NODES).withColumn("tokens", (F.length("ids") / 2).cast("long")), "node-tokens")
-    placed = nodes.join(tokens.select("node", "tokens"), "node").select("node", "first", "depth", "tokens", F.shiftright("first", 33).alias("part"))
+    placed = nodes.join(tokens.select("node", "tokens"), "node").select("node", "first", "depth", "tokens", "paths", F.shiftright("first", 33).alias("part"))
     parts = placed.groupBy("part").agg(F.sum("tokens").alias("all"))
     below = F.coalesce(F.sum("all").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = parts.select("part", below.alias("base"))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("first", "depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    located = placed.withColumn("inside", inside).join(bases, "part").select("node", "first", "tokens", (F.col("base") + F.col("inside")).alias("offset"))
+    located = materialise(placed.withColumn("inside", inside).join(bases, "part").select("node", "first", "tokens", (F.col("base") + F.col("inside")).alias("offset"), "paths"), "located")
     # ancestors along each path, for the nodes that the path emits
-    along = each.select("rank", "depth", "node").join(located, "node")
+    along = join_facts(each.select("rank", "depth", "node"), located, "node", "paths", located.agg(F.coalesce(F.sum("paths"), F.lit(0))).first()[0], ["rank"])
     gathered = along.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "first", "offset", "tokens"))).alias("nodes"))
     emitted = gathered.selectExpr("rank", "nodes", "posexplode(nodes) AS (at, n)").filter("n.first = rank").selectExpr(
         "n.node AS node",
@@ -126,10 +128,10 @@ def tree(conversations: DataFrame, ranks_path: str | None = None) -> tuple[DataF
         "THEN array_append(slice(done, 1, size(done) - 1), struct(try_element_at(done, -1).start AS start, x.offset + x.tokens AS end)) "
         "ELSE array_append(done, struct(x.offset AS start, x.offset + x.tokens AS end)) END) AS ancestors",
     )
-    out = emitted.join(nodes.select("node", "role"), "node").join(tokens.drop("tokens"), "node")
+    out = emitted.join(nodes.select("node", "role", "paths"), "node").join(tokens.drop("tokens"), "node")
     loss = F.col("role") == LOSS_ROLE
     out = out.select(
-        "node", "parent", "tree", "depth", "role", "offset", "position", "tokens", "ids", "ancestors",
+        "node", "parent", "tree", "depth", "role", "offset", "position", "tokens", "ids", "ancestors", "paths",
         F.when(loss, F.col("head_tokens")).alias("loss_start"),
         F.when(loss, F.col("head_tokens") + F.col("body_tokens")).alias("loss_end"),
     )
@@ -140,8 +142,11 @@ def read_back(nodes: DataFrame, convs: DataFrame, ranks_path: str | None = None)
     """Every conversation decoded from the output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     ranks, pattern = ranks_path or default_ranks()[0], default_ranks()[1]
     keyed = convs.select("conv_id", "path", F.array_join("path", "").alias("sort"))
-    steps = keyed.select("sort", "path").distinct().select("sort", F.posexplode("path").alias("depth", "node"))
-    whole = steps.join(nodes.select("node", "ids", "loss_start", "loss_end"), "node").groupBy("sort").agg(F.array_sort(F.collect_list(F.struct("depth", "ids", "loss_start", "loss_end"))).alias("nodes"))
+    same = materialise(keyed.groupBy("sort").agg(F.first("path").alias("path"), F.count("*").alias("n")), "same")
+    steps = same.select("sort", F.posexplode("path").alias("depth", "node"))
+    # parts of a hot node repeat its ids, whatever their length, at most HOT times in all
+    total = nodes.agg(F.coalesce(F.sum("paths"), F.lit(0))).first()[0]
+    whole = join_facts(steps, nodes.select("node", "ids", "loss_start", "loss_end", "paths"), "node", "paths", total, ["sort"]).groupBy("sort").agg(F.array_sort(F.collect_list(F.struct("depth", "ids", "loss_start", "loss_end"))).alias("nodes"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, rows = codec(ranks, pattern), []
@@ -162,4 +167,5 @@ def read_back(nodes: DataFrame, convs: DataFrame, ranks_path: str | None = None)
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sort", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     digests = arrow_map(whole, run, "sort string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return keyed.select("conv_id", "sort").join(digests, "sort").drop("sort")
+    facts = materialise(digests.join(same.select("sort", "n"), "sort"), "read-back")
+    return join_facts(keyed.select("conv_id", "sort"), facts, "sort", "n", convs.count(), ["conv_id"]).drop("sort")
