@@ -3,13 +3,16 @@
 Centroids and codebooks are fitted on a bounded sample (SAMPLE vectors of the least hash of vec_id); every
 vector is indexed. A query visits the lists whose centroids have the largest inner product with it, looks its
 distances up in one asymmetric table for each query (inner products with all codewords), and reranks
-the best codes of each list by the exact inner product in double precision.
+the best codes of each list by the exact inner product in double precision. How many lists are visited is learned
+from the sample: the fewest whose lists hold the share RECALL of its own neighbours. A query whose lists
+hold fewer than k candidates visits all lists.
 
 Lists are cut into blocks of at most about BLOCK vectors by a hash, so a list that holds a third of all
 vectors is searched by many tasks; a block answers each query with its own best k.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, as
-rows with a null vec_id. Repeated rows are candidates as often as they occur; ties go to the smaller vec_id; an
+rows with a null vec_id. Repeated rows are candidates as often as they occur; of different vectors under one vec_id the least, in
+the order of arrays, is the query, and none is its candidate; ties go to the smaller vec_id; an
 empty table gives none; further columns are not read.
 """
 
@@ -28,11 +31,12 @@ from lectern.llm.common import arrow_map, materialise
 K, EVERY = 20, 20
 SAMPLE, ROUNDS = 20_000, 8
 LISTS, PARTS, CODES = 512, 16, 256
-#: Lists that a query visits: this share of all, at least so many.
-PROBE_SHARE, PROBE_LEAST = 0.7, 8
+#: Share of the sample's neighbours that the visited lists hold, lists that are visited at least, and vectors of the sample that ask.
+RECALL, PROBE_LEAST, TEACHERS = 0.955, 8, 512
 #: Best codes of a block that are reranked, for each of the k wanted.
 RERANK = 4
-BLOCK, ASKERS = 16_384, 4096
+#: Stored vectors and queries that meet in one task, about.
+BLOCK, ASKERS = 32_768, 32_768
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -75,11 +79,22 @@ class Index:
         """Inner products of each query's parts with all codewords: queries x parts x codes."""
         return np.einsum("qmd,mcd->qmc", self._parts(q), self.codebooks, optimize=True).astype(np.float32)
 
-    def visit(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def visit(self, q: np.ndarray, probes: int | None = None) -> np.ndarray:
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : probes or self.probes]
 
 
-def train(sample: np.ndarray, rows: int, lists: int = LISTS, parts: int = PARTS) -> Index:
+def probes_for(sample: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
+    """The fewest lists in visiting order that hold this share of the k nearest, within the sample and for some of it."""
+    if len(sample) <= k:
+        return len(c)
+    asked = sample[:: max(1, len(sample) // TEACHERS)]
+    place = np.argsort(np.argsort(-(asked @ c.T), axis=1, kind="stable"), axis=1, kind="stable")  # of each list in each query's order
+    near = np.argpartition(-(asked @ sample.T), k, axis=1)[:, : k + 1]
+    needed = np.sort(np.take_along_axis(place, nearest(sample, c)[near], axis=1).reshape(-1))
+    return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1
+
+
+def train(sample: np.ndarray, rows: int, lists: int = LISTS, parts: int = PARTS, neighbours: int = K, recall: float = RECALL) -> Index:
     k = int(min(lists, max(1, round(rows**0.5)), max(1, len(sample) // 16)))
     c = kmeans(sample, k)
     left = sample - c[nearest(sample, c)]
@@ -87,7 +102,7 @@ def train(sample: np.ndarray, rows: int, lists: int = LISTS, parts: int = PARTS)
     width = -(-sample.shape[1] // parts)
     cut = np.pad(left, ((0, 0), (0, parts * width - sample.shape[1]))).reshape(len(sample), parts, width)
     books = np.stack([np.resize(kmeans(cut[:, m], CODES), (min(CODES, len(sample)), width)) for m in range(parts)])
-    return Index(c, books, min(k, max(PROBE_LEAST, round(k * PROBE_SHARE))))
+    return Index(c, books, min(k, max(PROBE_LEAST, probes_for(sample, c, neighbours, recall))))
 
 
 def valid(table: DataFrame) -> DataFrame:
@@ -109,7 +124,7 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.reduce(x * q, axis=1)
 
 
-def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS, probe_share: float | None = None) -> DataFrame:
+def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`."""
     spark = table.sparkSession
     rows = materialise(valid(table), "vectors")
@@ -118,9 +133,7 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
     if not n:
         return empty
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    index = train(np.stack([np.asarray(x, float) for x in sample]), n, lists)
-    if probe_share is not None:
-        index.probes = max(1, min(len(index.centroids), round(len(index.centroids) * probe_share)))
+    index = train(np.stack([np.asarray(x, float) for x in sample]), n, lists, neighbours=k, recall=recall)
     shared = spark.sparkContext.broadcast(index)  # LISTS centroids and PARTS x CODES codewords
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,20 +141,35 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
         own, codes = shared.value.assign(x)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["vec_id", "list", "codes", "v"])
 
+    stored = materialise(arrow_map(rows, place, "vec_id long, list int, codes binary, v array<double>"), "ivf")
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    queries = materialise(queries, "queries")
+    found = materialise(_answers(stored, queries, shared, index.probes, k), "answers")
+    if index.probes < len(index.centroids):
+        # too few candidates in the visited lists: these queries ask all lists instead
+        told = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        short = materialise(queries.join(told, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id", "v"), "short")
+        if not short.isEmpty():
+            found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_answers(stored, short, shared, len(index.centroids), k))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _answers(stored: DataFrame, queries: DataFrame, shared, probes: int, k: int) -> DataFrame:  # noqa: ANN001
+    """query_id, vec_id, score: the best k of each block of the visited lists."""
+
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists_of = shared.value.visit(_matrix(batch.column(1)))
+        lists_of = shared.value.visit(_matrix(batch.column(1)), probes)
         i = np.repeat(np.arange(batch.num_rows), lists_of.shape[1])
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(lists_of.reshape(-1).astype(np.int32)), batch.column(1).take(pa.array(i))], names=["query_id", "list", "q"])
 
-    stored = materialise(arrow_map(rows, place, "vec_id long, list int, codes binary, v array<double>"), "ivf")
     # LISTS rows at most
     blocks = stored.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    asked = arrow_map(queries.select(F.col("vec_id").alias("query_id"), "v").distinct(), route, "query_id long, list int, q array<double>")
-    asker = F.abs(F.xxhash64("query_id")) % F.greatest(F.ceil(F.lit(n) / every / ASKERS), F.lit(1))
+    asked = arrow_map(queries, route, "query_id long, list int, q array<double>")
+    turns = max(1, -(-queries.count() // ASKERS))
+    asker = F.pmod(F.xxhash64("query_id"), F.lit(turns))
     asked = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), asker.alias("askers"), "query_id", "q")
-    turns = max(1, -(-n // every // ASKERS))
-    dealt = stored.join(F.broadcast(blocks), "list").select("list", (F.abs(F.xxhash64("vec_id")) % F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("askers"), "vec_id", "codes", "v")
+    dealt = stored.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("askers"), "vec_id", "codes", "v")
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -150,6 +178,7 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
         ids, x = left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy())
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
         found = []
+        # scores of 128 queries at a time
         for i in range(0, len(right), 128):
             part = right.iloc[i : i + 128]
             q = np.stack(part["q"].to_numpy())
@@ -172,6 +201,4 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
     key = ["list", "block", "askers"]
-    answers = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, score double")
