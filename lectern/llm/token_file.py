@@ -9,7 +9,9 @@ A file (one for each partition, in ascending doc_id order) holds
 
 so that one short document is read with the tail, its index entry and its frame alone. The dictionary lies
 beside the files under its hash; a reader with another one is refused. It is trained on the serialized ids
-of a bounded sample of documents (SAMPLE_DOCS of the least hash of doc_id, SAMPLE_BYTES of each).
+of a bounded sample: SAMPLE_DOCS documents of the least hash of doc_id (of one doc_id the least text), whole or, if longer than
+SAMPLE_CHARS, so much of them from a hashed place on. That is some hundred times the dictionary's size, which doesn't
+grow with the data; the ids that are written are always those of whole texts.
 
 Tasks write under a name of their own attempt, through the file system that the shared folder's URI names; only
 names that a finished task reported enter the manifest, so lost executors and repeated attempts do no harm.
@@ -40,7 +42,7 @@ from lectern.llm.tokens import default_vocabulary, encoder
 MAGIC = b"LECTOK01"
 HEAD, ENTRY, TAIL = struct.Struct("<8s32sQ"), struct.Struct("<qBQIQ"), struct.Struct("<QQ8s")
 END_ID, LEVEL = 2, 3
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 65_536
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 8192, 65_536
 
 MANIFEST = "shard long, path string, docs long, tokens long"
 
@@ -122,9 +124,11 @@ class Reader:
 
 def sample_ids(docs: DataFrame, vocabulary: str) -> list[bytes]:
     """Serialized ids of a bounded sample, chosen by a hash of doc_id."""
-    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("doc_id").distinct()
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi").limit(SAMPLE_DOCS)
-    run = lambda b: pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in encoder(vocabulary).encode(b.column(0).to_pylist())], pa.binary())], names=["ids"])
+    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct()
+    text = F.coalesce("text", F.lit(""))
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    texts = docs.select("doc_id", F.substr(text, start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    run = lambda b: pa.RecordBatch.from_arrays([pa.array(encoder(vocabulary).encode(b.column(0).to_pylist()), pa.binary())], names=["ids"])
     return sorted(bytes(r[0]) for r in arrow_map(texts.select("text"), run, "ids binary").collect())
 
 
@@ -163,8 +167,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                 names=["shard", "path", "docs", "tokens"],
             )
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # equal rows may go to several files
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     return materialise(ordered.mapInArrow(run, MANIFEST), "manifest"), dictionary_path
 
 
