@@ -163,6 +163,12 @@ def client_address(forwarded: Column, peer: Column) -> Column:
     return F.coalesce(F.nullif(strip(F.split(forwarded, ",")[0]), F.lit("")), peer, F.lit("unknown"))
 
 
+def merged(before: Column, after: Column) -> Column:
+    """Two maps of metadata as one; where both have a key the later value counts, unless it is null."""
+    none = F.create_map().cast("map<string,string>")
+    return F.map_zip_with(F.coalesce(before, none), F.coalesce(after, none), lambda k, x, y: F.coalesce(y, x))
+
+
 def parse_reply(reply: Column) -> Column:
     """(transcription, unclear) of a model's reply: JSON, in a code fence or amid prose, else the raw text."""
     bare = strip(F.regexp_replace(reply, r"(?m)^```(?:json)?\s*|```\s*$", ""))

@@ -42,6 +42,12 @@ def build(chunks: DataFrame, key: str, text: str = "text") -> Index:
     return Index(tokens.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"), (F.min("pos") == 0).alias("lead")))
 
 
+def stale(index: Index, chunks: DataFrame, text: str = "text") -> bool:
+    """Whether the number of chunks that hold a term isn't the index's any more."""
+    n = index.postings.agg(F.count_if("lead")).first()[0]
+    return n != chunks.filter(F.size(tokenize(F.col(text))) > 0).count()
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 

@@ -46,6 +46,11 @@ def status_counts(rows: DataFrame, status: str, values: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == v).alias(v) for v in values])
 
 
+def counts_by(rows: DataFrame, *by: str, name: str = "n") -> DataFrame:
+    """The number of rows of each group; nulls are a group."""
+    return rows.groupBy(*by).agg(F.count("*").alias(name))
+
+
 def rate(part: Column, whole: Column, digits: int = 3) -> Column:
     """part / whole, rounded; 0 without a whole."""
     return F.coalesce(F.round(part / F.nullif(whole, F.lit(0)), digits), F.lit(0.0))

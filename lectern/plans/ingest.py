@@ -17,6 +17,12 @@ def outcome(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.when(n >= LEAST_TEXT, "completed").otherwise("failed").alias("status"), n.alias("char_count"), F.when(n < LEAST_TEXT, "The document holds too little text.").alias("message"))
 
 
+def texts(rows: DataFrame) -> DataFrame:
+    """Plain texts (title, text, perhaps filename) as documents: without a filename the title stands for it."""
+    name = F.coalesce("filename", "title") if "filename" in rows.columns else F.col("title")
+    return rows.withColumn("filename", name)
+
+
 def points(docs: DataFrame, embedder: Embedder | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """docs (document_id, title, filename, source_type, text) -> point_id, the payload, search_text and embedding.
 

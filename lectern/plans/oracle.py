@@ -117,7 +117,7 @@ h AS (SELECT conv_id AS document_id, CAST(turn AS INTEGER) AS chunk_index, text,
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM h)"""
 SQL["cap_per_document"] = f"WITH {_TURNS} SELECT document_id, chunk_index, score, rank FROM hits WHERE rank <= 3"
 _ISLANDS = f"""{_TURNS},
-own AS (SELECT * FROM hits WHERE role <> 'system'),
+own AS (SELECT * REPLACE (CAST(chunk_index + chunk_index // 2 AS INTEGER) AS chunk_index) FROM hits),
 starts AS (SELECT *, CASE WHEN chunk_index = lag(chunk_index) OVER (PARTITION BY document_id ORDER BY chunk_index, rank) + 1 THEN 0 ELSE 1 END AS s FROM own),
 isl AS (SELECT *, sum(s) OVER (PARTITION BY document_id ORDER BY chunk_index, rank ROWS UNBOUNDED PRECEDING) AS island FROM starts)"""
 SQL["adjacent_islands"] = f"""
@@ -145,7 +145,7 @@ UNION ALL
 SELECT document_id, point_id, CASE WHEN role = 'assistant' THEN score ELSE 0.0 END FROM hits h WHERE rank <= 3 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.query_id = h.document_id AND n.point_id = h.point_id)"""
 _SCOPE = "NOT (" + " OR ".join(f"contains(x, '{w}')" for w in IN_SCOPE) + ") AND regexp_matches(x, '" + "|".join(f"(?:{p})" for p in OUT_OF_SCOPE).replace("'", "''") + "')"
 SQL["out_of_scope"] = f"""
-WITH t AS (SELECT conv_id, turn, text, {_strip('lower(text)')} AS a, {_strip("lower('What''s the weather? ' || text)")} AS b FROM conversations WHERE role = 'user')
+WITH t AS (SELECT conv_id, turn, text, {_strip('lower(text)')} AS a, {_strip("lower('What''s the weather? ' || text)")} AS b FROM conversations)
 SELECT conv_id, turn, {_SCOPE.replace('(x,', '(a,')} AS out, {_SCOPE.replace('(x,', '(b,')} AS out_with_weather,
        {' OR '.join(f"contains(lower(coalesce(text, '')), '" + r.replace("'", "''") + "')" for r in REFUSALS)} AS refuses FROM t"""
 

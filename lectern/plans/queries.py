@@ -42,7 +42,7 @@ def kb_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kb_source_counts(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+    return metadata.counts_by(docs(spark, d), "source")
 
 
 @query
@@ -53,7 +53,7 @@ def doc_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def list_totals(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("total"))
+    return metadata.counts_by(docs(spark, d), "lang", "source", name="total")
 
 
 @query
@@ -252,17 +252,20 @@ def cap_per_document(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.cap_per_document(_hits(spark, d)).select("document_id", "chunk_index", "score", "rank")
 
 
+def _spaced(spark: SparkSession, d: str) -> DataFrame:
+    """All hits of each document as a query's, with a gap after every second one."""
+    return _hits(spark, d).withColumn("query_id", F.col("document_id")).withColumn("chunk_index", F.expr("chunk_index + chunk_index div 2").cast("int"))
+
+
 @query
 def adjacent_islands(spark: SparkSession, d: str) -> DataFrame:
-    hits = _hits(spark, d).filter("role <> 'system'")
-    own = retrieval.islands(hits.withColumn("query_id", F.col("document_id")))
+    own = retrieval.islands(_spaced(spark, d))
     return own.groupBy("document_id", "island").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.count("*").alias("merged"), F.max("score").alias("score"))
 
 
 @query
 def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
-    hits = _hits(spark, d).filter("role <> 'system'").withColumn("query_id", F.col("document_id"))
-    merged = retrieval.merge_adjacent(hits)
+    merged = retrieval.merge_adjacent(_spaced(spark, d))
     return merged.select("document_id", "chunk_id", "chunk_index", "score", "merged", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -303,7 +306,7 @@ def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def out_of_scope(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").filter("role = 'user'")
+    turns = table(spark, d, "conversations")
     return turns.select("conv_id", "turn", T.out_of_scope(F.col("text")).alias("out"), T.out_of_scope(F.concat(F.lit("What's the weather? "), F.col("text"))).alias("out_with_weather"), T.refuses(F.col("text")).alias("refuses"))
 
 

@@ -109,6 +109,38 @@ def test_hybrid_search_query_has_the_default_dimensions(spark, data, monkeypatch
 
     seen = []
     retrieve = plan.retrieve
-    monkeypatch.setattr(plan, "retrieve", lambda points, questions, embedder: seen.append(embedder.dim) or retrieve(points, questions, embedder))
+    monkeypatch.setattr(plan, "retrieve", lambda points, questions, embedder, **more: seen.append(embedder.dim) or retrieve(points, questions, embedder, **more))
     assert queries.QUERIES["hybrid_search"](spark, data).columns
     assert seen == [vector.HashingEmbedder().dim]
+
+
+def test_phrases_are_found_under_their_words(spark):
+    from lectern.operators import evaluate
+
+    corpus = spark.createDataFrame([(1, "The Pleural line is seen."), (2, "x-ray of the knee"), (3, None), (4, "preCTinal")], "doc_id int, text string")
+    wanted = ["pleural LINE is", "he pleural line i", "ct", "ray", "knee jerk", "the", None, "line  is", "of the kn"]
+    phrases = spark.createDataFrame([(p,) for p in wanted], "phrase string")
+    texts = [t.lower() for t in ("The Pleural line is seen.", "x-ray of the knee", "preCTinal")]
+    found = {r["phrase"] for r in evaluate.containing(phrases, corpus, "doc_id").collect()}
+    assert found == {p for p in wanted if p and any(p.lower() in t for t in texts)}
+
+
+def test_questions_in_blocks_find_the_same(spark, monkeypatch):
+    import numpy as np
+
+    from lectern.plans import search as plan
+
+    rng = np.random.default_rng(8)
+    unit = lambda: (lambda v: (v / np.linalg.norm(v)).tolist())(rng.normal(size=6))
+    points = spark.createDataFrame([(f"p{i:03}", unit(), "a" if i % 2 else "b") for i in range(200)], "point_id string, embedding array<float>, source_type string").repartition(5)
+    queries = spark.createDataFrame([(i, unit()) for i in range(9)], "query_id int, embedding array<float>")
+    p, q = ({r[0]: np.array(r["embedding"], float) for r in x.collect()} for x in (points, queries))
+    for block, source in ((4096, None), (2, None), (4, "a")):
+        monkeypatch.setattr(plan, "BLOCK", block)
+        got = {}
+        for r in plan.vector_hits(points, queries, 7, source).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append((r["point_id"], r["score"]))
+        own = [i for i in p if source is None or int(i[1:]) % 2]
+        for i, v in q.items():
+            best = sorted(((round(float(v @ p[j]), 4), j) for j in own), key=lambda x: (-x[0], x[1]))
+            assert got[i] == [(j, s) for s, j in best if s >= 0][:7]
