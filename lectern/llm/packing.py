@@ -11,7 +11,8 @@ always within one token of r * q(s), and all queues together have served r * win
 but the last needs padding. The deficit is thus a function of the window's number, so any partition knows
 the deficits its documents meet, and a queue may cross any number of partitions. The targets are
 the queues' shares of all tokens unless given, so the queues run dry together and no token is dropped.
-With given targets the queues that run dry leave the mixture, and the others share their part.
+With given targets the queues that run dry leave the mixture, and the others share their part; what a queue serves between two such
+changes is a whole number of tokens, so it may be another token off.
 
 A queue needs at least one token a window: sources below that share wait in one common queue (ordered by
 partition and source), so there are at most 2 * window queues, a proven bound for what tasks are told of them.
@@ -37,6 +38,9 @@ from lectern.llm.tokens import default_vocabulary, encoder
 
 WINDOW, END_ID = 2048, 1
 
+#: Runs (a partition's share of a source) that are broadcast at most; more are joined by shuffle.
+BROADCAST_RUNS = 1 << 17
+
 #: The common queue of small sources.
 REST = "\x00rest"
 
@@ -173,7 +177,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row for each piece of a document: PIECES. targets: the wanted share of tokens by source, by default as they are."""
     table = materialise(encoded(docs, vocabulary or default_vocabulary(), end_id), "encoded")
-    runs = table.groupBy("part", "key").agg(F.sum("n").alias("tokens"), F.first("source").alias("source"))
+    runs = materialise(table.groupBy("part", "key").agg(F.sum("n").alias("tokens"), F.first("source").alias("source")), "runs")
     totals = materialise(runs.groupBy("key").agg(F.sum("tokens").alias("tokens")), "queues")
     total = totals.agg(F.sum("tokens")).first()[0] or 0
     if not total:
@@ -225,5 +229,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
         doc_id, source, n = (batch.column(i).take(row) for i in (0, 1, 2))
         return pa.RecordBatch.from_arrays([doc_id, start, length, pa.array(sums, pa.int64()), n, sequence, offset, source], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
+    if runs.count() <= BROADCAST_RUNS:
+        bases = F.broadcast(bases)
     located = table.join(bases, ["part", "key"]).select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("run")).alias("start"))
     return arrow_map(located, cut, PIECES)
