@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections import ChainMap
-from itertools import chain, filterfalse
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -21,9 +21,11 @@ import numpy as np
 UNUSUAL_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECE = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
-#: Pieces remembered by one Python worker before it starts anew (some 250 bytes each), and the longest that is remembered.
-CACHE_ENTRIES = 1_000_000
+#: Pieces remembered by one Python worker (some 250 bytes each), in two generations, and the longest that is remembered.
+CACHE_ENTRIES = 1_600_000
 CACHE_PIECE = 48
+#: Words that are encoded as one text.
+JOINED = 64
 
 
 def uneven(text: str) -> bool:
@@ -37,6 +39,34 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Remembered:
+    """Ids of pieces by encode, of late ones from memory: a full generation becomes the old one, what is used again moves to the new."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode = encode
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, wanted: set[str]) -> dict[str, bytes]:
+        new, old = self.new, self.old
+        out = dict(zip(wanted, map(new.get, wanted), strict=True))
+        unknown = []
+        for w in [w for w, ids in out.items() if ids is None]:
+            if (ids := old.get(w)) is not None:
+                out[w] = new[w] = ids
+            else:
+                unknown.append(w)
+        for i in range(0, len(unknown), 4096):
+            part = unknown[i : i + 4096]
+            for w, ids in zip(part, self.encode(part), strict=True):
+                out[w] = ids
+                if len(w) <= CACHE_PIECE:
+                    new[w] = ids
+        if len(new) > CACHE_ENTRIES // 2:
+            self.new, self.old = {}, new
+        return out
+
+
 class PieceEncoder:
     """Ids of whole texts, by the tokenizers library, as little-endian unsigned 16-bit integers."""
 
@@ -53,34 +83,22 @@ class PieceEncoder:
         self.lengths = np.zeros(1 << 16, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token)
-        # ids of a piece as it is, and of a piece after a blank
-        self.plain: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """Encodes wanted pieces into known; the ids of those too long to remember are returned."""
-        words, once = list(wanted), {}
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, ids in zip(part, self._joined(part) if lead else self._apart(part), strict=True):
-                (known if len(w) <= CACHE_PIECE else once)[w] = ids
-        return once
+        # ids of pieces as they are, and of pieces after a blank
+        self.plain, self.after = Remembered(self._apart), Remembered(self._joined)
 
     def _apart(self, words: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _joined(self, words: list[str]) -> list[bytes]:
         """The ids of each word after a blank, from one text: no token spans two words, and the tokens' lengths tell where each ends."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        texts = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.asarray([x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], "<u2")
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
         cuts = (2 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
         raw = ids.tobytes()
         return [raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.plain) + len(self.after) > CACHE_ENTRIES:
-            self.plain.clear()
-            self.after.clear()
         first, rest, pieces = [], [], []
         for t in texts:
             if UNUSUAL_SPACE.search(t) or any(a in t for a in self.added):
@@ -92,13 +110,9 @@ class PieceEncoder:
                 first.append(head)
                 rest.append(tail)
                 pieces.append(None)
-        plain, after = self.plain, self.after
-        once = self._learn(plain, set(filterfalse(plain.__contains__, chain(first, *filter(None, pieces)))), "")
-        once_after = self._learn(after, set(filterfalse(after.__contains__, chain.from_iterable(rest))), " ")
-        if once:
-            plain = ChainMap(once, plain)
-        if once_after:
-            after = ChainMap(once_after, after)
+        # what these texts hold, looked up once in the large tables and then in small ones
+        plain = self.plain.ids(set(chain(first, *filter(None, pieces))))
+        after = self.after.ids(set(chain.from_iterable(rest)))
         out, even = [], zip(first, rest, strict=True)
         for found in pieces:
             if found is None:

@@ -250,6 +250,11 @@ def test_stage_keeps_one_of_similar_documents(spark, monkeypatch, block):
             for _ in range(rng.randrange(4)):
                 own[rng.randrange(len(own))] = "new"
             texts.append(" ".join(own[rng.randrange(3) :]))
+    # long texts, which fill many counts, unlike but for a passage that many share
+    passage = [f"p{i}" for i in range(60)]
+    for _ in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(1500, 2600))]
+        texts += [" ".join(base + passage), " ".join(base[: rng.randrange(1000, 1500)] + passage), " ".join(base[len(base) // rng.randrange(6, 12) :] + passage)]
     texts += ["common words in every row of all " + f"{i} " * 40 for i in range(10)]
     sets = [plain_set(t) for t in texts]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]

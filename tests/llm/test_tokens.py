@@ -35,6 +35,19 @@ def test_remembered_pieces_give_the_ids_of_whole_texts(library, monkeypatch):
             assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_even_texts(library, monkeypatch):
+    """Words between single blanks, most of them seen before, among other texts."""
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 60)
+    rng, e = random.Random(21), tokens.PieceEncoder(tokens.default_vocabulary())
+    word = lambda: rng.choice(["the", "The", "é", "naïve\nline", "x1.", "don't", "漢字", "🙂", "a" * 60]) if rng.random() < 0.6 else "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 9)))
+    for _ in range(6):
+        own = [" ".join(word() for _ in range(rng.randrange(1, 30))) for _ in range(20)] + ["", "one", " lead", "two  blanks", "a\xa0b", "x <|endoftext|> y"]
+        rng.shuffle(own)
+        for t, got in zip(own, e.encode(own), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert e.encode([]) == []
+
+
 def test_added_tokens_in_texts(library):
     end, e = "<|endoftext|>", tokens.PieceEncoder(tokens.default_vocabulary())
     own = [end, f"a {end} b", f"{end} a", f"a {end}", f"word{end}word", f"a\xa0{end}\u3000b", f"  {end}\t{end}", f"<|endof {end}text|>", "<|endoftext |>", f"a {end[:-1]}", "x" * 100 + end]
@@ -126,6 +139,45 @@ def test_packing_towards_targets(spark, library):
     assert abs(share["a"] - share["b"]) <= 2 and sum(share.values()) == 4 * 256
 
 
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0, "b": 2.0, None: 4.0}, {"b": 1.0, "c": 1.0, "nowhere": 1.0}, {"a": 0.9, "rare0": 0.1}])
+def test_every_window_meets_its_targets(spark, library, targets):
+    """Window by window: each live queue is served its share, within a token of what it is owed and another as a run's tokens are whole, until it runs dry; then the others share its part."""
+    rows, window = corpus(6, 200), 128
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    pieces = packing.pack(docs, window=window, targets=targets).collect()
+    check_pieces(rows, pieces, library, window, keyed=False)
+    left, served = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        left[p["source"]] += p["length"]
+        served[p["sequence_id"]][p["source"]] += p["length"]
+    at, phases = 0, 0
+    while True:
+        live = {s for s in targets if left[s]}
+        while live:
+            quantum = {s: window * targets[s] / sum(targets[x] for x in live) for s in live}
+            short = {s for s in live if left[s] < quantum[s]}
+            if not short:
+                break
+            live -= short
+        if not live:
+            break
+        windows = int(min(left[s] / quantum[s] for s in live))
+        done = defaultdict(int)
+        for r in range(1, windows + 1):
+            own = served[at]
+            assert own.keys() <= live and sum(own.values()) == window
+            for s, n in own.items():
+                done[s] += n
+            assert all(abs(done[s] - r * quantum[s]) < 2 for s in live)
+            at += 1
+        for s, n in done.items():
+            left[s] -= n
+        phases += 1
+    assert phases >= 1 and at > 3
+    # what no target wants, and remainders below a window's part, follow
+    assert sum(left.values()) == sum(n for q, own in served.items() if q >= at for n in own.values())
+
+
 def test_packing_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     one = packing.pack(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()
