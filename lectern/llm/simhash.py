@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -45,8 +45,10 @@ BLOCK_POINTS, BLOCK_ASKERS = 16_384, 65_536
 BLOCK_SETS = 2048
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1 << 21
-#: Counts that bound the difference of two sets.
-COUNTS = 128
+#: Counts that bound the difference of two sets at least, and elements in a count of large sets about: unlike sets of any size differ enough to be told.
+COUNTS, FILL = 128, 16
+#: Characters of texts that are hashed at once, about.
+GROUP = 1 << 20
 #: Pairs compared without further pruning.
 PLAIN = 1 << 18
 
@@ -123,6 +125,18 @@ def _shingles(texts: list[str], words: int) -> tuple[np.ndarray, bytes, np.ndarr
     return which, buffer, shingles, owner, begin[first], stop[np.minimum(first + words, last[owner]) - 1]
 
 
+def in_groups(texts: list[str], fn: Callable[[list[str]], Any]) -> list[Any]:
+    """The results of fn for groups of texts of about GROUP characters: memory doesn't depend on how long the texts of a batch are."""
+    out, own, chars = [], [], 0
+    for t in texts:
+        own.append(t)
+        chars += len(t)
+        if chars > GROUP:
+            out.append(fn(own))
+            own, chars = [], 0
+    return [*out, fn(own)] if own or not out else out
+
+
 def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
     """The SimHash of each text as unsigned 64-bit integers."""
     out = np.zeros(len(texts), np.uint64)
@@ -157,7 +171,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t if t is not None else "" for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fingerprints_of(texts, words).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_key"])
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(in_groups(texts, lambda own: fingerprints_of(own, words))).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_key"])
 
     return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, fp long, text_key long")
 
@@ -314,13 +328,20 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 # ---- similar sets of shingles ----
 
 
+def _counts(elements: np.ndarray) -> np.ndarray:
+    """How many elements have each value of some low bits; more bits for more elements."""
+    width = max(COUNTS, 1 << max(0, len(elements) // FILL - 1).bit_length())
+    return np.minimum(np.bincount(elements & (width - 1), minlength=width), 255).astype(np.uint8)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp (64 bits that stand for the set), text_key, shingles (sorted), counts (of their low bits, a byte each) of every row."""
+    """doc_id, fp (64 bits that stand for the set), text_key, shingles (sorted), counts (a byte each) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = sets_of([t if t is not None else "" for t in batch.column(1).to_pylist()], words)
+        texts = [t if t is not None else "" for t in batch.column(1).to_pylist()]
+        own = [x for group in in_groups(texts, lambda some: sets_of(some, words)) for x in group]
         fp = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in own]
-        counts = [np.minimum(np.bincount(x & (COUNTS - 1), minlength=COUNTS), 255).astype(np.uint8).tobytes() for x in own]
+        counts = [_counts(x).tobytes() for x in own]
         ends = np.cumsum([0] + [len(x) for x in own])
         sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.int64()), batch.column(2), sets, pa.array(counts, pa.binary())], names=["doc_id", "fp", "text_key", "shingles", "counts"])
@@ -328,31 +349,66 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, fp long, text_key long, shingles array<long>, counts binary")
 
 
-def _joined(size: np.ndarray, counts: np.ndarray, similarity: float, sets: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
-    """Places of pairs that join what all similar pairs join; what is joined isn't compared again. size ascends.
-
-    Two sets differ in at least as many elements as their counts do; without sets this bound alone decides.
+class _Bounds:
+    """Sizes and counts of the sets of a block."""
+
+    def __init__(self, size: np.ndarray, counts: list[bytes]):
+        self.size, self.width = size, np.fromiter(map(len, counts), np.int64, len(counts))
+        self.coarse, self.fine, self.place = np.zeros((len(size), COUNTS), np.int32), {}, np.zeros(len(size), np.int64)
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            each = np.frombuffer(b"".join([counts[i] for i in own]), np.uint8).reshape(-1, w)
+            self.coarse[own] = each.reshape(len(own), -1, COUNTS).sum(1, dtype=np.int32)
+            if w > COUNTS:
+                self.fine[w], self.place[own] = each, np.arange(len(own))
+        if w <= 1 << 14:
+            self.coarse = self.coarse.astype(np.int16)
+        self.sums = np.int16 if w <= 1 << 14 else np.int32
+
+    def near(self, i: int, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which of the sets at these places, none larger than set i, may differ from it in `most` elements or fewer.
+
+        Two sets differ in at least as many elements as their counts do. COUNTS sums of counts are compared first, then all
+        counts of the smaller set.
+        """
+        few = np.abs(self.coarse[at] - self.coarse[i]).sum(axis=1) <= most
+        at, most = at[few], most[few]
+        if self.width[i] == COUNTS or not len(at):
+            return at
+        whole = self.fine[self.width[i]][self.place[i]]
+        keep = np.ones(len(at), bool)
+        for w in np.unique(self.width[at]).tolist():
+            if w > COUNTS:
+                own = np.flatnonzero(self.width[at] == w)
+                mine = whole.reshape(-1, w).sum(0, dtype=self.sums)
+                keep[own] = np.abs(self.fine[w][self.place[at[own]]] - mine).sum(axis=1, dtype=np.int64) <= most[own]
+        return at[keep]
+
+
+def _joined(begin: int, end: int, bounds: _Bounds, similarity: float, sets: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
+    """Places of pairs that join what all similar pairs of a group join; what is joined isn't compared again. Sizes ascend.
+
+    Without sets the bound on their differences alone decides.
     """
-    label = np.arange(len(size))
-    for i in range(1, len(size)):
+    size, label = bounds.size[begin:end], np.arange(end - begin)
+    for i in range(1, end - begin):
         low = int(np.searchsorted(size[:i], similarity * size[i] - 1e-9))
+        at = low + np.flatnonzero(label[low:i] != label[i])
         least = np.ceil(similarity / (1 + similarity) * (size[low:i] + size[i]) - 1e-9)
-        can = size[low:i] + size[i] - np.abs(counts[low:i] - counts[i]).sum(axis=1) >= 2 * least
-        for j in low + np.flatnonzero(can):
-            if label[j] != label[i] and (sets is None or len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least[j - low]):
+        for j in (bounds.near(begin + i, begin + at, size[at] + size[i] - 2 * least[at - low]) - begin).tolist():
+            if label[j] != label[i] and (sets is None or len(np.intersect1d(sets[begin + i], sets[begin + j], assume_unique=True)) >= least[j - low]):
                 label[label == label[i]] = label[j]
-                yield i, j
+                yield begin + i, begin + j
 
 
 def _edges_of_block(block: pd.DataFrame, similarity: float, whole: bool) -> pd.DataFrame:
     """Edges within each group (key, p, q) of a block; whole: by the sets themselves, otherwise by the bound."""
     block = block.sort_values(["key", "p", "q", "size"], kind="stable")
     group = block[["key", "p", "q"]].to_numpy()
-    cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(block)]])
-    fp, size = block["fp"].to_numpy(), block["size"].to_numpy().astype(np.int64)
-    counts = np.frombuffer(b"".join(block["counts"]), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+    cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(block)]]).tolist()
+    fp, bounds = block["fp"].to_numpy(), _Bounds(block["size"].to_numpy().astype(np.int64), block["counts"].tolist())
     sets = [np.asarray(x, np.int64) for x in block["shingles"]] if whole else None
-    found = [(a + i, a + j) for a, b in zip(cuts, cuts[1:]) for i, j in _joined(size[a:b], counts[a:b], similarity, sets and sets[a:b])]
+    found = [pair for a, b in zip(cuts, cuts[1:]) for pair in _joined(a, b, bounds, similarity, sets)]
     at = np.array(found, np.int64).reshape(-1, 2)
     return pd.DataFrame({"u": fp[at[:, 0]], "v": fp[at[:, 1]]})
 
