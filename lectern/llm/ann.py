@@ -144,15 +144,20 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
     stored = materialise(arrow_map(rows, place, "vec_id long, list int, codes binary, v array<double>"), "ivf")
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     queries = materialise(queries, "queries")
-    found = materialise(_answers(stored, queries, shared, index.probes, k), "answers")
+    found = materialise(_best(_answers(stored, queries, shared, index.probes, k), k), "answers")
     if index.probes < len(index.centroids):
         # too few candidates in the visited lists: these queries ask all lists instead
         told = found.groupBy("query_id").agg(F.count("*").alias("n"))
         short = materialise(queries.join(told, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id", "v"), "short")
         if not short.isEmpty():
-            found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_answers(stored, short, shared, len(index.centroids), k))
+            found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_best(_answers(stored, short, shared, len(index.centroids), k), k))
+    return found
+
+
+def _best(answers: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k of each query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _answers(stored: DataFrame, queries: DataFrame, shared, probes: int, k: int) -> DataFrame:  # noqa: ANN001
