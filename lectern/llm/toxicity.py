@@ -106,10 +106,18 @@ def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(max(1, top), 40.0))
     place = np.full(BUCKETS, -1)
     place[own] = np.arange(len(own))
-    use = place[buckets] >= 0
-    pairs, times = np.unique(place[buckets[use]] * len(grades) + rows[use], return_counts=True)
-    b, r, times = (pairs // len(grades)).astype(np.int32), (pairs % len(grades)).astype(np.int32), times.astype(float)
     n = len(grades)
+    use = place[buckets] >= 0
+    # distinct pairs with their numbers, in place: the driver's memory is short
+    pairs = place[buckets[use]]
+    pairs *= n
+    pairs += rows[use]
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    times = np.diff(first, append=len(pairs)).astype(float)
+    pairs = pairs[first]
+    b, r = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+    del pairs, first
     # only features that go with toxicity or its absence take part
     bad, have = float((grades > 0).sum()), np.bincount(b, minlength=len(own)).astype(float)
     both = np.bincount(b, weights=grades[r] > 0, minlength=len(own))
@@ -164,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
     told = materialise(arrow_map(texts, run, "doc_id long, label int, features binary"), "toxicity-sample")
     so_far = F.sum(F.length("features") / 4).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
     within = told.select("doc_id", so_far.alias("n")).filter(F.col("n") <= SAMPLE_FEATURES).select("doc_id")
-    got = sorted(told.join(F.broadcast(within), "doc_id").collect(), key=lambda r: r["doc_id"])
+    got = sorted(told.join(F.broadcast(within), "doc_id").toLocalIterator(), key=lambda r: r["doc_id"])
     if not got:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 40.0))
     label_of = np.array([r["label"] for r in got], np.int64)
