@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe_codec, chat_tree, exact_dedup, line_dedup, packing, simhash, token_file, toxicity, url_filter
+from lectern.llm import ann, bpe_codec, chat_tree, exact_dedup, fill_in_middle, importance, line_dedup, minhash, packing, simhash, token_file, toxicity, url_filter
 from lectern.llm.common import read_table
 
 
@@ -59,6 +59,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.arrange(read_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": fill_in_middle.restore(F.col("output"), F.col("form"))}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c, 256).alias(name) for name, c in digests.items()])
+
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
@@ -165,6 +179,89 @@ FROM f GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT r, unnest(w) AS w1, unnest(range(len(w))) AS spot, len(w) AS n FROM w
+), runs AS (
+  SELECT r, n, w1, lead(w1) OVER (PARTITION BY r ORDER BY spot) AS w2 FROM placed
+), elements AS (
+  SELECT DISTINCT r, CASE WHEN n = 1 THEN w1 ELSE w1 || ' ' || w2 END AS e FROM runs WHERE n = 1 OR w2 IS NOT NULL
+), named AS (
+  SELECT r, dense_rank() OVER (ORDER BY e) AS e FROM elements
+), sizes AS (
+  SELECT r, count(*) AS size FROM named GROUP BY r
+), pairs AS (
+  SELECT a.r AS u, b.r AS v, count(*) AS common FROM named a JOIN named b ON a.e = b.e AND a.r < b.r GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.r = u JOIN sizes y ON y.r = v WHERE 100 * common >= 80 * (x.size + y.size - common)
+), both_ways AS (
+  SELECT u, v FROM links UNION SELECT v, u FROM links
+), reach AS (
+  SELECT u, v FROM both_ways UNION SELECT reach.u, b.v FROM reach JOIN both_ways b ON reach.v = b.u
+), least AS (
+  SELECT u AS r, min(doc_id) AS low FROM reach JOIN w ON w.r = reach.v GROUP BY u
+)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, CASE WHEN low < doc_id OR doc_id IS NULL THEN low ELSE doc_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM (CASE WHEN low < doc_id OR doc_id IS NULL THEN low ELSE doc_id END) AS kept
+FROM w LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
+"""
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), placed AS (
+  SELECT side, r, unnest(w) AS w1, unnest(range(len(w))) AS spot FROM w
+), next AS (
+  SELECT side, r, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM placed WINDOW p AS (PARTITION BY side, r ORDER BY spot)
+), features AS (
+  SELECT side, r, w1 AS f FROM next UNION ALL SELECT side, r, w1 || ' ' || w2 FROM next WHERE w2 IS NOT NULL UNION ALL SELECT side, r, w1 || ' ' || w2 || ' ' || w3 FROM next WHERE w3 IS NOT NULL
+), steps AS (
+  SELECT range AS b, range AS c, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), tab AS (
+  SELECT b, c, format('{:02X}', b) AS h FROM steps WHERE k = 8
+), crc AS (
+  SELECT f, hex(encode(f)) AS h, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT f FROM features)
+  UNION ALL
+  SELECT f, crc.h, i + 1, xor(crc.c >> 8, t.c) FROM crc JOIN tab x ON x.h = substr(crc.h, 2 * i + 1, 2) JOIN tab t ON t.b = xor(crc.c & 255, x.b) WHERE 2 * i < length(crc.h)
+), bucketed AS (
+  SELECT side, r, xor(c, 4294967295) % 10000 AS bucket FROM features JOIN crc USING (f) WHERE 2 * i = length(h)
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM bucketed GROUP BY bucket
+), totals AS (
+  SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t::DOUBLE + 1) * (all_s + 10000)) / ((s::DOUBLE + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM counts, totals
+), weights AS (
+  SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM bucketed JOIN gains USING (bucket) WHERE side = 0 GROUP BY r
+), scores AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights USING (r) WHERE side = 0
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY n_words >= 20 DESC, score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () AS fit FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= fit * 5 // 100 THEN place END AS rank FROM ordered
+"""
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM cut
+), parts AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p, array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m, array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -177,8 +274,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": op8_ann,
         "op9_token_file": op9_token_file,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_minhash": op11_minhash,
+        "op12_importance": op12_importance,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op7_chat_tree": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_url_filter": OP5_SQL, "op7_chat_tree": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_minhash": OP11_SQL, "op12_importance": OP12_SQL, "op13_fill_in_middle": OP13_SQL}

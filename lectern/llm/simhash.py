@@ -328,7 +328,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 # ---- similar sets of shingles ----
 
 
-def _counts(elements: np.ndarray) -> np.ndarray:
+def counts_of(elements: np.ndarray) -> np.ndarray:
     """How many elements have each value of some low bits; more bits for more elements."""
     width = max(COUNTS, 1 << max(0, len(elements) // FILL - 1).bit_length())
     return np.minimum(np.bincount(elements & (width - 1), minlength=width), 255).astype(np.uint8)
@@ -341,7 +341,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
         texts = [t if t is not None else "" for t in batch.column(1).to_pylist()]
         own = [x for group in in_groups(texts, lambda some: sets_of(some, words)) for x in group]
         fp = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in own]
-        counts = [_counts(x).tobytes() for x in own]
+        counts = [counts_of(x).tobytes() for x in own]
         ends = np.cumsum([0] + [len(x) for x in own])
         sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.int64()), batch.column(2), sets, pa.array(counts, pa.binary())], names=["doc_id", "fp", "text_key", "shingles", "counts"])
@@ -426,7 +426,7 @@ def _edges(member: DataFrame, own: DataFrame, similarity: float, whole: bool) ->
     return dealt.groupBy(block).applyInPandas(lambda rows: _edges_of_block(rows, similarity, whole), "u long, v long")
 
 
-def _small(ids: DataFrame) -> DataFrame:
+def small_ids(ids: DataFrame) -> DataFrame:
     """ids (written before), to be broadcast unless they are many."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -441,13 +441,22 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     size = F.size("shingles")
     each = sets.select("fp", F.explode(F.slice("shingles", F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))).alias("key"))
     shared = each.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key")
-    met = materialise(each.join(_small(materialise(shared, "met-keys")), "key").select("key", "fp").distinct(), "met")
+    met = materialise(each.join(small_ids(materialise(shared, "met-keys")), "key").select("key", "fp").distinct(), "met")
     bounds = sets.select("fp", size.alias("size"), "counts").join(met.select("fp").distinct(), "fp", "left_semi").distinct()
+    whole = lambda ids: sets.select("fp", size.alias("size"), "counts", "shingles").join(small_ids(ids), "fp", "left_semi").dropDuplicates(["fp"])
+    return joined(met, bounds, whole, similarity)
+
+
+def joined(met: DataFrame, bounds: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Edges (u, v) that join the members (fp) of each key of met exactly as all similar pairs of a key do.
+
+    bounds: fp, size, counts of each set once; whole gives the same with the shingles for a table of fps. Both tables are read
+    several times, so they should be written before.
+    """
     near = materialise(components(_edges(met, bounds, similarity, False)), "met-roots")
     member = near.select(F.col("root").alias("key"), F.col("node").alias("fp")).unionByName(near.select(F.col("root").alias("key"), F.col("root").alias("fp")).distinct())
     member = materialise(member, "met-groups")
-    own = sets.select("fp", size.alias("size"), "counts", "shingles").join(_small(member.select("fp")), "fp", "left_semi").dropDuplicates(["fp"])
-    return _edges(member, own, similarity, True)
+    return _edges(member, whole(member.select("fp")), similarity, True)
 
 
 def _named(prints: DataFrame, roots: DataFrame) -> DataFrame:
