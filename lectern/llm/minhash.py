@@ -9,8 +9,8 @@ Sets of fewer than four elements reach 0.8 only when they are equal, so they hav
 Links are confirmed on full sets, candidates are stars: in each bucket the least set is the centre and every other one a
 candidate of it, n - 1 pairs for n sets. Buckets whose other sets are of several classes even then may hide a link between two of
 these: they are compared in blocks of bounded size, where what is joined isn't compared again. So every link between two sets that share a bucket counts.
-Candidates pass an exact bound on counts of their elements before any set travels. Equal sets are one node. Sets aren't stored for all
-documents: those of candidates alone are built a second time.
+Candidates of very unlike sizes are left out before any set travels. Equal sets are one node. Sets aren't stored for all documents: those
+of candidates alone are built a second time.
 
 Nulls: a null text has no words; texts without words are linked with nothing; a null doc_id keeps its row, may join others, and is a component_id
 only where no other id is reachable. Repeated rows are linked like equal texts. An empty table gives none; further columns are not read.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_map, join_facts, materialise, null_as_empty
+from lectern.llm.common import HOT, arrow_map, join_facts, materialise, null_as_empty
 from lectern.llm.components import components
 from lectern.llm.simhash import P1, P3, _round, counts_of, in_groups, joined, sets_of, small_ids
 
@@ -104,8 +104,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """fp, size, counts, shingles of the wanted fps, each once: built from one text of each."""
-    ids = materialise(wanted.distinct(), "minhash-wanted")
-    texts = prints.select("fp", "text_key").join(small_ids(ids), "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key")).select("text_key")
+    texts = prints.select("fp", "text_key").join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key")).select("text_key")
     texts = materialise(texts, "minhash-texts")
     own = docs.select("text", F.xxhash64("text").alias("text_key")).join(small_ids(texts), "text_key", "left_semi")
 
@@ -118,76 +117,44 @@ def _sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words: int) ->
     return materialise(arrow_map(own.select("text"), run, "fp long, size long, counts binary, shingles array<long>").dropDuplicates(["fp"]), "minhash-sets")
 
 
-def _attach(edges: DataFrame, facts: DataFrame, end: str, *columns: str) -> DataFrame:
-    """edges (u, v) with columns of the facts (fp, ...) of one end, named u_... or v_...; an end of very many edges is dealt out."""
-    own = facts.select(F.col("fp").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
-    if end == "v":  # one edge for each band at most
-        return edges.join(own, "v")
-    degree = edges.groupBy("u").agg(F.count("*").alias("n_edges"))
-    return join_facts(edges, materialise(degree.join(own, "u"), "minhash-centres"), "u", "n_edges", edges.count(), ["v"])
-
-
-def _alike(size: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-    """The most elements in which two sets of these sizes may differ."""
-    least = -(-percent * (size + other) // (100 + percent))
-    return size + other - 2 * least
-
-
-def _bounded(stars: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """The candidates (u, v) that sizes and counts don't exclude."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        size, other = (np.asarray(batch.column(i)).astype(np.int64) for i in (2, 3))
-        most = _alike(size, other, percent)
-        keep = most >= np.abs(size - other)
-        for i in np.flatnonzero(keep).tolist():
-            a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint8).astype(np.int64) for c in (4, 5))
-            # the finer counts are sums of the coarser
-            width = min(len(a), len(b))
-            keep[i] = np.abs(a.reshape(-1, width).sum(0) - b.reshape(-1, width).sum(0)).sum() <= most[i]
-        return batch.select([0, 1]).filter(pa.array(keep)) if keep.any() else None
-
-    both = _attach(_attach(stars, facts, "v", "size", "counts"), facts, "u", "size", "counts")
-    return arrow_map(both.select("u", "v", "u_size", "v_size", "u_counts", "v_counts"), run, "u long, v long")
-
-
-def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidates (u, v) that are links."""
-    both = _attach(_attach(candidates, sets, "v", "size", "shingles"), sets, "u", "size", "shingles")
-    common = F.size(F.array_intersect("u_shingles", "v_shingles")).cast("long")
+def _verified(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidates (centre u, other v) that are links. A centre of very many is dealt out, with its set for each part."""
+    share = max(1, stars.count() // HOT)
+    hot = stars.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > share).select("u", F.ceil(F.col("n") / share).alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")))
+    # one candidate for each band of v at most: v isn't hot
+    of = lambda end: sets.select(F.col("fp").alias(end), F.col("size").alias(end + "_size"), F.col("shingles").alias(end + "_set"))
+    others = stars.join(F.broadcast(hot), "u", "left").select("u", "v", part.alias("part")).join(of("v"), "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
+    centres = of("u").join(F.broadcast(hot), "u", "left").withColumn("part", every).drop("parts")
+    common = F.size(F.array_intersect("u_set", "v_set")).cast("long")
+    both = others.join(centres, ["u", "part"])
     return both.filter(100 * common >= percent * (F.col("u_size") + F.col("v_size") - common)).select("u", "v")
 
 
 def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) of fps that join the sets as all links between sets of one bucket do."""
-    each = prints.select("fp", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.min("fp").alias("centre"), F.max("fp").alias("high"), F.count("*").alias("n")).filter("centre <> high")
-    shared = materialise(shared.select("key", "centre", "n"), "minhash-buckets")
+    each = prints.select("fp", "size", F.explode("bands").alias("key"))
+    shared = each.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("centre"), F.max("fp").alias("high"), F.count("*").alias("n")).filter("centre.fp <> high")
+    shared = materialise(shared.select("key", F.col("centre.fp").alias("centre"), F.col("centre.size").alias("centre_size"), "n"), "minhash-buckets")
     met = materialise(join_facts(each, shared, "key", "n", prints.count() * BANDS, ["fp"]).filter("fp <> centre").distinct(), "minhash-met")
-    nodes = met.select("fp").unionByName(met.select(F.col("centre").alias("fp"))).distinct()
-    facts = materialise(prints.select("fp", "size", "counts").join(small_ids(materialise(nodes, "minhash-nodes")), "fp", "left_semi").dropDuplicates(["fp"]), "minhash-facts")
-    stars = materialise(met.select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct(), "minhash-stars")
-    near = materialise(_bounded(stars, facts, percent), "minhash-near")
-    sets = _sets(docs, prints, near.select(F.explode(F.array("u", "v")).alias("fp")), words)
-
-    found = materialise(_verified(near, sets, percent), "minhash-links")
-    # buckets whose sets, the centre left out, are of several classes yet
-    member = _attach(met.select(F.col("key").alias("u"), F.col("fp").alias("v")), _roots(facts, found), "v", "root")
-    member = materialise(member.select(F.col("u").alias("key"), F.col("v").alias("fp"), F.col("v_root").alias("root")), "minhash-members")
+    # sets of very unlike sizes aren't similar
+    fit = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
+    stars = materialise(met.filter(fit).select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct(), "minhash-stars")
+    sets = _sets(docs, prints, stars.select(F.explode(F.array("u", "v")).alias("fp")), words)
+    found = materialise(_verified(stars, sets, percent), "minhash-links")
+
+    # buckets whose sets, the centre left out, aren't all linked to one centre
+    known = found.groupBy(F.col("v").alias("fp")).agg(F.min("u").alias("root"))
+    member = materialise(met.select("key", "fp").join(known, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "minhash-members")
     open_keys = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
-    rest = join_facts(member, materialise(open_keys, "minhash-open"), "key", "n", member.count(), ["fp"]).select("key", "fp")
-    rest = materialise(rest, "minhash-rest")
+    rest = materialise(join_facts(member, open_keys, "key", "n", member.count(), ["fp"]).select("key", "fp"), "minhash-rest")
     if rest.isEmpty():
         return found
+    facts = materialise(prints.select("fp", "size", "counts").join(rest.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "minhash-facts")
     return found.unionByName(joined(rest, facts, lambda ids: _sets(docs, prints, ids, words), percent / 100))
 
 
-def _roots(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp, root of every node."""
-    known = components(edges)
-    return materialise(facts.select("fp").join(known, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "minhash-roots")
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id) of every row."""
     prints = materialise(signatures(docs, words), "minhash")
