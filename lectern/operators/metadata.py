@@ -28,17 +28,13 @@ def page(rows: DataFrame, number: int, size: int, *order: Column | str) -> DataF
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-#: Chunks of one document that are shown at most.
-MOST_CHUNKS = 1000
-
-
 def chunks_of(points: DataFrame, document: Any = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """A slice of each document's chunks, or of one document's, in order of chunk_index (null first)."""
     if offset < 0 or limit < 1:
         raise ValueError("a slice begins at 0 or later and holds 1 chunk or more")
     own = matching(points, document_id=document)
     order = Window.partitionBy("document_id").orderBy("chunk_index")
-    return own.withColumn("__n", F.row_number().over(order)).filter(F.col("__n").between(offset + 1, min(offset + limit, MOST_CHUNKS))).drop("__n")
+    return own.withColumn("__n", F.row_number().over(order)).filter(F.col("__n").between(offset + 1, offset + limit)).drop("__n")
 
 
 def status_counts(rows: DataFrame, status: str, values: list[str]) -> DataFrame:

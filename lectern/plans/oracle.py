@@ -515,3 +515,68 @@ SQL["pixel_windowing"] = """
 WITH r AS (SELECT vec_id, list_transform(embedding, lambda p: CAST(floor(least(greatest((p::DOUBLE * 1000.0 - 50.0 + 160.0) / 400.0, 0.0), 1.0) * 255) AS INTEGER)) AS levels FROM embeddings)
 SELECT vec_id, CAST(list_sum(levels) AS INTEGER) AS sum, list_max(levels) AS most, 255 - levels[1] AS first_shown FROM r"""
 SQL["study_years"] = "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders"
+
+
+# ---- sources of bytes, and the index that follows ----
+
+SQL["dicom_images"] = """
+WITH stored AS (
+  SELECT vec_id, list_transform(embedding, lambda x: (floor(x::DOUBLE * 1000) + 10 * ((vec_id % 3 + 1) // 2)) * 2 - 50) AS real FROM embeddings WHERE len(embedding) = 64
+), window_of AS (
+  SELECT *, CASE WHEN vec_id % 2 = 0 THEN -100.0 ELSE list_min(real) END AS low, CASE WHEN vec_id % 2 = 0 THEN 300.0 ELSE list_max(real) END AS high FROM stored
+), cut AS (
+  SELECT *, CASE WHEN high > low THEN high ELSE low + 1 END AS top FROM window_of
+), levels AS (
+  SELECT vec_id, unnest(range(64)) AS i, floor(least(greatest((unnest(real) - low) / (top - low), 0.0), 1.0) * 255)::INT AS v FROM cut
+), shown AS (
+  SELECT vec_id, string_agg(format('{:02X}', CASE WHEN vec_id % 5 = 0 THEN 255 - v ELSE v END), '' ORDER BY i) AS levels FROM levels GROUP BY vec_id
+)
+SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN 8 END AS rows, CASE WHEN vec_id % 7 <> 0 THEN 8 END AS columns, CASE WHEN vec_id % 7 <> 0 THEN (vec_id % 3 + 1)::INT END AS frames,
+       CASE WHEN vec_id % 7 <> 0 THEN levels END AS levels, CASE WHEN vec_id % 7 <> 0 THEN 'CT' END AS modality, CASE WHEN vec_id % 7 <> 0 THEN (2000 + vec_id % 20)::INT END AS study_year, vec_id % 7 = 0 AS failed
+FROM shown
+"""
+
+_SPACES = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _plain(x: str) -> str:
+    """The prose of an element that holds x."""
+    clean = rf"regexp_replace(coalesce({x}, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFE}}\x{{FFFF}}]', ' ', 'g')"
+    return f"trim(regexp_replace({clean}, '{_SPACES}', ' ', 'g'))"
+
+
+SQL["citation_documents"] = f"""
+WITH records AS (
+  SELECT doc_id, 'Title ' || doc_id % 500 AS title, 'AIM: ' || {_plain("text")} AS abstract,
+         array_to_string(list_transform(range(1, least(3, doc_id % 5 + 1) + 1), lambda i: 'Name' || i || ' AB'), ', ') AS named
+  FROM documents WHERE doc_id % 11 <> 5
+), able AS (
+  SELECT * FROM records WHERE length(abstract) >= 100 AND abstract <> 'AIM: '
+), first AS (
+  SELECT * FROM able QUALIFY row_number() OVER (PARTITION BY title ORDER BY CAST(doc_id AS VARCHAR)) = 1
+)
+SELECT CAST(doc_id AS VARCHAR) AS pmid, title, 'statpearls_' || doc_id || '.txt' AS filename, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS source_url,
+       'StatPearls article by ' || named || '. PMID: ' || doc_id AS description,
+       sha256(chr(10) || title || chr(10) || chr(10) || 'Authors: ' || named || chr(10) || 'Source: StatPearls / PubMed (PMID: ' || doc_id || ')' || chr(10) || 'Type: Peer-reviewed medical reference article' || chr(10) || chr(10) || abstract || chr(10)) AS text_sha256
+FROM first WHERE CAST(regexp_extract(title, '[0-9]+') AS INT) >= 20
+"""
+
+SQL["fetched_articles"] = f"""
+WITH rows AS (
+  SELECT coalesce(source, 'none') AS topic, doc_id // 20 AS page, coalesce(source, 'none') || ' ' || doc_id % 70 AS title, {_plain("text")} AS body FROM documents WHERE doc_id IS NOT NULL
+), able AS (
+  SELECT topic, title, length({_plain("title")}) + CASE WHEN body = '' THEN 0 ELSE 2 + length(body) END >= 600 AS taken FROM rows WHERE page % 7 <> 3
+), counted AS (
+  SELECT topic, 'unreadable' AS reason, count(DISTINCT page) AS n FROM rows WHERE page % 7 = 3 GROUP BY topic
+  UNION ALL SELECT topic, 'no access', count(*) FILTER (NOT taken) FROM able GROUP BY topic
+  UNION ALL SELECT topic, 'completed', count(DISTINCT title) FILTER (taken) FROM able GROUP BY topic
+  UNION ALL SELECT topic, 'skipped', count(*) FILTER (taken) - count(DISTINCT title) FILTER (taken) FROM able GROUP BY topic
+)
+SELECT * FROM counted WHERE n > 0
+"""
+
+_FOLLOWED = """(
+  SELECT doc_id, CASE WHEN doc_id % 15 = 2 OR doc_id % 4 = 3 THEN text WHEN doc_id % 6 = 1 THEN reverse(text) ELSE text END AS text FROM documents
+  WHERE doc_id % 9 <> 8 AND (doc_id % 5 <> 2 OR doc_id % 15 = 2 OR doc_id % 4 = 3))"""
+SQL["live_index_stats"] = SQL["bm25_stats"].replace("FROM documents)", f"FROM {_FOLLOWED})")
+SQL["live_index_topk"] = SQL["bm25_topk"].replace("FROM documents)", f"FROM {_FOLLOWED})").replace("SELECT query_id, rank, id, bm25_score FROM ranked WHERE", "SELECT query_id, rank, CAST(id AS VARCHAR) AS id, bm25_score FROM ranked WHERE").replace("bm25_score DESC, id DESC", "bm25_score DESC, CAST(id AS VARCHAR) DESC")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, compare, evaluate, imaging, lexical, limits, metadata, prompt, quality, retrieval, vector
+from lectern.operators import chunking, compare, evaluate, imaging, lexical, limits, metadata, prompt, quality, retrieval, segments, vector
 from lectern.plans import ingest, search
 from lectern.session import table
-from lectern.storage import materialise
-from lectern.sources import markup
-from lectern.streaming import windows
+from lectern.storage import materialise, new_path
+from lectern.sources import dicom, markup, pubmed
+from lectern.streaming import connector, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -676,3 +678,97 @@ def confidences(spark: SparkSession, d: str) -> DataFrame:
 def study_years(spark: SparkSession, d: str) -> DataFrame:
     stamp = F.date_format("o_orderdate", "yyyyMMdd")
     return table(spark, d, "orders").select("o_orderkey", F.year(imaging.study_year(stamp)).alias("year"))
+
+
+# ---- sources of bytes ----
+
+
+def _file_of(vec_id: int, values: np.ndarray) -> bytes:
+    """An embedding as an image file: every kind of syntax, several frames, windows, sequences that nest; some are cut off."""
+    pixels = np.floor(values.astype(float) * 1000).astype(np.int16).reshape(1, 8, -1)
+    frames = np.concatenate([pixels + 10 * i for i in range(vec_id % 3 + 1)])
+    tags = {"Modality": "CT", "StudyDate": f"{2000 + vec_id % 20}0312", "PhotometricInterpretation": "MONOCHROME1" if vec_id % 5 == 0 else "MONOCHROME2", "RescaleSlope": "2", "RescaleIntercept": "-50"}
+    if vec_id % 2 == 0:
+        tags |= {"WindowCenter": "100\\40", "WindowWidth": "400\\80"}
+    # a private sequence of undefined length with an item of undefined length, in implicit form
+    nested = b"\x08\x00\x40\x11\xff\xff\xff\xff" + b"\xfe\xff\x00\xe0\xff\xff\xff\xff" + b"\x28\x00\x10\x00\x02\x00\x00\x00\x07\x00" + b"\xfe\xff\x0d\xe0\x00\x00\x00\x00" + b"\xfe\xff\xdd\xe0\x00\x00\x00\x00"
+    syntax = [dicom.EXPLICIT, dicom.IMPLICIT, dicom.BIG, dicom.DEFLATED][vec_id // 3 % 4]
+    made = dicom.encode(frames, tags, syntax, [nested] if syntax == dicom.IMPLICIT else [])
+    return made[: len(made) // 2] if vec_id % 7 == 0 else made
+
+
+@query
+def dicom_images(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings written as image files and read back: the middle frame's levels, windowed."""
+
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([_file_of(i, v) for i, v in zip(ids, values, strict=True)])
+
+    files = table(spark, d, "embeddings").filter("vec_id IS NOT NULL AND size(embedding) = 64").select("vec_id", write("vec_id", "embedding").alias("content"))
+    read = dicom.images(files)
+    return read.select("vec_id", "rows", "columns", "frames", F.hex("levels").alias("levels"), F.element_at("metadata", "modality").alias("modality"), F.year("study_year").alias("study_year"), F.col("error").isNotNull().alias("failed"))
+
+
+def _xml(text: Column) -> Column:
+    """Text as the content of an element, without the characters that markup can't hold."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", " ")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        clean = F.replace(clean, F.lit(mark), F.lit(name))
+    return clean
+
+
+@query
+def citation_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as citation records, some without an end, and read by ranges of bytes; titles repeat, some are stored."""
+    key = F.col("doc_id")
+    authors = F.array_join(F.transform(F.sequence(F.lit(1), (key % 5 + 1).cast("int")), lambda i: F.concat(F.lit("<Author><LastName>Name"), i.cast("string"), F.lit("</LastName><Initials>AB</Initials></Author>"))), "")
+    parts = ["<PubmedArticle><MedlineCitation><PMID>", key.cast("string"), "</PMID><Article><ArticleTitle>Title ", (key % 500).cast("string"), "</ArticleTitle><Abstract><AbstractText Label='AIM'>", _xml(F.col("text")), "</AbstractText></Abstract><AuthorList>", authors, "</AuthorList></Article></MedlineCitation>"]
+    markup = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.when(key % 11 == 5, "").otherwise("</PubmedArticle>"))
+    path = new_path(spark, "citations")
+    docs(spark, d).filter("doc_id IS NOT NULL").select(markup.alias("value")).write.text(path)
+    stored = spark.range(20).select(F.concat(F.lit("Title "), "id").alias("title"), F.lit(pubmed.SOURCE).alias("source_type"))
+    made = pubmed.documents(pubmed.load(spark, path), stored)
+    return made.select("pmid", "title", "filename", "source_url", "description", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def fetched_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as pages of articles, a topic for each source of theirs, and taken as a stream: outcomes by topic and reason."""
+    key, topic = F.col("doc_id"), F.coalesce("source", F.lit("none"))
+    title = F.concat(topic, F.lit(" "), (key % 70).cast("string"))
+    parts = ["<article><front><article-meta><title-group><article-title>", _xml(title), "</article-title></title-group><permissions><license license-type='open-access'/></permissions></article-meta></front><body><p>", _xml(F.col("text")), "</p></body></article>"]
+    rows = docs(spark, d).filter("doc_id IS NOT NULL").select(topic.alias("topic"), F.floor(key / 20).alias("page"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("article"))
+    # at most twenty articles a page; every seventh page has no end
+    pages = rows.groupBy("topic", "page").agg(F.concat(F.lit("<set>"), F.array_join(F.collect_list("article"), ""), F.when(F.col("page") % 7 == 3, "").otherwise("</set>")).alias("value"))
+    path = new_path(spark, "pages")
+    pages.select("topic", "value").write.option("maxRecordsPerFile", 1).partitionBy("topic").text(path)
+    found = connector.fetch(spark, path, new_path(spark, "fetched"), vector.HashingEmbedder(16))
+    return found.select(F.regexp_replace("topic", "^topic=", "").alias("topic"), "reason", "n")
+
+
+def _followed(spark: SparkSession, d: str) -> segments.Store:
+    """An index of all documents that has seen replacements, deletions and a merge."""
+    rows = docs(spark, d).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("document_id"), F.col("doc_id").cast("string").alias("id"), "text")
+    store = segments.Store(spark, new_path(spark, "segments"), most=3)
+    gone = F.lit(None).cast("string")
+    store.apply(rows.filter("document_id % 4 < 3"), 0)
+    store.apply(rows.filter("document_id % 4 = 3 OR document_id % 6 = 1").withColumn("text", F.reverse("text")), 1)
+    store.apply(rows.filter("document_id % 5 = 2").withColumn("id", gone), 2)
+    store.apply(rows.filter("document_id % 15 = 2 OR document_id % 4 = 3"), 3)
+    store.apply(rows.filter("document_id % 9 = 8").withColumn("id", gone), 4)
+    return store
+
+
+@query
+def live_index_stats(spark: SparkSession, d: str) -> DataFrame:
+    """An index after five changes has the statistics of one that is built anew."""
+    index = _followed(spark, d).index()
+    terms = index.frequencies.agg(F.count("*").alias("terms"), F.max("df").alias("most_df"), F.sum("df").alias("postings"))
+    return index.size.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)  # one row each
+
+
+@query
+def live_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """An index after five changes finds what one that is built anew does."""
+    return lexical.search(_followed(spark, d).index(), table(spark, d, "benchmark"))

@@ -20,24 +20,56 @@ Reranker = Callable[[DataFrame], DataFrame]
 
 #: Questions whose vectors are sent to the tasks at once (at 384 dimensions some 12 MB); more are asked in turns.
 BLOCK = 4096
+#: Questions and points of one product of matrices.
+TILE = (512, 2048)
+
+
+class _Best:
+    """The nearest points of each question so far, by rounded score, then id: what ranks last is forgotten."""
+
+    def __init__(self, questions: int, most: int):
+        self.most, self.least = most, np.zeros(questions)  # scores below 0 are never wanted
+        self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+    def add(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        row, score, ids = np.concatenate([self.row, row]), np.concatenate([self.score, np.round(score, 4)]), np.concatenate([self.id, ids])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[place < self.most]
+        self.row, self.score, self.id = row[place < self.most], score[kept], ids[kept]
+        last = np.flatnonzero(place[place < self.most] == self.most - 1)
+        self.least[self.row[last]] = np.maximum(self.score[last], 0.0)
 
 
 def _nearest(points: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
-    """query_id, point_id, score: of each batch of points those nearest to every question of a block."""
+    """query_id, point_id, score: of each partition of points those nearest to every question of a block."""
     asked = queries.collect()
     ids = pa.array([r["query_id"] for r in asked], to_arrow_type(queries.schema["query_id"].dataType))
     q = np.array([r["embedding"] for r in asked], float)
     kinds = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *queries.schema.fields]}
+    point_type = to_arrow_type(points.schema["point_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(q), candidates)
         for batch in batches:
-            if batch.num_rows:
-                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                score = q @ p.T
-                # scores are ranked when they are rounded to four digits: what may tie with the last candidate stays
-                least = np.partition(score, -candidates, axis=1)[:, -candidates, None] if batch.num_rows > candidates else -1.0
-                i, j = np.nonzero(score >= np.maximum(least, 0.0) - 1e-4)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "point_id", "score"])
+            for start in range(0, batch.num_rows, TILE[1]):
+                own = batch.slice(start, TILE[1])
+                p = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, -1)
+                names = np.array(own.column(0).to_pylist(), object)
+                found = []
+                for i in range(0, len(q), TILE[0]):
+                    score = q[i : i + TILE[0]] @ p.T
+                    least = best.least[i : i + TILE[0], None]
+                    if own.num_rows > candidates:
+                        least = np.maximum(least, np.partition(score, -candidates, axis=1)[:, -candidates, None])
+                    # scores are ranked when they are rounded to four digits: what may tie with the last candidate stays
+                    row, at = np.nonzero(score >= least - 1e-4)
+                    found.append((row + i, score[row, at], names[at]))
+                if found:
+                    best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        if len(best.row):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.row)), pa.array(best.id.tolist(), point_type), pa.array(best.score)], names=["query_id", "point_id", "score"])
 
     own = points.filter(F.col("embedding").isNotNull()).select("point_id", "embedding")
     return own.mapInArrow(run, f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double")

@@ -88,11 +88,15 @@ def figures(root: ET.Element) -> list[dict]:
 
 
 def article(markup: str | None) -> dict | None:
-    """The record of one article; None without open access, a title or enough text."""
+    """The record of one article's markup; None if it can't be parsed or isn't taken."""
     try:
-        root = ET.fromstring(markup or "")
+        return record(ET.fromstring(markup or ""))
     except ET.ParseError:
         return None
+
+
+def record(root: ET.Element) -> dict | None:
+    """The record of one article; None without open access, a title or enough text."""
     title = prose(_under(root, "article-meta", "article-title"))
     if not title or not open_access(root):
         return None
