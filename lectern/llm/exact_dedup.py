@@ -25,6 +25,8 @@ from lectern.llm.common import join_facts, materialise, new_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+LEAST_ID = -(2**63)
+
 #: Input that one micro-batch takes at most.
 BATCH_BYTES = 64 << 30
 
@@ -44,7 +46,9 @@ def _keyed(rows: DataFrame, digest: Callable[[Column], Column], *more: Column) -
         digest(normalised(F.col("text"))).alias("digest"),
         F.struct(
             F.length(F.coalesce("text", F.lit(""))).alias("chars"),
-            (-F.col("doc_id")).alias("neg_id"),
+            # the least long has no negative
+            (F.col("doc_id") == LEAST_ID).alias("least"),
+            F.try_subtract(F.lit(0), "doc_id").alias("neg_id"),
             F.col("_metadata.file_path").alias("file"),
             (-F.col("_metadata.row_index")).alias("neg_row"),
         ).alias("rank"),
@@ -123,5 +127,5 @@ def deduplicate(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     apart = members.drop("best", "group_size").join(clashing, "digest", "left_semi")
     again = apart.groupBy("digest", "norm").agg(F.max("rank").alias("best"), F.count("*").alias("group_size"))
     apart = apart.join(again, ["digest", "norm"]).withColumn("text_sha256", sha256(F.col("norm")))
-    columns = ["doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("rank") == F.col("best")).alias("kept"), "text_sha256"]
+    columns = ["doc_id", F.when(F.col("best.least"), F.lit(LEAST_ID)).otherwise(-F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("rank") == F.col("best")).alias("kept"), "text_sha256"]
     return plain.select(*columns).unionByName(apart.select(*columns))

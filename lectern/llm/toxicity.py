@@ -5,13 +5,14 @@ theta_0 < theta_1 < ...; the expected severity is the sum of these probabilities
 distinct words of the whole lower-cased text, each with its first four and first five characters,
 hashed; f is the sum of their weights, so scoring a text is a sum over its distinct words.
 
-The model is fitted on a bounded sample: the SAMPLE labelled documents of the least hash of doc_id, as many of them as hold
-SAMPLE_FEATURES features together; of documents with one doc_id the least text teaches. Where the
+The model is fitted on a bounded sample: the SAMPLE labelled documents of the least hash of doc_id, without those of over DOC_FEATURES
+features, as many of the others as hold SAMPLE_FEATURES together; of documents with one doc_id the least text teaches. A label above 1 anywhere in the sample means that its
+labels are grades; grades above GRADES - 1 count as that. Where the
 label is binary, grades come from the sample itself: 0 for clean documents; toxic ones get 1 to GRADES - 1 by
 quantiles of the number of their distinct words that mark toxic documents there.
 A document is toxic when a grade above 0 is likelier than not.
 
-Nulls: a null text is empty and scores as a text without words; labels without a document or with a null
+Nulls: a null text is empty and scores as a text without words; labels without a document, with a null or below 0
 teach nothing; a null doc_id keeps its row. With no labelled rows every text scores 0. Repeated rows
 score alike, an empty table gives an empty one; of further columns none is read, and the filter keeps them all.
 """
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import ARROW_ROWS, arrow_map, materialise, null_as_empty
 
 SAMPLE, GRADES = 6000, 4
-#: Features of the sample, of four bytes each: what the driver holds at most.
-SAMPLE_FEATURES = 8_000_000
+#: Features of the sample, of four bytes each: what the driver holds at most. Documents of more than DOC_FEATURES by themselves don't teach.
+SAMPLE_FEATURES, DOC_FEATURES = 8_000_000, 80_000
 BUCKETS = 1 << 20
 LEAST, L1, ROUNDS, RATE, START, CHI = 8, 1e-5, 600, 0.5, 1e-4, 12.0
 WORD = re.compile(r"\w+")
@@ -113,14 +114,18 @@ def fit(rows: np.ndarray, buckets: np.ndarray, grades: np.ndarray) -> Model:
     pairs *= n
     pairs += rows[use]
     pairs.sort()
-    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-    times = np.diff(first, append=len(pairs)).astype(float)
-    pairs = pairs[first]
-    b, r = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
-    del pairs, first
+    fresh = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+    first = np.flatnonzero(fresh).astype(np.int32)
+    times = np.diff(first, append=np.int32(len(pairs))).astype(np.float32)
+    del first
+    pairs = pairs[fresh]
+    b = (pairs // n).astype(np.int32)
+    pairs %= n
+    r = pairs.astype(np.int32)
+    del pairs, fresh
     # only features that go with toxicity or its absence take part
     bad, have = float((grades > 0).sum()), np.bincount(b, minlength=len(own)).astype(float)
-    both = np.bincount(b, weights=grades[r] > 0, minlength=len(own))
+    both = np.bincount(b[(grades > 0)[r]], minlength=len(own)).astype(float)
     chi = n * (both * n - have * bad) ** 2 / np.maximum(have * (n - have) * bad * (n - bad), 1)
     live = chi >= CHI
     own, use = own[live], live[b]
@@ -159,7 +164,7 @@ def graded(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, grades: int
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = GRADES, sample: int = SAMPLE) -> Model:
     """Fits on the bounded sample; a label above 1 is taken as a grade."""
-    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    chosen = labels.filter((F.col(label) >= 0) & F.col("doc_id").isNotNull()).select("doc_id", F.least(F.col(label), F.lit(grades - 1)).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
     # at most `sample` rows on either side
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label"))
@@ -169,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
     # the driver fits: it holds the sample's features
-    told = materialise(arrow_map(texts, run, "doc_id long, label int, features binary"), "toxicity-sample")
+    told = materialise(arrow_map(texts, run, "doc_id long, label int, features binary"), "toxicity-sample").filter(F.length("features") <= 4 * DOC_FEATURES)
     so_far = F.sum(F.length("features") / 4).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
     within = told.select("doc_id", so_far.alias("n")).filter(F.col("n") <= SAMPLE_FEATURES).select("doc_id")
     got = sorted(told.join(F.broadcast(within), "doc_id").toLocalIterator(), key=lambda r: r["doc_id"])

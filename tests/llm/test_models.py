@@ -277,3 +277,23 @@ def test_pipeline(spark, tmp_path):
     # the order of a queue follows the input's partitions, what is packed doesn't
     totals = lambda rows: sorted({(r["doc_id"], r["doc_tokens"]) for r in rows})
     assert totals(corpus_pipeline.run(spark, d).collect()) == totals(after["packing"])
+
+
+def test_labels_out_of_range_and_a_document_too_long_to_teach(spark, monkeypatch):
+    """Negative labels teach nothing, high grades count as the highest, one long text doesn't empty the sample."""
+    rng = random.Random(11)
+    text = lambda bad: " ".join(rng.choices([f"w{i}" for i in range(60)], k=30) + (["vile", "nasty", "awful"] if bad else []))
+    rows = [(i, text(i % 3 == 0)) for i in range(150)] + [(900 + i, " ".join(f"long{i}x{j}" for j in range(500))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    plain = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    long = spark.createDataFrame([(900 + i, 0) for i in range(20)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "DOC_FEATURES", 1000)
+    scores = lambda labels: sorted(map(tuple, toxicity.score(docs, toxicity.train(docs, labels)).collect()))
+    expected = scores(plain)
+    assert sum(r[-1] for r in expected) >= 45
+    assert scores(plain.unionByName(long)) == expected
+    negative = spark.createDataFrame([(i, -1) for i in range(150, 170)] + [(900, -5), (None, 1)], "doc_id long, toxic int")
+    assert scores(plain.unionByName(negative)) == expected
+    grades = plain.withColumn("toxic", F.col("toxic") * 2)
+    both = [scores(grades.union(negative).unionByName(spark.createDataFrame([(0, top)], "doc_id long, toxic int"))) for top in (3, 9)]
+    assert both[0] == both[1] and max(r[3] for r in both[0]) <= 3

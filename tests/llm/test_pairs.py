@@ -286,3 +286,12 @@ def test_components(spark):
     of = roots({n for p in pairs for n in p}, pairs)
     assert {r["node"]: r["root"] for r in found.collect()} == {n: r for n, r in of.items() if n != r}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_the_least_and_greatest_ids(spark, tmp_path):
+    """The least long has no negative; of equal texts it stays."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "same text"), (high, "same  text"), (0, "sametext"), (low, "other"), (None, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(exact_dedup.deduplicate(spark, str(tmp_path / "documents.parquet")).select("doc_id", "keep_id", "group_size", "kept").collect(), key=str)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(low, high, 3, False), (high, high, 3, True), (0, high, 3, False), (low, low, 2, True), (None, low, 2, False)]))
