@@ -26,23 +26,27 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return low.select("u", F.col("m").alias("v")).unionByName(moved)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, task_edges: int | None = None) -> DataFrame:
     """node, root for every node of edges (u, v) that isn't the least of its component; root is that least.
 
+    task_edges: edges of a task at least, so that a small graph on many partitions takes few tasks a step.
+
     Nodes of any orderable type; edges with a null end and loops link nothing; repeated edges count once;
     no edges give an empty table.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    few = lambda df, n: df if task_edges is None else df.coalesce(max(8, n // task_edges))
     now = materialise(now, "edges")
     for _ in range(most_rounds):
         # a forest of stars: each node has one edge, and no root has one
         state = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
         if state["n"] == 0:
             break
-        if state["n"] == state["d"] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        if state["n"] == state["d"] and few(now.join(now.select(F.col("u").alias("v")), "v", "left_semi"), state["n"]).isEmpty():
             break
-        now = materialise(_small_star(_large_star(now, state["n"]), state["n"]).distinct(), "edges")
+        n = state["n"]
+        now = materialise(few(few(_small_star(few(_large_star(now, n), n), n), n).distinct(), n), "edges")
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,7 +3,7 @@
 Texts are lower-cased in A-Z and cut at blank and the control characters 9 to 13; a document's set holds the XXH64 of its
 distinct runs of `words` words (fewer words: the whole sequence). The permuted universe is cut into BANDS * ROWS equal bins; a bin keeps its least
 element, and an empty bin takes that of the first non-empty bin in a probe sequence of its own. Sets that agree in the ROWS bins of one of the BANDS
-bands share a bucket: two sets of similarity 0.8 share none with a probability of (1 - 0.8^6)^56 = 4e-8.
+bands share a bucket: two sets of similarity 0.8 share none with a probability of (1 - 0.8^5)^36 = 6e-7.
 Sets of fewer than four elements reach 0.8 only when they are equal, so they have no buckets.
 
 Links are confirmed on full sets, candidates are stars: in each bucket the least set is the centre and every other one a
@@ -31,7 +31,9 @@ from lectern.llm.components import components
 from lectern.llm.simhash import P1, P3, _round, counts_of, in_groups, joined, sets_of, small_ids
 
 WORDS, PERCENT = 2, 80
-ROWS, BANDS = 6, 56
+ROWS, BANDS = 5, 36
+#: Rows of a task at least, where a step's rows are few.
+TASK_ROWS = 50_000
 #: Sets with fewer elements are similar only when they are equal.
 LEAST = 4
 
@@ -132,27 +134,41 @@ def _verified(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.col("u_size") + F.col("v_size") - common)).select("u", "v")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df, which holds about so many rows, in no more tasks than it needs."""
+    return df.coalesce(max(8, rows // TASK_ROWS))
+
+
 def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) of fps that join the sets as all links between sets of one bucket do."""
+    total = prints.count() * BANDS
     each = prints.select("fp", "size", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("centre"), F.max("fp").alias("high"), F.count("*").alias("n")).filter("centre.fp <> high")
-    shared = materialise(shared.select("key", F.col("centre.fp").alias("centre"), F.col("centre.size").alias("centre_size"), "n"), "minhash-buckets")
-    met = materialise(join_facts(each, shared, "key", "n", prints.count() * BANDS, ["fp"]).filter("fp <> centre").distinct(), "minhash-met")
+    # a hot bucket's rows are dealt out here, and below once more
+    parts = F.ceil(F.col("n") / max(1, total // HOT)).alias("parts")
+    shared = materialise(shared.select("key", F.col("centre.fp").alias("centre"), F.col("centre.size").alias("centre_size"), "n", parts), "minhash-buckets")
+    met = materialise(join_facts(each, shared, "key", "n", total, ["fp"]).filter("fp <> centre").distinct(), "minhash-met")
+    n_met = met.count()
     # sets of very unlike sizes aren't similar
     fit = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
-    stars = materialise(met.filter(fit).select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct(), "minhash-stars")
+    stars = materialise(_few(met.filter(fit).select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct(), n_met), "minhash-stars")
     sets = _sets(docs, prints, stars.select(F.explode(F.array("u", "v")).alias("fp")), words)
     found = materialise(_verified(stars, sets, percent), "minhash-links")
 
-    # buckets whose sets, the centre left out, aren't all linked to one centre
-    known = found.groupBy(F.col("v").alias("fp")).agg(F.min("u").alias("root"))
-    member = materialise(met.select("key", "fp").join(known, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "minhash-members")
-    open_keys = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
-    rest = materialise(join_facts(member, open_keys, "key", "n", member.count(), ["fp"]).select("key", "fp"), "minhash-rest")
+    # buckets whose sets, the centre left out, are of several classes yet
+    roots = materialise(components(found, task_edges=TASK_ROWS), "minhash-roots")
+    known = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "parts", F.coalesce("root", "fp").alias("root"))
+    member = materialise(_few(known, n_met), "minhash-members")
+    open_keys = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("parts").alias("parts")).filter("low <> high")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    dealt = member.select("key", "fp", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    rest = materialise(_few(dealt.join(open_keys.select("key", every), ["key", "part"]).select("key", "fp"), n_met), "minhash-rest")
+    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if rest.isEmpty():
-        return found
-    facts = materialise(prints.select("fp", "size", "counts").join(rest.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "minhash-facts")
-    return found.unionByName(joined(rest, facts, lambda ids: _sets(docs, prints, ids, words), percent / 100))
+        return stars
+    facts = prints.select("fp", "size", "counts").join(rest.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+    facts = materialise(_few(facts, n_met), "minhash-facts")
+    return stars.unionByName(joined(rest, facts, lambda ids: _sets(docs, prints, ids, words), percent / 100, TASK_ROWS))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -160,10 +176,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     prints = materialise(signatures(docs, words), "minhash")
     with_words = prints.filter("size > 0")
     known = with_words.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    roots = components(links(docs, prints.filter("bands IS NOT NULL AND size >= " + str(LEAST)), words, percent))
-    known = materialise(known.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "minhash-classes")
-    classes = materialise(known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_sets")), "minhash-components")
-    named = materialise(join_facts(known, classes, "root", "n_sets", known.count(), ["fp"]).select("fp", "component_id", "n"), "minhash-named")
-    rows = join_facts(with_words, named, "fp", "n", prints.count(), ["doc_id", "text_key"]).select("doc_id", "size", "component_id")
+    roots = components(links(docs, prints.filter("bands IS NOT NULL AND size >= " + str(LEAST)), words, percent), task_edges=TASK_ROWS)
+    n = prints.count()
+    known = materialise(_few(known.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), n), "minhash-classes")
+    classes = materialise(_few(known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_sets")), n), "minhash-components")
+    named = materialise(_few(join_facts(known, classes, "root", "n_sets", known.count(), ["fp"]), n).select("fp", "component_id", "n"), "minhash-named")
+    rows = _few(join_facts(with_words, named, "fp", "n", n, ["doc_id", "text_key"]), n).select("doc_id", "size", "component_id")
     rows = rows.unionByName(prints.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))
     return rows.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -447,13 +447,13 @@ def similar(sets: DataFrame, similarity: float) -> DataFrame:
     return joined(met, bounds, whole, similarity)
 
 
-def joined(met: DataFrame, bounds: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def joined(met: DataFrame, bounds: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float, task_edges: int | None = None) -> DataFrame:
     """Edges (u, v) that join the members (fp) of each key of met exactly as all similar pairs of a key do.
 
     bounds: fp, size, counts of each set once; whole gives the same with the shingles for a table of fps. Both tables are read
-    several times, so they should be written before.
+    several times, so they should be written before. task_edges: as for components.
     """
-    near = materialise(components(_edges(met, bounds, similarity, False)), "met-roots")
+    near = materialise(components(_edges(met, bounds, similarity, False), task_edges=task_edges), "met-roots")
     member = near.select(F.col("root").alias("key"), F.col("node").alias("fp")).unionByName(near.select(F.col("root").alias("key"), F.col("root").alias("fp")).distinct())
     member = materialise(member, "met-groups")
     return _edges(member, whole(member.select("fp")), similarity, True)
