@@ -31,9 +31,14 @@ class _Best:
         self.most, self.least = most, np.zeros(questions)  # scores below 0 are never wanted
         self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
 
+    @staticmethod
+    def rounded(score: np.ndarray) -> np.ndarray:
+        """To four digits, halves away from zero as F.round does: dyadic scores lie between two."""
+        return np.copysign(np.floor(np.abs(score) * 1e4 + 0.5), score)
+
     def add(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        row, score, ids = np.concatenate([self.row, row]), np.concatenate([self.score, np.round(score, 4)]), np.concatenate([self.id, ids])
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, row))
+        row, score, ids = np.concatenate([self.row, row]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -self.rounded(score), row))
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         kept = order[place < self.most]

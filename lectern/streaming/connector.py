@@ -1,7 +1,7 @@
 """Stored pages of articles as a stream with offsets of its own: how far each topic has been taken.
 
 The folder holds a folder for each topic with pages in the order of their names. An offset names each topic's
-last page; a batch takes what came after, one task for each page, and a batch that is run again reads the same pages. A page that can't be read or
+last page; a batch takes what came after, some pages a task, and a batch that is run again reads the same pages. A page that can't be read or
 parsed is a row with a reason, as is an article that ingestion doesn't take: one bad topic stops no other.
 """
 
@@ -26,11 +26,31 @@ SOURCE = "pmc_open_access"
 NO_ACCESS, UNREADABLE = "no access", "unreadable"
 
 
+#: Pages and bytes of one task at most.
+TASK_PAGES, TASK_BYTES = 256, 64 << 20
+
+
 @dataclass
-class Page(InputPartition):
+class Page:
     topic: str
     name: str
     path: str
+    size: int
+
+
+@dataclass
+class Pages(InputPartition):
+    own: list[Page]
+
+
+def grouped(found: list[Page]) -> list[Pages]:
+    """The pages in order, as many a task as its limits allow."""
+    out: list[Pages] = []
+    for p in found:
+        if not out or len(out[-1].own) == TASK_PAGES or sum(x.size for x in out[-1].own) + p.size > TASK_BYTES:
+            out.append(Pages([]))
+        out[-1].own.append(p)
+    return out
 
 
 def rows_of(page: Page, markup: bytes) -> Iterator[tuple]:
@@ -66,17 +86,18 @@ class PageReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         return {t: pages[-1].base_name for t, pages in self._topics().items()}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(t, p.base_name, p.path) for t, pages in self._topics().items() for p in pages if t in end and start.get(t, "") < p.base_name <= end[t]]
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        return grouped([Page(t, p.base_name, p.path, p.size) for t, pages in self._topics().items() for p in pages if t in end and start.get(t, "") < p.base_name <= end[t]])
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         store, _ = fs.FileSystem.from_uri(self.path)
-        try:
-            with store.open_input_stream(partition.path) as file:
-                markup = file.read()
-        except FileNotFoundError:
-            markup = b""  # taken away since it was listed: told as unreadable
-        yield from rows_of(partition, markup)
+        for page in partition.own:
+            try:
+                with store.open_input_stream(page.path) as file:
+                    markup = file.read()
+            except FileNotFoundError:
+                markup = b""  # taken away since it was listed: told as unreadable
+            yield from rows_of(page, markup)
 
     def commit(self, end: dict) -> None:
         pass

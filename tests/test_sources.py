@@ -283,6 +283,13 @@ def test_nearest_keep_ties_by_id_over_batches():
             assert got == expected
 
 
+def test_nearest_round_halves_as_the_columns_do():
+    """0.28125 lies between two scores of four digits: it ties with 0.2813, not with 0.2812."""
+    best = search._Best(1, 2)
+    best.add(np.zeros(3, np.int64), np.array([0.28125, 0.2813, 0.2812]), np.array(["b", "c", "a"], object))
+    assert best.id.tolist() == ["b", "c"] and best.score.tolist() == [0.28125, 0.2813]
+
+
 def test_chunks_past_a_thousand_can_be_read(spark):
     points = spark.range(1500).selectExpr("1 AS document_id", "CAST(id AS int) AS chunk_index")
     assert metadata.chunks_of(points, offset=1000, limit=600).count() == 500
