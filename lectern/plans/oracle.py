@@ -224,6 +224,31 @@ FROM runs r JOIN fold f ON f.query_id = r.query_id AND f.island = r.island AND f
 
 SQL["hybrid_search"] = _hybrid(None)
 SQL["hybrid_search_filtered"] = _hybrid("src1")
+
+
+def _interaction(pairs: str) -> str:
+    """The score of pairs (id, q, p), from qw and pw, the distinct words of their questions and passages."""
+    return f"""
+grams AS (SELECT w, ('0x' || left(md5(substring('^' || w || '$', i, 3)), 8))::BIGINT AS h FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT w FROM qw UNION SELECT w FROM pw))),
+wv AS (SELECT w, h % 256 AS place, CAST(sum(CASE WHEN (h // 65536) % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM grams GROUP BY ALL),
+wn AS (SELECT w, sum(v * v) AS n FROM wv GROUP BY w),
+near_words AS (SELECT a.w AS a, b.w AS b, sum(a.v * b.v) / sqrt(any_value(x.n * y.n)) AS s FROM (SELECT * FROM wv WHERE w IN (SELECT w FROM qw)) a JOIN (SELECT * FROM wv WHERE w IN (SELECT w FROM pw)) b USING (place)
+               JOIN wn x ON x.w = a.w JOIN wn y ON y.w = b.w GROUP BY a.w, b.w HAVING sum(a.v * b.v) > 0),
+best_words AS (SELECT h.q, h.p, qw.w, coalesce(max(s), 0) AS s FROM {pairs} h JOIN qw ON qw.q = h.q JOIN pw ON pw.p = h.p LEFT JOIN near_words n ON n.a = qw.w AND n.b = pw.w GROUP BY ALL),
+scores AS (SELECT q, p, round(sum(s), 4) AS rerank_score FROM best_words GROUP BY ALL)"""
+
+
+_RANKED = f"""qw AS (SELECT item_id AS q, unnest(list_distinct({_tokens("text")})) AS w FROM benchmark),
+pw AS (SELECT point_id AS p, unnest(list_distinct({_tokens("text")})) AS w FROM points WHERE point_id IN (SELECT point_id FROM hits)),
+pairs AS (SELECT query_id AS q, point_id AS p FROM hits),{_interaction("pairs")},
+ranked AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank_score, 0) DESC, rank) AS rank FROM hits LEFT JOIN scores ON q = query_id AND p = point_id),
+"""
+SQL["hybrid_search_reranked"] = _hybrid(None).replace("capped AS (", _RANKED + "capped AS (", 1).replace("FROM hits h JOIN points", "FROM ranked h JOIN points")
+SQL["rerank_scores"] = f"""
+WITH qw AS (SELECT conv_id AS q, unnest(list_distinct({_tokens("text")})) AS w FROM conversations WHERE turn = 0),
+pw AS (SELECT conv_id || ':' || turn AS p, unnest(list_distinct({_tokens("text")})) AS w FROM conversations WHERE turn > 0),
+pairs AS (SELECT t.conv_id AS q, t.conv_id || ':' || t.turn AS p, t.turn FROM conversations t JOIN conversations f ON f.conv_id = t.conv_id AND f.turn = 0 WHERE t.turn > 0),{_interaction("pairs")}
+SELECT pairs.q AS conv_id, turn, rerank_score FROM pairs LEFT JOIN scores USING (q, p)"""
 SQL["char_chunks"] = """
 WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 462)) AS place FROM documents)
 SELECT doc_id, CAST(place / 462 AS INTEGER) AS chunk_index, CAST(length(substring(text, place + 1, 512)) AS INTEGER) AS n_chars, sha256(substring(text, place + 1, 512)) AS chunk_sha256 FROM s WHERE text <> ''"""
@@ -438,6 +463,53 @@ fold AS (
 )"""
 SQL["rate_limit"] = f"WITH RECURSIVE {_LIMIT} SELECT event_id, admitted, CASE WHEN retry IS NULL THEN 1 ELSE greatest(1, CAST(floor(retry + 0.999) AS INTEGER)) END AS retry_seconds FROM fold"
 SQL["rate_limit_counts"] = f"WITH RECURSIVE {_LIMIT} SELECT admitted, count(*) AS n FROM fold GROUP BY admitted"
+# One step for each event: first what silence before it did, then the event itself.
+SQL["answer_failover"] = """
+WITH RECURSIVE e AS (
+  SELECT user_id || ':' || (epoch_us(ts) // 432000000000) AS key, event_id, epoch_us(ts) AS "at", CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'end' ELSE 'token' END AS kind, event_id % 3 AS actor, props,
+         row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 432000000000 ORDER BY ts, event_id) AS k FROM events),
+f AS (
+  SELECT key, 0::BIGINT AS k, 0::BIGINT AS turn, 0::BIGINT AS tokens, "at" AS since, NULL::VARCHAR AS error, NULL::VARCHAR AS done, NULL::BIGINT AS event_id, NULL::BIGINT AS ended, NULL::VARCHAR AS said FROM e WHERE k = 1
+  UNION ALL
+  SELECT key, k, CASE WHEN done IS NULL AND hit AND kind = 'error' AND tokens = 0 THEN turn + 1 ELSE turn END, CASE WHEN done IS NULL AND hit AND kind = 'token' THEN tokens + 1 ELSE tokens END,
+         CASE WHEN done IS NULL AND hit THEN "at" ELSE since END, CASE WHEN done IS NULL AND hit AND kind = 'error' THEN props ELSE error END,
+         CASE WHEN done IS NOT NULL OR NOT hit THEN done WHEN kind = 'end' THEN 'completed' WHEN kind = 'error' AND tokens > 0 THEN 'broken' WHEN kind = 'error' AND turn = 2 THEN 'failed' END,
+         CASE WHEN done IS NULL AND hit THEN id ELSE event_id END, CASE WHEN done IS NULL AND hit THEN "at" ELSE ended END, CASE WHEN done IS NULL AND hit AND kind = 'token' THEN props END
+  FROM (SELECT key, k, id, "at", kind, props, tokens, event_id,
+               CASE WHEN n = 0 OR tokens > 0 THEN turn ELSE least(turn + n, 3) END AS turn, CASE WHEN n = 0 THEN since ELSE since + n * 86400000000 END AS since, CASE WHEN n = 0 THEN error ELSE 'no answer in time' END AS error,
+               CASE WHEN n = 0 THEN done WHEN tokens > 0 THEN 'broken' WHEN turn + n >= 3 THEN 'failed' END AS done,
+               CASE WHEN n = 0 THEN ended WHEN tokens > 0 THEN since + 86400000000 WHEN turn + n >= 3 THEN since + (3 - turn) * 86400000000 END AS ended,
+               actor = CASE WHEN n = 0 OR tokens > 0 THEN turn ELSE least(turn + n, 3) END AS hit
+        FROM (SELECT f.*EXCLUDE (k, event_id, said), e.k, e.event_id AS id, e."at", e.kind, e.actor, e.props, CASE WHEN f.done IS NULL THEN f.event_id END AS event_id,
+                     CASE WHEN f.done IS NOT NULL OR e."at" <= f.since THEN 0 ELSE (e."at" - f.since - 1) // 86400000000 END AS n FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1))),
+closed AS (
+  SELECT key, k, turn, tokens, error, ended, done FROM f WHERE done IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY k) = 1),
+open AS (SELECT key, turn, tokens, since FROM f WHERE key NOT IN (SELECT key FROM closed) QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1)
+SELECT key, 'token' AS event, event_id, 'p' || turn AS actor, tokens AS n, ended AS "at", said AS data FROM f WHERE said IS NOT NULL
+UNION ALL
+SELECT c.key, done, e.event_id, CASE WHEN done <> 'failed' THEN 'p' || turn END, tokens, ended, CASE WHEN done <> 'completed' THEN error END FROM closed c LEFT JOIN e ON e.key = c.key AND e.k = c.k AND e."at" = ended
+UNION ALL
+SELECT key, CASE WHEN tokens > 0 THEN 'broken' ELSE 'failed' END, NULL, CASE WHEN tokens > 0 THEN 'p' || turn END, tokens, since + 86400000000 * CASE WHEN tokens > 0 THEN 1 ELSE 3 - turn END, 'no answer in time' FROM open"""
+SQL["job_outcomes"] = """
+WITH RECURSIVE e AS (
+  SELECT user_id || ':' || (epoch_us(ts) // 864000000000) AS key, event_id, epoch_us(ts) AS "at", CASE event_type WHEN 'view' THEN 'beat' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'claim' END AS kind,
+         'w' || event_id % 2 AS actor, props, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 864000000000 ORDER BY ts, event_id) AS k FROM events
+  UNION ALL
+  -- silence after the last event
+  SELECT user_id || ':' || (epoch_us(ts) // 864000000000), NULL, 9000000000000000000, 'silence', NULL, NULL, count(*) + 1 FROM events GROUP BY 1),
+f AS (
+  SELECT key, 0::BIGINT AS k, 0::BIGINT AS attempt, NULL::VARCHAR AS holder, NULL::BIGINT AS due, false AS done, []::STRUCT(event VARCHAR, event_id BIGINT, actor VARCHAR, n BIGINT, "at" BIGINT, data VARCHAR)[] AS told FROM e WHERE k = 1
+  UNION ALL
+  SELECT key, k, CASE WHEN taken THEN attempt + 1 ELSE attempt END, CASE WHEN taken THEN actor WHEN own AND kind IN ('completed', 'failed') THEN NULL ELSE held END,
+         CASE WHEN taken OR (own AND kind = 'beat') THEN "at" + 43200000000 ELSE due END, over OR (own AND kind IN ('completed', 'failed')),
+         CASE WHEN expired THEN [{'event': 'expired', 'event_id': NULL, 'actor': holder, 'n': attempt, 'at': due, 'data': NULL}] ELSE [] END
+         || CASE WHEN expired AND over THEN [{'event': 'failed', 'event_id': NULL, 'actor': NULL, 'n': attempt, 'at': due, 'data': 'no worker finished in time'}] ELSE [] END
+         || CASE WHEN taken THEN [{'event': 'claimed', 'event_id': event_id, 'actor': actor, 'n': attempt + 1, 'at': "at", 'data': NULL}] ELSE [] END
+         || CASE WHEN own AND kind IN ('completed', 'failed') THEN [{'event': kind, 'event_id': event_id, 'actor': actor, 'n': attempt, 'at': "at", 'data': props}] ELSE [] END
+  FROM (SELECT *, NOT over AND held IS NULL AND kind = 'claim' AS taken, coalesce(NOT over AND held = actor, false) AS own
+        FROM (SELECT *, CASE WHEN expired THEN NULL ELSE holder END AS held, done OR (expired AND attempt >= 3) AS over
+              FROM (SELECT f.key, e.k, f.attempt, f.holder, f.due, f.done, e.event_id, e."at", e.kind, e.actor, e.props, NOT f.done AND f.holder IS NOT NULL AND f.due < e."at" AS expired FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1))))
+SELECT key, t.event, t.event_id, t.actor, t.n, t."at", t.data FROM (SELECT key, unnest(told) AS t FROM f)"""
 SQL["tumbling_windows"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 SQL["sliding_windows"] = """
 WITH s AS (SELECT date_trunc('hour', ts) - to_hours(unnest(range(0, 24))) AS start, event_type FROM events) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM s GROUP BY ALL"""

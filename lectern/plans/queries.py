@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, compare, evaluate, imaging, lexical, limits, metadata, prompt, quality, retrieval, segments, vector
+from lectern.operators import chunking, compare, evaluate, imaging, lexical, limits, machines, metadata, prompt, quality, rerank, retrieval, segments, vector
 from lectern.plans import ingest, search
 from lectern.session import table
 from lectern.storage import materialise, new_path
@@ -286,11 +286,11 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.unite(near, words, cosines).select("query_id", "point_id", "score")
 
 
-def _passages(spark: SparkSession, d: str, source_type: str | None = None) -> DataFrame:
+def _passages(spark: SparkSession, d: str, source_type: str | None = None, reranker: search.Reranker | None = None) -> DataFrame:
     rows = docs(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text"), F.col("source").alias("source_type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("filename"))
     points = materialise(ingest.points(rows, vector.HashingEmbedder()), "points")
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = search.retrieve(points, questions, vector.HashingEmbedder(), source_type=source_type)
+    found = search.retrieve(points, questions, vector.HashingEmbedder(), source_type=source_type, rerank=reranker)
     return found.select("query_id", "chunk_id", "document_id", "chunk_index", "score", "merged", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -306,6 +306,20 @@ def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d, "src1")
 
 
+@query
+def hybrid_search_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The same with candidates in the order of late interaction."""
+    return _passages(spark, d, reranker=rerank.reranked)
+
+
+@query
+def rerank_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn of a conversation against its first one."""
+    turns = table(spark, d, "conversations")
+    first = turns.filter("turn = 0").select("conv_id", F.col("text").alias("question"))
+    return turns.filter("turn > 0").join(first, "conv_id").select("conv_id", "turn", rerank.late_interaction(F.col("question"), F.col("text")).alias("rerank_score"))
+
+
 @query
 def out_of_scope(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations")
@@ -542,6 +556,31 @@ def rate_limit_counts(spark: SparkSession, d: str) -> DataFrame:
     return limits.limited(_requests(spark, d)).groupBy("admitted").agg(F.count("*").alias("n"))
 
 
+def _spans(spark: SparkSession, d: str, days: int) -> DataFrame:
+    """Events with a key for each user and span of days."""
+    events = windows.timed(table(spark, d, "events"))
+    return events.withColumn("key", F.concat_ws(":", "user_id", F.floor(F.unix_micros("ts") / F.lit(days * 86_400_000_000)).cast("string")))
+
+
+@query
+def answer_failover(spark: SparkSession, d: str) -> DataFrame:
+    """Events as what three providers say, each told twice: errors and silence before the first token fall over, later ones end the answer."""
+    rows = _spans(spark, d, 5)
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "end").otherwise("token")
+    provider = F.concat(F.lit("p"), F.pmod("event_id", F.lit(3)).cast("string"))
+    events = machines.events_of(rows.unionByName(rows), key="key", event_id="event_id", at="ts", kind=kind, actor=provider, data="props")
+    return machines.folded(events, machines.Answer(("p0", "p1", "p2"), 86_400_000_000))
+
+
+@query
+def job_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as what two workers do with a job for each user and ten days: leases of half a day, three attempts."""
+    kind = F.when(F.col("event_type") == "view", "beat").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("claim")
+    worker = F.concat(F.lit("w"), F.pmod("event_id", F.lit(2)).cast("string"))
+    events = machines.events_of(_spans(spark, d, 10), key="key", event_id="event_id", at="ts", kind=kind, actor=worker, data="props")
+    return machines.folded(events, machines.Job(43_200_000_000, 3))
+
+
 def _stamp() -> Column:
     return F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")
 
