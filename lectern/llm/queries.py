@@ -88,9 +88,20 @@ FROM n
 
 
 
+def _unescaped(text: str) -> str:
+    def number(digits: str, base: str, most: int) -> str:
+        code = f"TRY_CAST({base} || {digits} AS BIGINT)"
+        return f"CASE WHEN length({digits}) BETWEEN 1 AND {most} AND {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}::INTEGER) ELSE chr(65533) END"
+
+    named = " ".join(f"WHEN '{name}' THEN chr({ord(c)})" for name, c in url_filter.NAMES.items())
+    read = f"""CASE WHEN regexp_matches(p, '^&#[xX]') THEN {number("regexp_extract(p, '^&#[xX]0*([0-9a-fA-F]*)', 1)", "'0x'", 6)}
+      WHEN regexp_matches(p, '^&#[0-9]') THEN {number("regexp_extract(p, '^&#0*([0-9]*)', 1)", "''", 7)} ELSE CASE p {named} ELSE p END END"""
+    return f"coalesce(array_to_string(list_transform(regexp_extract_all({text}, '{url_filter.PIECES}'), lambda p: {read}), ''), '')"
+
+
 def _attribute(tag: str, name: str) -> str:
     pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""".replace("'", "''")
-    return " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3))
+    return _unescaped("(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3)) + ")")
 
 
 def _without_dots(path: str) -> str:
@@ -103,33 +114,45 @@ def _tags(name: str) -> str:
 
 
 _REFRESH = url_filter.REFRESH.replace("'", "''")
+
+
+def _resolving(source: str, name: str) -> str:
+    """CTEs that end in name (url, to_url): the targets t of source (url, base_url, t) as absolute URLs."""
+    return rf"""cut_{name} AS (
+  SELECT url, t, regexp_extract(t, '(?s)^[^?#]*') AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(base_url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme,
+         regexp_extract(base_url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS site, regexp_extract(base_url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS base
+  FROM (SELECT url, base_url, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM {source})
+), parts_{name} AS (
+  SELECT *, regexp_extract(own, '(?is)^(https?://[^/]*)', 1) AS full_site, regexp_extract(own, '(?is)^https?://[^/]*(.*)$', 1) AS full_path, regexp_extract(own, '(?s)^//[^/]*') AS near_site,
+         regexp_extract(own, '(?s)^//[^/]*(.*)$', 1) AS near_path, CASE WHEN base = '' THEN '/' ELSE regexp_extract(base, '(?s)^(.*/)', 1) END || own AS joined FROM cut_{name}
+), {name} AS (
+  SELECT url, CASE WHEN full_site <> '' THEN full_site || {_without_dots("full_path")} || rest
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR scheme = '' OR t = '' OR starts_with(t, '#') THEN NULL
+    WHEN starts_with(own, '//') THEN scheme || ':' || near_site || {_without_dots("near_path")} || rest
+    WHEN starts_with(own, '/') THEN site || {_without_dots("own")} || rest
+    WHEN own = '' THEN site || base || rest
+    ELSE site || {_without_dots("joined")} || rest END AS to_url FROM parts_{name}
+)"""
+
+
 OP5_SQL = rf"""
 WITH RECURSIVE raw AS (
-  SELECT page_id, url, coalesce(html, '') AS html FROM pages
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '{url_filter.NO_MARKUP}', ' ', 'g') AS html FROM pages
+), bases AS (
+  SELECT url, url AS base_url, html, coalesce(list_filter(list_transform({_tags("base")}, lambda tag: {_attribute("tag", "href")}), lambda h: h <> '')[1], '') AS t FROM (SELECT DISTINCT url, html FROM raw)
+), {_resolving("bases", "based").replace("SELECT url, base_url, regexp_replace(t,", "SELECT url || chr(0) || html AS url, base_url, regexp_replace(t,")}, page AS (
+  SELECT b.url, html, coalesce(to_url, b.url) AS base_url FROM bases b JOIN based ON based.url = b.url || chr(0) || html
 ), links AS (
-  SELECT url, unnest({_tags("link")}) AS tag FROM raw
+  SELECT url, base_url, unnest({_tags("link")}) AS tag FROM page
 ), metas AS (
-  SELECT url, unnest({_tags("meta")}) AS tag FROM raw
+  SELECT url, base_url, unnest({_tags("meta")}) AS tag FROM page
 ), targets AS (
-  SELECT url, {_attribute("tag", "href")} AS t FROM links WHERE list_contains(regexp_split_to_array(lower({_attribute("tag", "rel")}), '\s+'), 'canonical')
+  SELECT url, base_url, {_attribute("tag", "href")} AS t FROM links WHERE list_contains(regexp_split_to_array(lower({_attribute("tag", "rel")}), '\s+'), 'canonical')
   UNION ALL
-  SELECT url, {" || ".join(f"regexp_extract({_attribute('tag', 'content')}, '{_REFRESH}', {i})" for i in (1, 2, 3))} FROM metas
+  SELECT url, base_url, {" || ".join(f"regexp_extract({_attribute('tag', 'content')}, '{_REFRESH}', {i})" for i in (1, 2, 3))} FROM metas
   WHERE list_contains(regexp_split_to_array(lower({_attribute("tag", "http-equiv")}), '\s+'), 'refresh')
-), clean AS (
-  SELECT url, replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '&amp;', '&') AS t FROM targets
-), cut_up AS (
-  SELECT url AS from_url, t, regexp_extract(t, '(?s)^[^?#]*') AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest, regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme,
-         regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') AS site, regexp_extract(url, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS base FROM clean
-), resolved AS (
-  SELECT *, regexp_extract(own, '(?is)^(https?://[^/]*)', 1) AS full_site, regexp_extract(own, '(?is)^https?://[^/]*(.*)$', 1) AS full_path, regexp_extract(own, '(?s)^//[^/]*') AS near_site,
-         regexp_extract(own, '(?s)^//[^/]*(.*)$', 1) AS near_path, CASE WHEN base = '' THEN '/' ELSE regexp_extract(base, '(?s)^(.*/)', 1) END || own AS joined FROM cut_up
-), whole AS (
-  SELECT from_url, CASE WHEN full_site <> '' THEN full_site || {_without_dots("full_path")} || rest
-    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR scheme = '' OR t = '' OR starts_with(t, '#') THEN NULL
-    WHEN starts_with(own, '//') THEN scheme || ':' || near_site || {_without_dots("near_path")} || rest
-    WHEN starts_with(own, '/') THEN site || {_without_dots("own")} || rest
-    WHEN own = '' THEN site || base || rest
-    ELSE site || {_without_dots("joined")} || rest END AS to_url FROM resolved
+), {_resolving("targets", "found")}, whole AS (
+  SELECT url AS from_url, to_url FROM found
 ), urls AS (
   SELECT url FROM raw UNION SELECT from_url FROM whole UNION SELECT to_url FROM whole
 ), parts AS (

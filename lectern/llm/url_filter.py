@@ -3,8 +3,9 @@
 A rule blocks or allows a host with all its subdomains below a path prefix; of the rules that fit a URL the
 longest (host and path together) decides, at equal length an allowing one. Redirect and canonical-link edges make URLs aliases:
 all canonical links (`canonical` among the tokens of rel) and refresh redirects of a page are taken from its markup, further
-redirects from a table. Targets are resolved against the page's URL by RFC 3986 (`base` elements aren't read; of the character
-references only that of & is). Over the edges'
+redirects from a table. Comments, scripts, styles, titles and text areas hold no links; of the character references numbers and the names of
+ASCII characters are read. Targets are resolved by RFC 3986 against the page's first `base` with an address, itself resolved against
+the page's URL, or against that URL. Over the edges'
 connected components block decisions reach the aliases: a URL that no rule fits is blocked when a rule
 blocks any URL of its component. An explicit allow goes first: a URL that a rule allows is never blocked by an alias.
 
@@ -17,15 +18,13 @@ further columns are not read.
 
 from __future__ import annotations
 
-import re
+import html.entities
 import string
-from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import join_facts, materialise
 from lectern.llm.components import components
 
 #: (action, host, path)
@@ -38,7 +37,14 @@ RULES = [
 ]
 
 #: Whole tags, with `>` inside quotes.
-LINK, META = (rf"""(?is)<{tag}\b(?:[^>"']+|"[^"]*"|'[^']*')*>""" for tag in ("link", "meta"))
+LINK, META, BASE_TAG = (rf"""(?is)<{tag}\b(?:[^>"']+|"[^"]*"|'[^']*')*>""" for tag in ("link", "meta", "base"))
+#: What holds no elements.
+NO_MARKUP = "(?is)<!--.*?-->|" + "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "title", "textarea"))
+#: A character reference with a number, one with a name, or text without either.
+PIECES = "&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
+NAMES = {f"&{name}": c for name, c in html.entities.html5.items() if name.endswith(";") and len(c) == 1 and ord(c) < 128}
+#: Facts of so many keys are broadcast; more are joined in parts.
+FEW = 200_000
 #: A refresh: seconds, then the address, in quotes or not.
 REFRESH = r"""(?is)^[\s]*[\d.]*[\s]*[;,\s][\s]*(?:url[\s]*=[\s]*)?(?:"([^"]*)|'([^']*)|([^"'\s].*))"""
 #: scheme, authority, path and query of a base URL.
@@ -66,10 +72,26 @@ def node_of(url: Column) -> Column:
     return F.when(_rest(url) != "", node)
 
 
+def unescaped(text: Column) -> Column:
+    """text with its character references read; a number that is no character gives U+FFFD."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+
+    def read(piece: Column) -> Column:
+        hexed, digits = (F.regexp_extract(piece, p, 1) for p in ("^&#[xX]0*([0-9a-fA-F]*)", "^&#0*([0-9]*)"))
+        code = F.when(piece.rlike("^&#[xX]"), F.when(F.length(hexed) < 7, F.conv(hexed, 16, 10))).when(F.length(digits) < 8, digits)
+        code = code.try_cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(piece.startswith("&#") & (F.length(piece) > 2), char).otherwise(F.coalesce(F.try_element_at(names, piece), piece))
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECES), 0), read), "")
+    return F.when(F.instr(text, "&") > 0, whole).otherwise(text)
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's first attribute of that name, without quotes; empty without one."""
+    """The value of a tag's first attribute of that name, without quotes and references; empty without one."""
     pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return unescaped(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
 
 
 def without_dots(path: Column) -> Column:
@@ -86,7 +108,7 @@ def without_dots(path: Column) -> Column:
 
 def absolute(target: Column, base: Column) -> Column:
     """target as an absolute URL, resolved against base; null if it is none of http or https, or names base's own document."""
-    target = F.replace(F.regexp_replace(target, r"^\s+|\s+$", ""), F.lit("&amp;"), F.lit("&"))
+    target = F.regexp_replace(target, r"^\s+|\s+$", "")
     scheme, authority, path = (F.regexp_extract(base, BASE, i) for i in (1, 2, 3))
     own = F.regexp_extract(target, "(?s)^[^?#]*", 0)
     rest = F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
@@ -119,20 +141,35 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def edges_of(pages: DataFrame) -> DataFrame:
-    """from_url, to_url: the pages' canonical links and refresh redirects."""
-    html, low = F.coalesce("html", F.lit("")), F.lower(F.coalesce("html", F.lit("")))
-    tokens = lambda tag, name: F.split(F.lower(attribute(tag, name)), r"\s+")
-    links = F.filter(F.regexp_extract_all(html, F.lit(LINK), 0), lambda t: F.array_contains(tokens(t, "rel"), "canonical"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(META), 0), lambda t: F.array_contains(tokens(t, "http-equiv"), "refresh"))
-    told = lambda t: F.concat(*[F.regexp_extract(attribute(t, "content"), REFRESH, i) for i in (1, 2, 3)])
-    none = F.array().cast("array<string>")
-    # the plain tests spare most pages the regular expressions
-    found = F.concat(
-        F.when(low.contains("canonical"), F.transform(links, lambda t: attribute(t, "href"))).otherwise(none),
-        F.when(low.contains("http-equiv"), F.transform(metas, told)).otherwise(none),
-    )
-    each = pages.select(F.col("url").alias("from_url"), F.explode(found).alias("target"))
-    return each.select("from_url", absolute(F.col("target"), F.col("from_url")).alias("to_url")).filter(F.col("to_url").isNotNull())
+    """from_url, to_url: the pages' canonical links and refresh redirects. Written at each step, as a value is used many times over in the next."""
+    low = F.lower(F.coalesce("html", F.lit("")))
+    body = F.regexp_replace(F.coalesce("html", F.lit("")), NO_MARKUP, " ")
+    # the plain tests spare most pages the regular expressions; references may hide either word
+    wanted = low.contains("canonical") | low.contains("http-equiv") | low.contains("&#")
+    found = pages.filter(wanted).select(F.col("url").alias("from_url"), low.contains("<base").alias("any"), body.alias("body"))
+    bases = F.when(F.col("any"), F.regexp_extract_all("body", F.lit(BASE_TAG), 0))
+    tags = found.select("from_url", bases.alias("bases"), F.explode(F.concat(*[F.regexp_extract_all("body", F.lit(p), 0) for p in (LINK, META)])).alias("tag"))
+    tags = materialise(tags, "page-tags")
+    holds = lambda name, token: F.array_contains(F.split(F.lower(F.col(name)), r"\s+"), token)
+    base = F.try_element_at(F.filter(F.transform("bases", lambda t: attribute(t, "href")), lambda h: h != ""), F.lit(1))
+    values = materialise(tags.select("from_url", F.lower(F.left("tag", F.lit(5))).alias("kind"), base.alias("base"), *[attribute(F.col("tag"), n).alias(n.replace("-", "_")) for n in ("rel", "href", "http-equiv", "content")]), "page-links")
+    told = F.concat(*[F.regexp_extract("content", REFRESH, i) for i in (1, 2, 3)])
+    target = F.when((F.col("kind") == "<link") & holds("rel", "canonical"), F.col("href")).when((F.col("kind") == "<meta") & holds("http_equiv", "refresh"), told)
+    links = values.select("from_url", "base", target.alias("target")).filter("target IS NOT NULL")
+    based = materialise(links.filter("base IS NOT NULL").select("from_url", absolute(F.col("base"), F.col("from_url")).alias("against"), "target"), "based-links")
+    plain = links.filter("base IS NULL").select("from_url", F.col("from_url").alias("against"), "target")
+    against = plain.unionByName(based.withColumn("against", F.coalesce("against", "from_url")))
+    return materialise(against.select("from_url", absolute(F.col("target"), F.col("against")).alias("to_url")), "page-edges").filter("to_url IS NOT NULL")
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, spread: list[str], how: str) -> DataFrame:
+    """rows joined with facts, which are written and one row a key: broadcast when FEW, otherwise hot keys meet theirs in parts."""
+    if facts.count() <= FEW:
+        return rows.join(F.broadcast(facts), key, how)
+    sizes = materialise(facts.join(rows.groupBy(key).agg(F.count("*").alias("__n")), key), "meeting")
+    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    out = join_facts(rows.filter(F.col(key).isNotNull()), sizes, key, "__n", total, spread, how)
+    return out if how == "inner" else out.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, redirects: DataFrame | None = None) -> DataFrame:
@@ -146,67 +183,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, red
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     # the URLs of edges are judged too, pages or not
     ends = urls.select(F.explode(F.array("from_url", "to_url")).alias("url")).select(node_of(F.col("url")).alias("node"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules).alias("r")).distinct()
-    blocked = ends.filter("r.action = 'block'").join(member, "node").select("root").distinct()
-    tainted = materialise(member.join(blocked, "root", "left_semi").select(F.col("node").alias("tainted")), "tainted")
+    blocked = materialise(ends.filter("r.action = 'block'").join(member, "node").select("root").distinct(), "blocked-roots")
+    tainted = materialise(meet(member, blocked, "root", ["node"], "inner").select("node", F.lit(True).alias("tainted")).distinct(), "tainted")
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
-    judged = judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(tainted, F.col("node") == F.col("tainted"), "left")
-    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", F.when(F.col("tainted").isNotNull(), "block").otherwise("allow")).alias("verdict"))
-
-
-def markup_edges(pages: list[tuple]) -> list[tuple[str, str]]:
-    """(from, to) of (url, html) pages by an HTML parser and the standard library's resolution, for tests."""
-    found: list[tuple[str, str]] = []
-
-    class Tags(HTMLParser):
-        def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-            own = {}
-            for k, v in attrs:
-                own.setdefault(k, v or "")
-            if tag == "link" and "canonical" in own.get("rel", "").lower().split():
-                self.targets.append(own.get("href", ""))
-            if tag == "meta" and "refresh" in own.get("http-equiv", "").lower().split():
-                _, _, told = own.get("content", "").partition(";")
-                told = told.strip()
-                told = told[3:].lstrip()[1:].lstrip() if told.lower().startswith("url") else told
-                self.targets.append(told[1:].partition(told[0])[0] if told[:1] in ("'", '"') else told)
-
-    for url, html in pages:
-        parser = Tags()
-        parser.targets = []
-        parser.feed(html or "")
-        for t in (x.strip() for x in parser.targets):
-            to = urljoin(url or "", t)
-            if url and "://" in url and t and not t.startswith("#") and to.split(":")[0].lower() in ("http", "https"):
-                found.append((url, to))
-    return found
-
-
-def brute_force(pages: list[tuple], rules: list[tuple[str, str, str]], redirects: list[tuple[str, str]]) -> dict:
-    """page_id: verdict by plain loops over explicit redirects, for tests."""
-
-    def parts(url: str | None) -> tuple[str, str, str]:
-        rest = url.split("://", 1)[1] if url and "://" in url else ""
-        m = re.match(r"([^/?#]*)([^?#]*)([^#]*)", rest)
-        host = "".join(c.lower() if c in string.ascii_uppercase else c for c in m[1])
-        return host, m[2], host + (m[2] or "/") + m[3] if rest else ""
-
-    def rule(url: str | None) -> str | None:
-        host, path, _ = parts(url)
-        fit = [(len(h + p), a == "allow", a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        return max(fit)[2] if fit else None
-
-    near: dict[str, set[str]] = {}
-    acts: dict[str, set] = {}
-    for a, b in redirects:
-        for x, y in ((a, b), (b, a)):
-            near.setdefault(parts(x)[2], set()).add(parts(y)[2])
-            acts.setdefault(parts(x)[2], set()).add(rule(x))
-    out = {}
-    for page, url in pages:
-        seen, todo = set(), [parts(url)[2]]
-        while todo:
-            if (n := todo.pop()) not in seen:
-                seen.add(n)
-                todo += near.get(n, ())
-        out[page] = rule(url) or ("block" if any("block" in acts.get(n, ()) for n in seen if n) else "allow")
-    return out
+    judged = meet(judged.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)), tainted, "node", ["page_id"], "left")
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", F.when(F.col("tainted"), "block").otherwise("allow")).alias("verdict"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import page_links
 from lectern.llm import ann, toxicity, url_filter
 from lectern.llm.common import read_table
 
@@ -111,7 +112,7 @@ def test_url_filter(spark):
     edges = [("http://alias.fr/1", "http://b.com/en/2"), ("http://alias.fr/2", "http://alias.fr/1"), ("http://alias.fr/3", "http://example.com/en/7"), ("http://net/de/1", "http://c.com/en/3"), ("http://alias.fr/4?q#f", "http://alias.fr/2"), *redirects]
     df = spark.createDataFrame(rows + [(50, "http://old.fr/#x", "")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in url_filter.judge(df, redirects=spark.createDataFrame(redirects, "from_url string, to_url string")).collect()}
-    expected = url_filter.brute_force([(r[0], r[1]) for r in rows] + [(50, "http://old.fr/#x")], url_filter.RULES, edges)
+    expected = page_links.brute_force([(r[0], r[1]) for r in rows] + [(50, "http://old.fr/#x")], url_filter.RULES, edges)
     assert {k: r["verdict"] for k, r in got.items()} == expected
     assert [expected[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 50)] == ["block", "allow", "allow", "block", "block", "block", "allow", "allow", "block", "allow", "block"]
     assert (got[3]["host"], got[3]["path"], got[3]["rule"]) == ("a.example.net", "/de/8", "example.net/de/8")
@@ -132,12 +133,49 @@ def test_targets_are_resolved(spark):
         to = urljoin(b, t.strip().replace("&amp;", "&"))
         return urljoin(to, urlsplit(to)._replace(scheme="", netloc="").geturl()) if "//" in t.split("?")[0] else to
 
-    got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, b string, t string").select("i", url_filter.absolute(F.col("t"), F.col("b")).alias("x")).collect()}
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, b string, t string").withColumn("t", url_filter.unescaped(F.col("t"))).select("i", url_filter.absolute(F.col("t"), F.col("b")).alias("x")).collect()}
     assert got == {i: resolved(b, t) for i, b, t in rows}
     for b, t in (("http://a/", "mailto:x@y"), ("http://a/", "javascript:x('http://b')"), ("http://a/", "#top"), ("http://a/", ""), ("a/b", "c"), (None, "c")):
         assert spark.createDataFrame([(b, t)], "b string, t string").select(url_filter.absolute(F.col("t"), F.col("b")).alias("x")).first()["x"] is None
 
 
+@pytest.mark.parametrize("few", [url_filter.FEW, -1])
+def test_references_bases_and_what_holds_no_links(spark, monkeypatch, few):
+    """Links as browsers read them; with FEW below 0 all facts meet their rows in parts."""
+    import duckdb
+
+    from lectern.llm import queries
+
+    monkeypatch.setattr(url_filter, "FEW", few)
+    link = '<link rel="canonical" href="%s">'
+    bodies = [
+        "<link rel='canonical' href='http:&#x2F;&#x2F;b.com&#47;en/2'>",
+        "<base href='http://b.com/en/'>" + link % "2",
+        "<base target=_top><base href='//b.com/en/x'><base href='/other'>" + link % "2",
+        "<base href='mailto:x@y'>" + link % "/en/2",
+        "<!-- " + link % "http://b.com/en/2" + " -->",
+        "<script>" + link % "http://b.com/en/2" + "</script >" + "<STYLE>" + link % "http://b.com/en/2" + "</style>",
+        "<title>" + link % "http://b.com/en/2" + "</title>",
+        "<!-- a --> " + link % "http://b.com/en/2" + "<!-- b -->",
+        link % "http&colon;&sol;&sol;b&period;com/en/2&amp;&#233;&#x1F600;",
+        link % "http://b.com/en/&#0;&#xD800;&#99999999;&unknown;&amp;amp;",
+        "<meta http-equiv='refresh' content='0;url=&#39;http://b.com/en/2&#39;'>",
+        "<link rel='&#99;anonical' href='http://b.com/en/2'>",
+        "<p>&#1;</p>",
+        None,
+    ]
+    rows = [(i, f"http://alias{i}.fr/x", b) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame([*rows, (98, None, None), (99, "http://alias0.fr/x", "")], "page_id long, url string, html string")
+    edges = page_links.markup_edges([r[1:] for r in rows])
+    found = sorted(tuple(r) for r in url_filter.edges_of(df).collect())
+    assert found == sorted(edges)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 12, 13, 98, 99)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block", "block", "block", "allow", "allow", "allow", "block"]
+    con = duckdb.connect()
+    con.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    assert {r[0]: r[4] for r in con.execute(queries.OP5_SQL).fetchall()} == got
+
+
 def test_all_links_of_a_page_count(spark):
     import duckdb
 
@@ -155,12 +193,12 @@ def test_all_links_of_a_page_count(spark):
         rows.append((i, u, f"<html><head>{html}</head><p>canonical http-equiv</p></html>"))
     rows += [(None, urls[0], None), (900, None, rows[0][2]), (901, "no scheme", rows[1][2]), rows[3]]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    edges = url_filter.markup_edges([r[1:] for r in rows])
+    edges = page_links.markup_edges([r[1:] for r in rows])
     assert len(edges) > 40
     found = url_filter.edges_of(df).filter("from_url <> 'no scheme' AND from_url IS NOT NULL").collect()
     # schemes may differ in case
     assert sorted((a, b.split("://", 1)[1]) for a, b in found) == sorted((a, b.split("://", 1)[1]) for a, b in edges)
-    expected = url_filter.brute_force([(i, r[1]) for i, r in enumerate(rows)], url_filter.RULES, edges)
+    expected = page_links.brute_force([(i, r[1]) for i, r in enumerate(rows)], url_filter.RULES, edges)
     got = sorted(map(str, url_filter.judge(df).collect()))
     judged = sorted((str(r["page_id"]), r["verdict"]) for r in url_filter.judge(df).collect())
     assert judged == sorted((str(r[0]), expected[i]) for i, r in enumerate(rows))
