@@ -74,7 +74,8 @@ def node_of(url: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """text with its character references read; a number that is no character gives U+FFFD."""
-    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    # one literal that is folded to a map; a call with each pair would make the plan long
+    names = F.str_to_map(F.lit("\x02".join(f"{name}\x01{c}" for name, c in NAMES.items())), F.lit("\x02"), F.lit("\x01"))
 
     def read(piece: Column) -> Column:
         hexed, digits = (F.regexp_extract(piece, p, 1) for p in ("^&#[xX]0*([0-9a-fA-F]*)", "^&#0*([0-9]*)"))
