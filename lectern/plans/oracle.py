@@ -652,3 +652,71 @@ _FOLLOWED = """(
   WHERE doc_id % 9 <> 8 AND (doc_id % 5 <> 2 OR doc_id % 15 = 2 OR doc_id % 4 = 3))"""
 SQL["live_index_stats"] = SQL["bm25_stats"].replace("FROM documents)", f"FROM {_FOLLOWED})")
 SQL["live_index_topk"] = SQL["bm25_topk"].replace("FROM documents)", f"FROM {_FOLLOWED})").replace("SELECT query_id, rank, id, bm25_score FROM ranked WHERE", "SELECT query_id, rank, CAST(id AS VARCHAR) AS id, bm25_score FROM ranked WHERE").replace("bm25_score DESC, id DESC", "bm25_score DESC, CAST(id AS VARCHAR) DESC")
+
+SQL["figure_top_up"] = """
+WITH d AS (
+  SELECT doc_id, doc_id % 97 AS created, doc_id // 2 AS num, CASE WHEN doc_id % 13 = 0 THEN 'no number' WHEN doc_id % 17 = 3 THEN 'unreadable' WHEN doc_id % 10 = 0 THEN 'no figures' END AS reason FROM documents WHERE doc_id IS NOT NULL
+), f AS (
+  SELECT doc_id, created, num, i, i % 4 = 3 AS decorative FROM (SELECT *, unnest(range(least(8, doc_id % 10))) AS i FROM d WHERE reason IS NULL)
+), files AS (
+  SELECT doc_id // 2 AS num, i, 8 + octet_length(encode(coalesce(text, ''))) AS size FROM (SELECT *, unnest(range(8)) AS i FROM documents WHERE doc_id % 2 = 0) WHERE i % 5 <> 4 AND i <> 2
+), u AS (
+  SELECT f.*, size FROM f LEFT JOIN files USING (num, i) WHERE NOT decorative
+), one AS (
+  SELECT *, CASE WHEN size IS NULL THEN 'failed' WHEN row_number() OVER (PARTITION BY num, i ORDER BY created DESC, doc_id) = 1 THEN 'stored' ELSE 'existing' END AS reason FROM u WHERE doc_id % 3 = 0
+), two AS (
+  SELECT u.*, CASE WHEN EXISTS (SELECT 1 FROM one WHERE one.num = u.num AND one.i = u.i AND reason = 'stored') THEN 'existing' WHEN size IS NULL THEN 'failed'
+    WHEN row_number() OVER (PARTITION BY num, i ORDER BY created DESC, doc_id) = 1 THEN 'stored' ELSE 'existing' END AS reason FROM u
+), rows AS (
+  SELECT 'first' AS run, reason, doc_id FROM d WHERE reason IS NOT NULL AND doc_id % 3 = 0
+  UNION ALL SELECT 'second', reason, doc_id FROM d WHERE reason IS NOT NULL
+  UNION ALL SELECT 'first', 'decorative', doc_id FROM f WHERE decorative AND doc_id % 3 = 0
+  UNION ALL SELECT 'second', 'decorative', doc_id FROM f WHERE decorative
+  UNION ALL SELECT 'first', reason, doc_id FROM one
+  UNION ALL SELECT 'second', reason, doc_id FROM two
+)
+SELECT run, reason, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM rows GROUP BY run, reason
+UNION ALL SELECT 'held', 'image/png', CAST(sum(size) AS BIGINT), CAST(sum(doc_id) AS BIGINT) FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE reason = 'stored' HAVING count(*) > 0
+"""
+
+_LEVELS = """
+levels AS (
+  SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 16 ELSE 8 END AS r, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: least(floor(abs(x::DOUBLE) * 600), 255)::INT)) AS v FROM embeddings WHERE len(embedding) = 64
+)"""
+SQL["resized_images"] = f"""
+WITH {_LEVELS}, placed AS (
+  SELECT vec_id, v, r // f AS rows, (64 // r) // f AS columns, ((i // (64 // r)) // f) * ((64 // r) // f) + (i % (64 // r)) // f AS place FROM (SELECT *, greatest(r, 64 // r) // 4 AS f FROM levels)
+), means AS (
+  SELECT vec_id, rows, columns, place, floor(avg(v) + 0.5)::INT AS v FROM placed GROUP BY ALL
+)
+SELECT vec_id, rows::INT AS rows, columns::INT AS columns, string_agg(format('{{:02X}}', v), '' ORDER BY place) AS levels FROM means GROUP BY vec_id, rows, columns
+"""
+SQL["image_contrast"] = f"""
+WITH {_LEVELS}, ends AS (
+  SELECT vec_id, list_sort(list(v))[4] AS low, list_reverse_sort(list(v))[4] AS high FROM levels GROUP BY vec_id
+)
+SELECT vec_id, string_agg(format('{{:02X}}', CASE WHEN high <= low THEN v ELSE least(greatest(floor(((v - low) * 255)::DOUBLE / (high - low)), 0), 255)::INT END), '' ORDER BY i) AS levels
+FROM levels JOIN ends USING (vec_id) GROUP BY vec_id
+"""
+
+SQL["foldered_points"] = """
+WITH rows AS (
+  SELECT doc_id, coalesce(source, 'none') AS source, CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END AS text, strftime(DATE '2025-01-01' + CAST((doc_id + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) % 5 AS INT), '%Y-%m-%d') AS day FROM documents
+)
+SELECT source, day, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(doc_id) AS BIGINT) AS ids, true AS held FROM rows WHERE doc_id % 11 <> 0 AND source <> 'src1' GROUP BY source, day
+"""
+SQL["stored_paths"] = """
+WITH p AS (
+  SELECT page_id, strftime(DATE '2025-01-30' + CAST(page_id % 9 AS INT), '%Y/%m/%d/') || page_id AS stem, page_id % 2 = 0 AS png FROM pages
+)
+SELECT page_id, CASE WHEN page_id % 4 = 1 OR page_id % 3 = 1 THEN 'refused' ELSE 'a/b/' || page_id END AS inner, stem || CASE WHEN png THEN '.png' ELSE '.jpeg' END AS path, stem || '.thumb.jpg' AS thumbnail FROM p
+"""
+
+_SUMMED = SQL["eval_summary"].split("SELECT count(*) AS n_questions")[1]
+SQL["eval_stored_runs"] = f"""
+WITH {_EVAL}, later AS (SELECT * REPLACE (latency_ms > 100 AS should_answer, latency_ms * 2 AS latency_ms, NULL::VARCHAR AS error) FROM ev),
+a AS (SELECT count(*) AS n_questions{_SUMMED}), b AS (SELECT count(*) AS n_questions{_SUMMED.replace("FROM ev", "FROM later")}),
+ua AS (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM a) ON COLUMNS(*) INTO NAME metric VALUE v), ub AS (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM b) ON COLUMNS(*) INTO NAME metric VALUE v),
+m AS (SELECT metric, ua.v AS before, ub.v AS now FROM ua JOIN ub USING (metric))
+SELECT metric, before, now, round(now - before, 3) AS delta, CASE WHEN contains(metric, 'latency') THEN round(now - before, 3) < 0 ELSE round(now - before, 3) > 0 END AS better FROM m WHERE round(now - before, 3) <> 0
+"""

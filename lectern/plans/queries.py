@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, compare, evaluate, imaging, lexical, limits, machines, metadata, prompt, quality, rerank, retrieval, segments, vector
+from lectern.operators import chunking, compare, evaluate, imaging, layout, lexical, limits, machines, metadata, prompt, quality, rerank, resample, retrieval, segments, vector
 from lectern.plans import ingest, search
 from lectern.session import table
 from lectern.storage import materialise, new_path
-from lectern.sources import dicom, markup, pubmed
+from lectern.sources import dicom, evaluations, figures, markup, pubmed
 from lectern.streaming import connector, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -811,3 +811,92 @@ def live_index_stats(spark: SparkSession, d: str) -> DataFrame:
 def live_index_topk(spark: SparkSession, d: str) -> DataFrame:
     """An index after five changes finds what one that is built anew does."""
     return lexical.search(_followed(spark, d).index(), table(spark, d, "benchmark"))
+
+
+# ---- figures, sizes of images, folders, stored runs ----
+
+ARCHIVE = "https://host/articles"
+
+
+def _png(content: Column) -> Column:
+    """Bytes that open like an image; nothing reads further."""
+    return F.concat(F.unhex(F.lit("89504E470D0A1A0A")), content)
+
+
+@query
+def figure_top_up(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as articles with up to nine figures, two documents with one number: a third of them is taken first, then all; what became of the candidates, and the bytes stored by type."""
+    key = F.col("doc_id")
+    n = F.floor(key / 2).cast("string")
+    each = F.transform(F.sequence(F.lit(0), (key % 10).cast("int")), lambda i: F.when(i < key % 10, F.concat(F.lit("<fig id='f'><label>Fig "), i.cast("string"), F.lit("</label><caption><p>"), F.coalesce("lang", F.lit("")), F.lit("</p></caption><graphic href='"), F.when(i % 4 == 3, "logo").otherwise("gr"), i.cast("string"), F.lit(".png'/></fig>"))).otherwise(""))
+    xml = F.concat(F.lit("<article><front><article-meta><permissions><license license-type='open-access'/></permissions></article-meta></front><body><p>"), _xml(F.col("text")), F.lit("</p>"), F.array_join(each, ""), F.when(key % 17 == 3, "").otherwise("</body></article>"))
+    rows = docs(spark, d).filter("doc_id IS NOT NULL")
+    articles = rows.select(
+        key.alias("document_id"), F.date_add(F.lit("2025-01-01"), (key % 97).cast("int")).alias("created_at"),
+        F.when(key % 13 > 0, F.concat(F.lit(ARCHIVE + "/PMC"), n, F.lit("/"))).alias("source_url"), F.lit("notes.txt").alias("filename"), xml.alias("markup"),
+    )
+    # the files of a number come from its even document: the third is no image, the fifth isn't there
+    place = rows.filter("doc_id % 2 = 0").select(n.alias("n"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).filter("i % 5 <> 4")
+    files = place.select(F.concat(F.lit(ARCHIVE + "/PMC"), "n", F.lit("/bin/gr"), F.col("i").cast("string"), F.lit(".png")).alias("url"), F.when(F.col("i") == 2, F.col("bytes")).otherwise(_png(F.col("bytes"))).alias("content"))
+    store, day = new_path(spark, "figures"), F.make_date(F.lit(2025), F.lit(6), F.lit(1))
+    first, _ = figures.top_up(articles.filter("document_id % 3 = 0"), files, store, ARCHIVE, day)
+    second, _ = figures.top_up(articles, files, store, ARCHIVE, day)
+    told = [x.groupBy("reason").agg(F.count("*").alias("n"), F.sum("document_id").alias("ids"), F.lit(run).alias("run")) for run, x in (("first", first), ("second", second))]
+    held = figures.stored(spark, store).groupBy(F.col("mime_type").alias("reason")).agg(F.sum("file_size").alias("n"), F.sum("document_id").alias("ids"), F.lit("held").alias("run"))
+    return told[0].unionByName(told[1]).unionByName(held)
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as images of three shapes."""
+    rows = table(spark, d, "embeddings").filter("vec_id IS NOT NULL AND size(embedding) = 64")
+    shape = F.element_at(F.array(F.lit(4), F.lit(16), F.lit(8)), (F.col("vec_id") % 3 + 1).cast("int"))
+    levels = F.transform("embedding", lambda x: F.least(F.floor(F.abs(x.cast("double")) * 600), F.lit(255)).cast("double"))
+    return rows.select("vec_id", levels.alias("levels"), shape.alias("rows"), (64 / shape).cast("int").alias("columns"))
+
+
+@query
+def resized_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images with their longest edge cut to four: each level the mean over its area."""
+    made = resample.fit(F.col("levels"), F.col("rows"), F.col("columns"), 4)
+    return _levels(spark, d).select("vec_id", made.alias("made")).select("vec_id", "made.rows", "made.columns", F.hex("made.levels").alias("levels"))
+
+
+@query
+def image_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Levels stretched after five percent at each end."""
+    made = resample.contrast(F.col("levels"), F.col("rows"), F.col("columns"), 5)
+    return _levels(spark, d).select("vec_id", F.hex(made["levels"]).alias("levels"))
+
+
+@query
+def foldered_points(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in folders by source and day; some are replaced in other folders, some deleted, one source whole."""
+    key = F.col("doc_id")
+    day = lambda n: F.date_add(F.lit("2025-01-01"), (n % 5).cast("int"))
+    rows = docs(spark, d).filter("doc_id IS NOT NULL").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("source"), day(key).alias("day"))
+    kept = layout.Table(spark, new_path(spark, "foldered"), "doc_id long, text string, source string, day date", ("source", "day"), "doc_id")
+    kept.upsert(rows)
+    kept.upsert(rows.filter("doc_id % 7 = 0").withColumns({"text": F.concat(F.lit("new "), "text"), "day": day(key + 1)}))
+    kept.delete(rows.filter("doc_id % 11 = 0 OR source = 'src1'").select("doc_id"))
+    found = kept.rows().groupBy("source", "day").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum("doc_id").alias("ids"))
+    sizes = kept.stats().select("source", F.col("day").cast("date").alias("day"), (F.col("bytes") > 0).alias("held"))
+    return found.join(sizes, ["source", "day"], "full").select("source", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "chars", "ids", "held")
+
+
+@query
+def stored_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Urls as paths below a root: which stay inside, and the names of images and thumbnails."""
+    rows = table(spark, d, "pages")
+    inner = F.concat_ws("/", F.when(F.col("page_id") % 4 == 1, "..").otherwise("a"), F.when(F.col("page_id") % 3 == 1, "../.."), F.lit("./b"), F.col("page_id").cast("string"))
+    path = layout.relative_path(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".PNG").otherwise("jpeg"), F.date_add(F.lit("2025-01-30"), (F.col("page_id") % 9).cast("int")))
+    return rows.select("page_id", F.coalesce(layout.normal(inner), F.lit("refused")).alias("inner"), path.alias("path"), layout.thumbnail_path(path).alias("thumbnail"))
+
+
+@query
+def eval_stored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs are stored and compared: in the second, questions of over a hundred characters count, times double and errors are gone."""
+    run, store = materialise(_run(spark, d), "run"), new_path(spark, "runs")
+    evaluations.save(run, store, "before")
+    answerable, slow, clean = F.col("latency_ms") > 100, F.col("latency_ms") * 2, F.lit(None).cast("string")
+    evaluations.save(run.withColumns({"should_answer": answerable, "latency_ms": slow, "error": clean}), store, "now")
+    return evaluations.compared(spark, store, "before", "now")

@@ -33,13 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that no later step reads."""
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, path)
     except Exception:  # the JVM may be gone at exit
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file; one that isn't there is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
