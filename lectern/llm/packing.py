@@ -141,14 +141,14 @@ def pieces(phases: list[Phase], ends: list[int], queue: int, start: int, n: int,
     return out
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, remember: int | None = None) -> DataFrame:
     """part, key, run (tokens of the same source before, in this partition), doc_id, source, n, ids of 16 bits."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     end = np.asarray([end_id], "<u2").tobytes()
 
     def run(batches):  # noqa: ANN001, ANN202
         part, ran = TaskContext.get().partitionId(), {}
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, remember)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -174,9 +174,12 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, "part long, key string, run long, doc_id long, source string, n long, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, targets: dict[str | None, float] | None = None) -> DataFrame:
-    """One row for each piece of a document: PIECES. targets: the wanted share of tokens by source, by default as they are."""
-    table = materialise(encoded(docs, vocabulary or default_vocabulary(), end_id), "encoded")
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, targets: dict[str | None, float] | None = None, remember: int | None = None) -> DataFrame:
+    """One row for each piece of a document: PIECES. targets: the wanted share of tokens by source, by default as they are.
+
+    remember: words whose ids a worker keeps, by default tokens.CACHE_ENTRIES; fewer need less memory and more time, for the same rows.
+    """
+    table = materialise(encoded(docs, vocabulary or default_vocabulary(), end_id, remember), "encoded")
     runs = materialise(table.groupBy("part", "key").agg(F.sum("n").alias("tokens"), F.first("source").alias("source")), "runs")
     totals = materialise(runs.groupBy("key").agg(F.sum("tokens").alias("tokens")), "queues")
     total = totals.agg(F.sum("tokens")).first()[0] or 0

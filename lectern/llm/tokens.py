@@ -42,8 +42,9 @@ def default_vocabulary() -> str:
 class Remembered:
     """Ids of pieces by encode, of late ones from memory: a full generation becomes the old one, what is used again moves to the new."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int | None = None):
         self.encode = encode
+        self.most = CACHE_ENTRIES if most is None else most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -62,15 +63,15 @@ class Remembered:
                 out[w] = ids
                 if len(w) <= CACHE_PIECE:
                     new[w] = ids
-        if len(new) > CACHE_ENTRIES // 2:
+        if len(new) > self.most // 2:
             self.new, self.old = {}, new
         return out
 
 
 class PieceEncoder:
-    """Ids of whole texts, by the tokenizers library, as little-endian unsigned 16-bit integers."""
+    """Ids of whole texts, by the tokenizers library, as little-endian unsigned 16-bit integers. remember: pieces of each kind that are remembered; ids don't depend on it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +85,7 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token)
         # ids of pieces as they are, and of pieces after a blank
-        self.plain, self.after = Remembered(self._apart), Remembered(self._joined)
+        self.plain, self.after = Remembered(self._apart, remember), Remembered(self._joined, remember)
 
     def _apart(self, words: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -123,11 +124,11 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, remember: int | None = None) -> PieceEncoder:
+    """One encoder for each vocabulary, size of memory and Python worker."""
+    if (path, remember) not in _encoders:
+        _encoders[path, remember] = PieceEncoder(path, remember)
+    return _encoders[path, remember]

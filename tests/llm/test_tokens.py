@@ -286,3 +286,13 @@ def test_chat_tree(spark):
 
 def test_chat_tree_of_nothing(spark):
     assert chat_tree.read_back(*chat_tree.tree(spark.createDataFrame([], CHAT))).count() == 0
+
+
+def test_ids_do_not_depend_on_how_much_is_remembered(library):
+    own = texts(3)
+    expected = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in own]
+    for remember in (0, 7, None):
+        e = tokens.encoder(tokens.default_vocabulary(), remember)
+        for _ in range(2):
+            assert e.encode(own) == expected
+        assert remember is None or len(e.after.new) <= remember // 2
