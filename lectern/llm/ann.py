@@ -1,14 +1,18 @@
-"""Approximate nearest neighbours: inverted lists of coarse centroids, product-quantised residuals, exact reranking.
+"""Nearest neighbours: inverted lists of coarse centroids, product-quantised residuals, exact reranking, and bounds that tell what was missed.
 
 Centroids and codebooks are fitted on a bounded sample (SAMPLE vectors of the least hash of vec_id); every
-vector is indexed. A query visits the lists whose centroids have the largest inner product with it, looks its
+vector is indexed. A query first visits the lists whose centroids have the largest inner product with it, looks its
 distances up in one asymmetric table for each query (inner products with all codewords), and reranks
-the best codes of each list by the exact inner product in double precision. How many lists are visited is learned
-from the sample: the fewest whose lists hold the share RECALL of its own neighbours. A query whose lists
-hold fewer than k candidates visits all lists.
+the best codes of each list by the exact inner product in double precision. How many lists it visits first is learned
+from the sample: the fewest whose lists hold the share RECALL of its own neighbours.
 
-Lists are cut into blocks of at most about BLOCK vectors by a hash, so a list that holds a third of all
-vectors is searched by many tasks; a block answers each query with its own best k.
+What it found k-th is the least score that an answer can have. So it then visits every list whose centroid and radius
+allow that score (q.x <= q.c + |q| |x - c|), and in these reranks every vector whose codes and quantisation
+error allow it (q.x <= q.c + q.y + |q| |x - c - y| with the codewords y). No nearer vector is left out, whatever the
+vectors, the queries and the sample are like; the sample and RECALL decide on the work alone.
+
+Lists are gathered in blocks, and large ones cut, of at most about BLOCK vectors by a hash, so a list that holds a third of all
+vectors is searched by many tasks; a query is sent once to each block that holds a list it visits, and a block answers with its own best k.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, as
 rows with a null vec_id. Repeated rows are candidates as often as they occur; of different vectors under one vec_id the least, in
@@ -31,12 +35,16 @@ from lectern.llm.common import arrow_map, materialise
 K, EVERY = 20, 20
 SAMPLE, ROUNDS = 20_000, 8
 LISTS, PARTS, CODES = 512, 16, 256
-#: Share of the sample's neighbours that the visited lists hold, lists that are visited at least, and vectors of the sample that ask.
-RECALL, PROBE_LEAST, TEACHERS = 0.955, 8, 512
-#: Best codes of a block that are reranked, for each of the k wanted.
+#: Share of the sample's neighbours that the lists visited first hold, lists that are visited at least, and vectors of the sample that ask.
+RECALL, PROBE_LEAST, TEACHERS = 0.5, 8, 512
+#: Best codes of a list that are reranked at first, for each of the k wanted.
 RERANK = 4
-#: Stored vectors and queries that meet in one task, about.
-BLOCK, ASKERS = 32_768, 32_768
+#: Stored vectors and queries that meet in one task at most, about; vectors of a block at least, and blocks of a table that isn't large.
+BLOCK, ASKERS, BLOCK_LEAST, BLOCKS = 32_768, 32_768, 1024, 24
+#: Queries whose tables are held at once, scores and vectors that are held at once, about.
+TABLES, SCORES, VECTORS = 512, 1 << 20, 1 << 22
+#: Bounds are widened by this share of the lengths that enter them: far more than sums in double precision are off.
+ROUNDING = 1e-9
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -77,10 +85,29 @@ class Index:
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all codewords: queries x parts x codes."""
-        return np.einsum("qmd,mcd->qmc", self._parts(q), self.codebooks, optimize=True).astype(np.float32)
+        return np.einsum("qmd,mcd->qmc", self._parts(q), self.codebooks, optimize=True)
+
+    def errors(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far each vector lies from its centroid, and from what its codes stand for."""
+        left = x - self.centroids[own]
+        coded = np.stack([self.codebooks[m][codes[:, m]] for m in range(len(self.codebooks))], 1).reshape(len(x), -1)[:, : x.shape[1]]
+        widened = ROUNDING * (lengths(x) + lengths(self.centroids)[own] + lengths(coded))
+        return lengths(left) + widened, lengths(left - coded) + widened
+
+    def visits(self, q: np.ndarray, least: np.ndarray | None, radius: np.ndarray) -> np.ndarray:
+        """Whether each query visits each list: all that allow the score `least`, or without scores the best by their centroids."""
+        at = q @ self.centroids.T
+        if least is None:
+            found = np.zeros(at.shape, bool)
+            np.put_along_axis(found, np.argsort(-at, axis=1, kind="stable")[:, : self.probes], True, axis=1)
+        else:
+            # negated, so that what isn't a number excludes nothing
+            found = ~(at + lengths(q)[:, None] * radius < least[:, None])
+        return found & (radius >= 0)
 
-    def visit(self, q: np.ndarray, probes: int | None = None) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : probes or self.probes]
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(-1))
 
 
 def probes_for(sample: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
@@ -125,7 +152,7 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`."""
+    """query_id, rank, vec_id, score: the k nearest of every row whose vec_id is divisible by `every`."""
     spark = table.sparkSession
     rows = materialise(valid(table), "vectors")
     n = rows.count()
@@ -139,19 +166,41 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(batch.column(1))
         own, codes = shared.value.assign(x)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["vec_id", "list", "codes", "v"])
+        far, off = shared.value.errors(x, own, codes)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far), pa.array(off), batch.column(1)], names=["vec_id", "list", "codes", "far", "off", "v"])
 
-    stored = materialise(arrow_map(rows, place, "vec_id long, list int, codes binary, v array<double>"), "ivf")
+    stored = materialise(arrow_map(rows, place, "vec_id long, list int, codes binary, far double, off double, v array<double>"), "ivf")
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     queries = materialise(queries, "queries")
-    found = materialise(_best(_answers(stored, queries, shared, index.probes, k), k), "answers")
-    if index.probes < len(index.centroids):
-        # too few candidates in the visited lists: these queries ask all lists instead
-        told = found.groupBy("query_id").agg(F.count("*").alias("n"))
-        short = materialise(queries.join(told, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id", "v"), "short")
-        if not short.isEmpty():
-            found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(_best(_answers(stored, short, shared, len(index.centroids), k), k))
-    return found
+    layout = Layout.of(stored, len(index.centroids), min(BLOCK, max(BLOCK_LEAST, n // BLOCKS)))
+    first = _best(_answers(stored, queries, shared, layout, k, True), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    # where the lists visited first hold fewer than k, any score may be among the best
+    asked = queries.join(first, "query_id", "left").select("query_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    return _best(_answers(stored, materialise(asked, "asked"), shared, layout, k, False), k)
+
+
+@dataclass
+class Layout:
+    """Blocks of stored vectors: the first block of each list, how many it is dealt over, and its radius (negative: it is empty)."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    radius: np.ndarray
+
+    @staticmethod
+    def of(stored: DataFrame, lists: int, most: int) -> Layout:
+        n, radius = np.zeros(lists, np.int64), np.full(lists, -1.0)
+        for r in stored.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # LISTS rows at most
+            n[r["list"]], radius[r["list"]] = r["n"], r["far"]
+        first, parts, block, held = np.zeros(lists, np.int64), np.ones(lists, np.int64), 0, 0
+        for i in range(lists):
+            if held and held + n[i] > most:
+                block, held = block + 1, 0
+            first[i], parts[i] = block, max(1, -(-n[i] // most))
+            held += n[i]
+            if parts[i] > 1:
+                block, held = block + parts[i], 0
+        return Layout(first, parts, radius)
 
 
 def _best(answers: DataFrame, k: int) -> DataFrame:
@@ -160,50 +209,87 @@ def _best(answers: DataFrame, k: int) -> DataFrame:
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _answers(stored: DataFrame, queries: DataFrame, shared, probes: int, k: int) -> DataFrame:  # noqa: ANN001
-    """query_id, vec_id, score: the best k of each block of the visited lists."""
+def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k of each query."""
+    order = np.lexsort((ids, -score, query))
+    begin = np.flatnonzero(np.diff(query[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(begin, np.diff(begin, append=len(order))) < k]
 
-    def route(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists_of = shared.value.visit(_matrix(batch.column(1)), probes)
-        i = np.repeat(np.arange(batch.num_rows), lists_of.shape[1])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(lists_of.reshape(-1).astype(np.int32)), batch.column(1).take(pa.array(i))], names=["query_id", "list", "q"])
 
+def _allowed(near: np.ndarray, slack: np.ndarray, least: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, vector) to be reranked: all that allow the score `least`, or without scores the best by their codes."""
+    if least is not None:
+        return np.nonzero(~(near + slack < least[:, None]))
+    most = min(near.shape[1], RERANK * k + 1)
+    best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    return np.repeat(np.arange(len(near)), most), best.reshape(-1)
+
+
+def _answers(stored: DataFrame, queries: DataFrame, shared, layout: Layout, k: int, first: bool) -> DataFrame:  # noqa: ANN001
+    """query_id, vec_id, score: the best k of each block, first of the best lists and codes, then of all that allow the score `least`."""
+
+    def route(batch: pa.RecordBatch) -> pa.RecordBatch:
+        visits = shared.value.visits(_matrix(batch.column(1)), None if first else np.asarray(batch.column(2)), layout.radius)
+        i, own = np.nonzero(visits)
+        # a query is sent once to lists that share a block
+        i, block = np.unique(np.stack([i, layout.first[own]]), axis=1)
+        parts = np.ones(layout.first.max() + 1, np.int64)
+        parts[layout.first] = layout.parts
+        query, q, least = (c.take(pa.array(i)) for c in batch.columns)
+        return pa.RecordBatch.from_arrays([query, pa.array(block), pa.array(parts[block]), q, least], names=["query_id", "block", "parts", "q", "least"])
+
+    spark = stored.sparkSession
     # LISTS rows at most
-    blocks = stored.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    asked = arrow_map(queries, route, "query_id long, list int, q array<double>")
+    blocks = spark.createDataFrame([(i, int(b), int(n)) for i, (b, n) in enumerate(zip(layout.first, layout.parts, strict=True))], "list int, first long, parts long")
     turns = max(1, -(-queries.count() // ASKERS))
-    asker = F.pmod(F.xxhash64("query_id"), F.lit(turns))
-    asked = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), asker.alias("askers"), "query_id", "q")
-    dealt = stored.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("askers"), "vec_id", "codes", "v")
+    zero = F.lit(0).cast("long")
+    least = F.lit(0.0).alias("least") if first else "least"
+    asked = arrow_map(queries.select("query_id", "v", least), route, "query_id long, block long, parts long, q array<double>, least double")
+    asked = asked.select(F.explode(F.sequence("block", F.col("block") + F.col("parts") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(turns)).alias("askers"), "query_id", "q", "least")
+    dealt = stored.join(F.broadcast(blocks), "list").select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"), F.explode(F.sequence(zero, F.lit(turns - 1).cast("long"))).alias("askers"), "vec_id", "list", "codes", "off", "v"
+    )
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        left = left.sort_values("vec_id", kind="stable")
-        ids, x = left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy())
+        index, left = shared.value, left.sort_values("list", kind="stable")
+        ids, own, off, x = left["vec_id"].to_numpy(), left["list"].to_numpy(), left["off"].to_numpy(), np.stack(left["v"].to_numpy())
         codes = np.frombuffer(b"".join(left["codes"]), np.uint8).reshape(len(left), -1)
-        found = []
-        # scores of 128 queries at a time
-        for i in range(0, len(right), 128):
-            part = right.iloc[i : i + 128]
-            q = np.stack(part["q"].to_numpy())
-            tables = shared.value.tables(q)
-            near = np.zeros((len(q), len(ids)), np.float32)
-            for m in range(codes.shape[1]):
-                near += tables[:, m][:, codes[:, m]]
-            most = min(len(ids), RERANK * k + 1)
-            for j, query in enumerate(part["query_id"].to_numpy()):
-                if most < len(ids):
-                    least = np.partition(near[j], len(ids) - most)[len(ids) - most]
-                    over, tied = np.flatnonzero(near[j] > least), np.flatnonzero(near[j] == least)
-                    best = np.concatenate([over, tied[: most - len(over)]])
-                else:
-                    best = np.arange(len(ids))
-                best = best[ids[best] != query]
-                s = exact(q[j], x[best])
-                top = np.lexsort((ids[best], -s))[:k]
-                found.append((np.full(len(top), query), ids[best[top]], s[top]))
-        return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    key = ["list", "block", "askers"]
+        cuts = [*np.flatnonzero(np.diff(own, prepend=-1)).tolist(), len(own)]
+        out = []
+        for i in range(0, len(right), TABLES):
+            part = right.iloc[i : i + TABLES]
+            names, q = part["query_id"].to_numpy(), np.stack(part["q"].to_numpy())
+            least = None if first else part["least"].to_numpy()
+            at, tables, length, visits = q @ index.centroids.T, index.tables(q), lengths(q), index.visits(q, least, layout.radius)
+            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for a, b in zip(cuts, cuts[1:]):
+                visitors = np.flatnonzero(visits[:, own[a]])
+                step = max(1, SCORES // (b - a))
+                for j in range(0, len(visitors), step):
+                    who = visitors[j : j + step]
+                    near = np.repeat(at[who, own[a]][:, None], b - a, axis=1)
+                    for m in range(codes.shape[1]):
+                        near += tables[who, m][:, codes[a:b, m]]
+                    asks, found = _allowed(near, length[who][:, None] * off[a:b], None if first else least[who], k)
+                    rows = max(1, VECTORS // x.shape[1])
+                    for c in range(0, len(asks), rows):
+                        u, v = who[asks[c : c + rows]], a + found[c : c + rows]
+                        s = exact(q[u], x[v])
+                        good = ids[v] != names[u]
+                        if not first:
+                            good &= ~(s < least[u])
+                        kept.append((u[good], ids[v[good]], s[good]))
+                        if sum(len(t[0]) for t in kept) > SCORES:
+                            u, v, s = (np.concatenate(t) for t in zip(*kept))
+                            best = _top(u, v, s, k)
+                            kept = [(u[best], v[best], s[best])]
+            if kept:
+                u, v, s = (np.concatenate(t) for t in zip(*kept))
+                best = _top(u, v, s, k)
+                out.append(pd.DataFrame({"query_id": names[u[best]], "vec_id": v[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    key = ["block", "askers"]
     return dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, score double")

@@ -246,6 +246,36 @@ def test_nearest_neighbours(spark, monkeypatch):
         assert all(abs(s - np.dot(exact[q], exact[i])) < 1e-12 for i, s in found)
 
 
+def other_vectors(kind, n, rng, d=16):
+    x = rng.normal(size=(n, d))
+    if kind == "queries unlike the rest":
+        x = rng.normal(size=(100, d))[rng.integers(100, size=n)] + 0.1 * x
+        x[::20] = 3 * rng.normal(size=(len(x[::20]), d))
+    elif kind == "clusters of very many among wide ones":
+        few = rng.normal(size=(3, d))[rng.integers(3, size=n)] + 1e-4 * x
+        x = np.where(rng.random((n, 1)) < 0.5, few, x)
+    elif kind == "lengths of any size":
+        x *= rng.pareto(1.5, size=(n, 1)) + 0.1
+    elif kind == "small clusters":
+        x = 5 * rng.normal(size=(n // 25, d))[rng.integers(n // 25, size=n)] + 0.05 * x
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("kind", ["queries unlike the rest", "clusters of very many among wide ones", "lengths of any size", "small clusters"])
+def test_nearest_neighbours_of_other_rows(spark, monkeypatch, kind):
+    """Every one of the nearest is found, whatever the rows are like; also with lists cut into blocks and few rows at a time."""
+    for name, value in (("BLOCK", 300), ("ASKERS", 60), ("TABLES", 16), ("SCORES", 500), ("VECTORS", 1000)):
+        monkeypatch.setattr(ann, name, value)
+    rows = other_vectors(kind, 3000, np.random.default_rng(3))
+    got = {}
+    for r in sorted(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    expected = brute(rows)
+    assert got.keys() == expected.keys()
+    assert all([i for i, _ in got[q]] == [i for i, _ in found] for q, found in expected.items())
+    assert all(s == t for q, found in expected.items() for (_, s), (_, t) in zip(got[q], found, strict=True))
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(df).collect()] == [(0, 1, 1, 0.0)]
