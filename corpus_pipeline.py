@@ -31,8 +31,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their runs of five words the one with the least doc_id; texts without words are one group."""
-    return simhash.keep_first(docs, words=5, similarity=0.8)
+    """Of each group of documents that share 0.8 of their runs of five words the one with the least doc_id; texts without words are one group.
+
+    SimHash links within four bits, found by vantage-point trees, are checked on whole sets; similar documents further apart meet by an exact join.
+    """
+    return simhash.keep_first(docs, words=5, distance=4, similarity=0.8)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

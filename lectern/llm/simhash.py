@@ -11,8 +11,9 @@ Shards and askers are dealt out in blocks of bounded size, so no group, however
 Within a block further vantage points cut the work by the same bound, and only as many links leave as
 join what is linked there.
 
-`keep_first` can join classes by the Jaccard similarity of whole sets of shingles instead: an exact join by
-the least hashes of each set, in which pairs verify before they link.
+`keep_first` can check links by the Jaccard similarity of whole sets of shingles: texts that the tree's links join are
+candidates, and so are, as similar texts may have fingerprints further apart, those that share one of the least hashes of
+their sets, which all similar pairs do. Pairs of candidates verify on whole sets before they link.
 
 Nulls: a null text has no words, fingerprint zero, and links like any other; a null doc_id keeps its row
 and may join others, but is never a component_id unless no other id is reachable (then null). Repeated
@@ -43,8 +44,8 @@ TREE_SAMPLE, SHARD, DEPTH = 8192, 8192, 9
 BLOCK_POINTS, BLOCK_ASKERS = 16_384, 65_536
 #: Sets of one part of a group; two parts are compared in one task.
 BLOCK_SETS = 2048
-#: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1 << 21
+#: Ids that are broadcast at most (8 bytes each), and after other stages; more are joined by shuffle.
+BROADCAST_IDS, STAGE_IDS = 1 << 21, 1 << 18
 #: Counts that bound the difference of two sets at least, and elements in a count of large sets about: unlike sets of any size differ enough to be told.
 COUNTS, FILL = 128, 16
 #: Characters of texts that are hashed at once, about.
@@ -143,27 +144,39 @@ def fingerprints_of(texts: list[str], words: int = WORDS) -> np.ndarray:
     which, buffer, shingles, owner, start, end = _shingles(texts, words)
     if not len(which):
         return out
-    votes = np.zeros((len(which), 64), np.int64)
+    out[which] = _voted(lambda part: xxh64(buffer, start[part], end[part]), owner, shingles)
+    return out
+
+
+def _voted(hashes: Callable[[slice], np.ndarray], owner: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts, given the hashes of a range of shingles, the text of each shingle and the number of each text's shingles."""
+    votes = np.zeros((len(shingles), 64), np.int64)
     step = 1 << 17
     for i in range(0, len(owner), step):
-        h = xxh64(buffer, start[i : i + step], end[i : i + step])
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes(slice(i, i + step)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[i : i + step]
         cuts = np.flatnonzero(np.diff(own, prepend=-1))
         votes[own[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
     ones = (2 * votes > shingles[:, None]).astype(np.uint8)
-    out[which] = np.packbits(ones, axis=1, bitorder="little").view("<u8").reshape(-1)
-    return out
+    return np.packbits(ones, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def sets_of(texts: list[str], words: int) -> list[np.ndarray]:
     """The XXH64 of each text's shingles, each once, in ascending order of the signed value."""
-    out = [np.zeros(0, np.int64)] * len(texts)
-    which, buffer, shingles, _, start, end = _shingles(texts, words)
+    return sets_and_prints(texts, words, False)[0]
+
+
+def sets_and_prints(texts: list[str], words: int, prints_too: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """As sets_of, and the texts' fingerprints."""
+    out, prints = [np.zeros(0, np.int64)] * len(texts), np.zeros(len(texts), np.uint64)
+    which, buffer, shingles, owner, start, end = _shingles(texts, words)
     if len(which):
-        for i, own in zip(which, np.split(xxh64(buffer, start, end).view(np.int64), np.cumsum(shingles)[:-1]), strict=True):
+        h = xxh64(buffer, start, end)
+        if prints_too:
+            prints[which] = _voted(lambda part: h[part], owner, shingles)
+        for i, own in zip(which, np.split(h.view(np.int64), np.cumsum(shingles)[:-1]), strict=True):
             out[i] = np.unique(own)
-    return out
+    return out, prints
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -335,18 +348,19 @@ def counts_of(elements: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp (64 bits that stand for the set), text_key, shingles (sorted), counts (a byte each) of every row."""
+    """doc_id, fp (64 bits that stand for the set), text_key, shingles (sorted), counts (a byte each), simhash of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t if t is not None else "" for t in batch.column(1).to_pylist()]
-        own = [x for group in in_groups(texts, lambda some: sets_of(some, words)) for x in group]
+        groups = in_groups(texts, lambda some: sets_and_prints(some, words))
+        own, prints = [x for group, _ in groups for x in group], np.concatenate([p for _, p in groups])
         fp = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in own]
         counts = [counts_of(x).tobytes() for x in own]
         ends = np.cumsum([0] + [len(x) for x in own])
         sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.int64()), batch.column(2), sets, pa.array(counts, pa.binary())], names=["doc_id", "fp", "text_key", "shingles", "counts"])
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.int64()), batch.column(2), sets, pa.array(counts, pa.binary()), pa.array(prints.view(np.int64))], names=["doc_id", "fp", "text_key", "shingles", "counts", "simhash"])
 
-    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, fp long, text_key long, shingles array<long>, counts binary")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, "doc_id long, fp long, text_key long, shingles array<long>, counts binary, simhash long")
 
 
 class _Bounds:
@@ -426,24 +440,36 @@ def _edges(member: DataFrame, own: DataFrame, similarity: float, whole: bool) ->
     return dealt.groupBy(block).applyInPandas(lambda rows: _edges_of_block(rows, similarity, whole), "u long, v long")
 
 
-def small_ids(ids: DataFrame) -> DataFrame:
-    """ids (written before), to be broadcast unless they are many."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def small_ids(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """ids (written before), to be broadcast unless they are more than `most`, by default BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if most is None else most) else ids
+
+
+def near_prints(sets: DataFrame, distance: int) -> DataFrame:
+    """key, fp of the sets (fp, simhash) that share a class of fingerprints with another set: links within distance by the tree, components."""
+    own = materialise(sets.select("simhash", "fp").distinct(), "prints")
+    distinct = materialise(own.select(F.col("simhash").alias("fp")).distinct(), "distinct")
+    roots = materialise(components(links(distinct, distance)), "print-roots")
+    named = materialise(own.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select(F.coalesce("root", "simhash").alias("key"), "fp"), "print-classes")
+    several = materialise(named.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "print-sizes")
+    return join_facts(named, several, "key", "n", own.count(), ["fp"]).select("key", "fp")
 
 
-def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) that join the sets (fp, shingles, counts) exactly as all pairs with this Jaccard similarity or more do.
+def similar(sets: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """Edges (u, v) that join the sets (fp, shingles, counts, simhash) exactly as all pairs with this Jaccard similarity or more do.
 
-    Of two such sets the first n - ceil(similarity * n) + 1 elements in the order of the hash have one in common,
-    so sets meet under these; an element that only one set has meets none. Sets that meet and pass a bound on their
+    Sets whose fingerprints the tree links within distance meet. For similar sets whose fingerprints lie further apart there is
+    an exact way: of two similar sets the first n - ceil(similarity * n) + 1 elements in the order of the hash have one in common,
+    so sets also meet under these; an element that only one set has meets none. Sets that meet and pass a bound on their
     counts form groups, and each set travels to its group alone.
     """
     size = F.size("shingles")
     each = sets.select("fp", F.explode(F.slice("shingles", F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))).alias("key"))
     shared = each.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("key")
-    met = materialise(each.join(small_ids(materialise(shared, "met-keys")), "key").select("key", "fp").distinct(), "met")
+    rest = each.join(small_ids(materialise(shared, "met-keys"), STAGE_IDS), "key").select("key", "fp")
+    met = materialise(near_prints(sets, distance).unionByName(rest).distinct(), "met")
     bounds = sets.select("fp", size.alias("size"), "counts").join(met.select("fp").distinct(), "fp", "left_semi").distinct()
-    whole = lambda ids: sets.select("fp", size.alias("size"), "counts", "shingles").join(small_ids(ids), "fp", "left_semi").dropDuplicates(["fp"])
+    whole = lambda ids: sets.select("fp", size.alias("size"), "counts", "shingles").join(small_ids(ids, STAGE_IDS), "fp", "left_semi").dropDuplicates(["fp"])
     return joined(met, bounds, whole, similarity)
 
 
@@ -466,10 +492,10 @@ def _named(prints: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(join_facts(prints, facts, "fp", "n", prints.count(), ["doc_id", "text_key"]).select("doc_id", "fp", "text_key", "root"), "classes")
 
 
-def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """As _classes, by the similarity of sets of shingles; equal sets are one node."""
+def _similar_classes(docs: DataFrame, words: int, distance: int, similarity: float) -> DataFrame:
+    """As _classes, with links checked by the similarity of sets of shingles; equal sets are one node."""
     sets = materialise(shingle_sets(docs, words), "sets")
-    return _named(sets.select("doc_id", "fp", "text_key"), materialise(components(similar(sets, similarity)), "roots"))
+    return _named(sets.select("doc_id", "fp", "text_key"), materialise(components(similar(sets, similarity, distance)), "roots"))
 
 
 def _classes(docs: DataFrame, words: int, distance: int) -> DataFrame:
@@ -488,9 +514,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """One row of each class, with all its columns: that of the least doc_id (null last); of equal rows one stays.
 
-    With similarity, classes are joined by the Jaccard similarity of the sets of shingles, and distance isn't read.
+    With similarity, links within distance count only if the sets of shingles have this Jaccard similarity, and so linked are all that have it.
     """
-    rows = _classes(docs, words, distance) if similarity is None else _similar_classes(docs, words, similarity)
+    rows = _classes(docs, words, distance) if similarity is None else _similar_classes(docs, words, distance, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = materialise(rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first")
     marked = materialise(join_facts(rows, first, "root", "n", rows.count(), ["doc_id", "text_key"]).select("doc_id", "text_key", order.eqNullSafe(F.col("first")).alias("stays")).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "marks")

@@ -265,6 +265,36 @@ def test_stage_keeps_one_of_similar_documents(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept} == set(roots(range(len(texts)), pairs).values())
 
 
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """The pipeline's stage computes fingerprints of runs of five words and asks the tree for all within four bits."""
+    import corpus_pipeline
+
+    asked = []
+    tree = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, distance: asked.append((sorted(r[0] & (1 << 64) - 1 for r in distinct.collect()), distance)) or tree(distinct, distance))
+    rng = random.Random(8)
+    texts = ["", None, "A b"]
+    for _ in range(15):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(100, 400))]
+        texts += [" ".join(base), " ".join(base[rng.randrange(1, 4) :]), " ".join([*base, "end"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOC)
+    prints = [plain_fingerprint(t or "", 5) for t in texts]
+    kept = corpus_pipeline.dedup_documents(spark, docs, "").collect()
+    assert asked == [(sorted(set(prints)), 4)]
+    sets = [plain_set(t or "") for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert {r["doc_id"] for r in kept} == set(roots(range(len(texts)), pairs).values())
+    # what the tree links meets: each class of several sets under one key
+    table = simhash.shingle_sets(docs, 5)
+    of = {r["doc_id"]: r["fp"] for r in table.collect()}
+    linked = roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
+    classes = {frozenset(of[j] for j in linked if linked[j] == k) for k in linked.values()}
+    met = {}
+    for r in simhash.near_prints(table, 4).collect():
+        met.setdefault(r["key"], set()).add(r["fp"])
+    assert {frozenset(m) for m in met.values()} == {c for c in classes if len(c) > 1} and len(met) > 3
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_hot_keys_meet_their_facts_in_parts(spark, monkeypatch, how):
     from lectern.llm import common
