@@ -296,3 +296,48 @@ def test_ids_do_not_depend_on_how_much_is_remembered(library):
         for _ in range(2):
             assert e.encode(own) == expected
         assert remember is None or len(e.after.new) <= remember // 2
+
+
+def test_a_word_is_learned_once_whatever_signs_follow(library):
+    rng, e = random.Random(23), tokens.PieceEncoder(tokens.default_vocabulary())
+    words = ["".join(rng.choice("abcdeéÄßž") for _ in range(rng.randrange(3, 9))) for _ in range(200)]
+    own = [" ".join(w + rng.choice(["", ".", ",", "&&&", ").", ".\nThe", "-"]) for w in rng.sample(words, 100)) for _ in range(60)]
+    for t, got in zip(own, e.encode(own), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    # each with and without a blank in front, and the signs
+    assert len(e.after.new) + len(e.plain.new) <= 2 * len(words) + 20
+
+
+def test_odd_neighbours_of_letters_and_signs(library):
+    """Every character below U+0180 and some beyond beside letters, signs and white space."""
+    e = tokens.PieceEncoder(tokens.default_vocabulary())
+    for c in [chr(x) for x in range(0x180)] + ["ſ", "ƀ", "\u0301", "а", "漢", "🙂", "’", "\u2028"]:
+        own = [f"a{c}b", f"a {c}b", f"{c}", f" {c}", f"{c} ", f"é{c}.", f".{c}é", f".{c}.", f"a.\n{c}a", f"a\n\n{c}a", f"'{c}s", f"{c}'s", f"x {c}{c} ({c}) y"]
+        for t, got in zip(own, e.encode(own), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_pieces_are_matches_of_the_pattern(library):
+    e = tokens.PieceEncoder(tokens.default_vocabulary())
+    own = ["", "Thorlyou&&& aned.\nTherly, it's  éçaux ", *texts(5)]
+    raw = [t.encode() for t in own]
+    at = np.cumsum([0, *map(len, raw)])
+    starts, match = e._cuts(own, np.frombuffer(b"".join(raw), np.uint8), at)
+    pieces = [b"".join(raw)[x:y].decode() for x, y in zip(starts, [*starts[1:], at[-1]], strict=True)]
+    assert [p for p in pieces[: np.searchsorted(starts, at[2])] if p.strip()] == ["Thorlyou", "&&&", " aned", ".", "Therly", ",", " it's", "  éçaux"]
+    for p, m in zip(pieces, match, strict=True):
+        assert not m or len(library.pre_tokenizer.pre_tokenize_str(p)) == 1
+
+
+def test_a_vocabulary_with_a_normalizer_is_not_cut_into_matches(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokens.default_vocabulary(), encoding="utf-8") as f:
+        plan = json.load(f) | {"normalizer": {"type": "Lowercase"}}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(plan), encoding="utf-8")
+    e, own = tokens.PieceEncoder(str(path)), "The House, THE house. Été"
+    assert np.frombuffer(e.encode([own])[0], "<u2").tolist() == Tokenizer.from_file(str(path)).encode(own, add_special_tokens=False).ids
+    assert not e.after.new
