@@ -341,3 +341,28 @@ def test_a_vocabulary_with_a_normalizer_is_not_cut_into_matches(tmp_path):
     e, own = tokens.PieceEncoder(str(path)), "The House, THE house. Été"
     assert np.frombuffer(e.encode([own])[0], "<u2").tolist() == Tokenizer.from_file(str(path)).encode(own, add_special_tokens=False).ids
     assert not e.after.new
+
+
+def signed(seed, n):
+    """Texts of few words under many signs."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeéÄßž") for _ in range(rng.randrange(3, 9))) for _ in range(100)]
+    return [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "&&&", ").", ".\nThe", "'s", "×"]) for _ in range(rng.randrange(1, 200))) for _ in range(n)]
+
+
+def test_a_batch_for_packing_learns_few_pieces_without_memory():
+    e, learned = tokens.PieceEncoder(tokens.default_vocabulary(), 0), []
+    for memory in (e.after, e.plain):
+        memory.encode = lambda pieces, encode=memory.encode: learned.extend(pieces) or encode(pieces)
+    e.encode(signed(29, 512))
+    # a word with and without a blank in front, alone or with 's or ×, and the signs
+    assert len(learned) <= 6 * 100 + 30
+
+
+def test_packing_of_signed_words_covers_the_librarys_ids(spark, library):
+    own = [*signed(31, 60), None, "", "«x» 'tis\xa0so", "<|endoftext|>."]
+    docs = spark.createDataFrame([(i, t, "s" + str(i % 3)) for i, t in enumerate(own)], "doc_id long, text string, source string")
+    for r in packing.pack(docs).collect():
+        ids = [*library.encode(own[r["doc_id"]] or "", add_special_tokens=False).ids, packing.END_ID]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(np.asarray(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
