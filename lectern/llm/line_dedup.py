@@ -42,6 +42,9 @@ PROBE_DOCS, HOT_PARTS = 2048, 64
 #: Line ids that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1 << 21
 
+#: Edges of a task at least where `drop_lines` looks for components.
+STAGE_EDGES = 50_000
+
 #: Characters counted one by one in the letter bound.
 LETTERS = "etaoinshrdlucmfw" + "gypbvk,. jxqzäéñ"
 
@@ -209,10 +212,13 @@ def links(docs: DataFrame, tau: int = TAU) -> DataFrame:
     return pairs.select(identity(F.col("l_line")).alias("u"), identity(F.col("r_line")).alias("v")).distinct()
 
 
-def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """Every line that isn't blank: doc_id, line_no, class_doc_id and class_line_no (the line that stays), class_size, n_links, kept, text_key."""
+def classes(docs: DataFrame, tau: int = TAU, task_edges: int | None = None, small_plans: bool = False) -> DataFrame:
+    """Every line that isn't blank: doc_id, line_no, class_doc_id and class_line_no (the line that stays), class_size, n_links, kept, text_key.
+
+    task_edges, small_plans: as for components.
+    """
     edges = materialise(links(docs, tau), "line-links")
-    roots = materialise(components(edges), "line-roots")
+    roots = materialise(components(edges, task_edges=task_edges, small_plans=small_plans), "line-roots")
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     near = materialise(degree.join(roots, "node", "left"), "line-near")
     own = lines_of(docs).select("doc_id", "text_key", "line_no", identity(F.col("line")).alias("id"))
@@ -237,7 +243,7 @@ def classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
 def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """docs with all rows and columns, each text without the lines that are copies of an earlier one."""
     doc, key, lines = (fresh(docs, n) for n in ("__doc", "__text", "__lines"))
-    out = classes(docs, tau).filter("NOT kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(lines))
+    out = classes(docs, tau, STAGE_EDGES, True).filter("NOT kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(lines))
     out = materialise(out.withColumnsRenamed({"doc_id": doc, "text_key": key}), "line-drops")
     joined = docs.join(out, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
     text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n"))

@@ -44,8 +44,11 @@ TREE_SAMPLE, SHARD, DEPTH = 8192, 8192, 9
 BLOCK_POINTS, BLOCK_ASKERS = 16_384, 65_536
 #: Sets of one part of a group; two parts are compared in one task.
 BLOCK_SETS = 2048
-#: Ids that are broadcast at most (8 bytes each), and after other stages; more are joined by shuffle.
-BROADCAST_IDS, STAGE_IDS = 1 << 21, 1 << 18
+#: Ids that are broadcast at most (8 bytes each), and after other stages, where the driver has little memory left (a table of
+#: ids in its heap takes some fifty bytes an id, and stays there for a while); more are joined by shuffle.
+BROADCAST_IDS, STAGE_IDS = 1 << 21, 1 << 14
+#: Edges of a task at least where the stage looks for components.
+STAGE_EDGES = 50_000
 #: Counts that bound the difference of two sets at least, and elements in a count of large sets about: unlike sets of any size differ enough to be told.
 COUNTS, FILL = 128, 16
 #: Characters of texts that are hashed at once, about.
@@ -449,7 +452,7 @@ def near_prints(sets: DataFrame, distance: int) -> DataFrame:
     """key, fp of the sets (fp, simhash) that share a class of fingerprints with another set: links within distance by the tree, components."""
     own = materialise(sets.select("simhash", "fp").distinct(), "prints")
     distinct = materialise(own.select(F.col("simhash").alias("fp")).distinct(), "distinct")
-    roots = materialise(components(links(distinct, distance)), "print-roots")
+    roots = materialise(components(links(distinct, distance), task_edges=STAGE_EDGES, small_plans=True), "print-roots")
     named = materialise(own.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").select(F.coalesce("root", "simhash").alias("key"), "fp"), "print-classes")
     several = materialise(named.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "print-sizes")
     return join_facts(named, several, "key", "n", own.count(), ["fp"]).select("key", "fp")
@@ -470,16 +473,16 @@ def similar(sets: DataFrame, similarity: float, distance: int) -> DataFrame:
     met = materialise(near_prints(sets, distance).unionByName(rest).distinct(), "met")
     bounds = sets.select("fp", size.alias("size"), "counts").join(met.select("fp").distinct(), "fp", "left_semi").distinct()
     whole = lambda ids: sets.select("fp", size.alias("size"), "counts", "shingles").join(small_ids(ids, STAGE_IDS), "fp", "left_semi").dropDuplicates(["fp"])
-    return joined(met, bounds, whole, similarity)
+    return joined(met, bounds, whole, similarity, STAGE_EDGES, True)
 
 
-def joined(met: DataFrame, bounds: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float, task_edges: int | None = None) -> DataFrame:
+def joined(met: DataFrame, bounds: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float, task_edges: int | None = None, small_plans: bool = False) -> DataFrame:
     """Edges (u, v) that join the members (fp) of each key of met exactly as all similar pairs of a key do.
 
     bounds: fp, size, counts of each set once; whole gives the same with the shingles for a table of fps. Both tables are read
-    several times, so they should be written before. task_edges: as for components.
+    several times, so they should be written before. task_edges, small_plans: as for components.
     """
-    near = materialise(components(_edges(met, bounds, similarity, False), task_edges=task_edges), "met-roots")
+    near = materialise(components(_edges(met, bounds, similarity, False), task_edges=task_edges, small_plans=small_plans), "met-roots")
     member = near.select(F.col("root").alias("key"), F.col("node").alias("fp")).unionByName(near.select(F.col("root").alias("key"), F.col("root").alias("fp")).distinct())
     member = materialise(member, "met-groups")
     return _edges(member, whole(member.select("fp")), similarity, True)
@@ -495,7 +498,7 @@ def _named(prints: DataFrame, roots: DataFrame) -> DataFrame:
 def _similar_classes(docs: DataFrame, words: int, distance: int, similarity: float) -> DataFrame:
     """As _classes, with links checked by the similarity of sets of shingles; equal sets are one node."""
     sets = materialise(shingle_sets(docs, words), "sets")
-    return _named(sets.select("doc_id", "fp", "text_key"), materialise(components(similar(sets, similarity, distance)), "roots"))
+    return _named(sets.select("doc_id", "fp", "text_key"), materialise(components(similar(sets, similarity, distance), task_edges=STAGE_EDGES, small_plans=True), "roots"))
 
 
 def _classes(docs: DataFrame, words: int, distance: int) -> DataFrame:

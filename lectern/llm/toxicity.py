@@ -176,15 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
     # the driver fits: it holds the sample's features
     told = materialise(arrow_map(texts, run, "doc_id long, label int, features binary"), "toxicity-sample").filter(F.length("features") <= 4 * DOC_FEATURES)
     so_far = F.sum(F.length("features") / 4).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    within = told.select("doc_id", so_far.alias("n")).filter(F.col("n") <= SAMPLE_FEATURES).select("doc_id")
-    got = sorted(told.join(F.broadcast(within), "doc_id").toLocalIterator(), key=lambda r: r["doc_id"])
+    within = told.select("doc_id", "label", (F.length("features") / 4).cast("int").alias("own"), so_far.alias("n")).filter(F.col("n") <= SAMPLE_FEATURES)
+    got = sorted(within.select("doc_id", "label", "own").collect())
     if not got:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, 40.0))
     label_of = np.array([r["label"] for r in got], np.int64)
-    each = [np.frombuffer(r["features"], "<i4") for r in got]
-    # 32 bits: the driver's memory is what the sample costs
-    rows, buckets = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), np.concatenate(each)
-    del got, each
+    # 32 bits, and each document's features put in their place as they come: the driver's memory is what the sample costs
+    ends = np.cumsum([r["own"] for r in got])
+    place = {r["doc_id"]: (end - r["own"], end) for r, end in zip(got, ends.tolist(), strict=True)}
+    rows, buckets = np.repeat(np.arange(len(got), dtype=np.int32), [r["own"] for r in got]), np.empty(ends[-1], "<i4")
+    del got
+    for r in told.join(F.broadcast(within.select("doc_id")), "doc_id").select("doc_id", "features").toLocalIterator():
+        begin, end = place[r["doc_id"]]
+        buckets[begin:end] = np.frombuffer(r["features"], "<i4")
     return fit(rows, buckets, label_of if label_of.max() > 1 else graded(rows, buckets, label_of, grades))
 
 

@@ -60,6 +60,28 @@ def test_sample_is_bounded_by_its_features(spark, monkeypatch):
     assert len(toxicity.train(docs, labels).buckets) == 0
 
 
+def test_driver_holds_the_sample_once(spark, monkeypatch):
+    """Features come document by document into their place: what the driver holds is their array and that of their rows."""
+    import tracemalloc
+
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, buckets, grades: got.append((rows, buckets, grades)))
+    n = 240
+    texts = [" ".join(f"d{i}w{j}" for j in range(4000 + i)) for i in range(n)]
+    docs = spark.createDataFrame([(n - 1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(n)], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        toxicity.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    rows, buckets, grades = got[0]
+    want = [[x for w in sorted(toxicity.words_of(t)) for x in toxicity.features(w)] for t in texts[::-1]]
+    assert (buckets == np.concatenate(want)).all() and (rows == np.repeat(np.arange(n), [len(x) for x in want])).all() and grades.tolist() == [i % 3 for i in range(n)]
+    assert peak < 2.75 * buckets.nbytes  # the two, and a batch of rows on its way
+
+
 def test_held_out_toxicity(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")

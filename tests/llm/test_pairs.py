@@ -318,6 +318,43 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["dedup_lines", "dedup_documents"])
+def test_no_plan_of_the_pipeline_holds_a_round_of_components(spark, monkeypatch, stage):
+    """What a star reads twice is written first: the driver plans one aggregate and one join at a time. Few tasks write a small graph."""
+    import corpus_pipeline
+
+    held, written = [], components.materialise
+
+    def write(df, tag):  # noqa: ANN001, ANN202
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        held.append((tag, plan.count("Aggregate ["), plan.count("Join ")))
+        return written(df, tag)
+
+    monkeypatch.setattr(components, "materialise", write)
+    texts = [" ".join(f"w{i // 4}x{j}" for j in range(30)) + (f" end{i % 4}" if i % 4 else "") for i in range(24)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    assert getattr(corpus_pipeline, stage)(spark, docs, "").count() == (24 if stage == "dedup_lines" else 6)
+    rounds = [h for h in held if h[0] == "stars"]
+    assert rounds and all(aggregates <= 1 and joins <= 2 for _, aggregates, joins in rounds)
+    # the last step of a round: one join with the facts, one with the hot keys, a distinct
+    firsts = [i for i, h in enumerate(held) if h[0] == "edges" and i and held[i - 1][0] == "stars"]
+    assert firsts and all(held[i][1] <= 1 and held[i][2] <= 2 for i in firsts)
+
+
+@pytest.mark.parametrize("small_plans", [False, True])
+def test_components_by_small_plans(spark, small_plans):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, i) for i in range(400, 440)]
+    found = components.components(spark.createDataFrame(pairs, "u long, v long"), task_edges=10, small_plans=small_plans)
+    of = roots({n for p in pairs for n in p}, pairs)
+    assert {r["node"]: r["root"] for r in found.collect()} == {n: r for n, r in of.items() if n != r}
+
+
+def test_many_ids_of_the_stage_are_not_broadcast(spark):
+    hinted = lambda n: "ResolvedHint" in simhash.small_ids(spark.range(n), simhash.STAGE_IDS)._jdf.queryExecution().analyzed().toString()
+    assert hinted(1000) and not hinted(1 << 15)
+
+
 def test_the_least_and_greatest_ids(spark, tmp_path):
     """The least long has no negative; of equal texts it stays."""
     low, high = -(2**63), 2**63 - 1
