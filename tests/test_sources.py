@@ -182,6 +182,29 @@ def test_pages_are_taken_once_whatever_is_cut_off(spark, tmp_path):
     assert points.count() == points.select("point_id").distinct().count()
 
 
+def test_bundles_of_pages_are_taken_like_single_ones(spark, tmp_path):
+    """A file for each page costs more than what is in it: hundreds of pages lie in a few files, and each still counts for itself."""
+    bundled, single, kept = str(tmp_path / "bundled"), tmp_path / "single", connector.BUNDLE_PAGES
+    pages = [("a", page(f"A{i}", f"A{i // 2}") if i % 7 else "<set><article>") for i in range(kept + 9)] + [("b", page("A1", "B", licence="closed")), ("b", None), ("b", page("B"))]
+    frame = spark.createDataFrame(pages, "topic string, value string").coalesce(1)
+    connector.store(frame, bundled)
+    files = list((tmp_path / "bundled").rglob("*.parquet"))
+    assert len(files) == 3
+    for i, (topic, value) in enumerate(pages):
+        (single / f"topic={topic}").mkdir(parents=True, exist_ok=True)
+        (single / f"topic={topic}" / f"p{i:04}").write_text(value or "")
+    fetch = lambda folder, store: {(r["topic"], r["reason"]): r["n"] for r in connector.fetch(spark, folder, str(tmp_path / store), vector.HashingEmbedder(8)).collect()}
+    first = fetch(bundled, "one")
+    assert first == fetch(str(single), "two") and first[("topic=a", "unreadable")] == 38 and first[("topic=b", "unreadable")] == 1
+    assert fetch(bundled, "one") == first
+    points = spark.read.parquet(str(tmp_path / "one" / "points"))
+    assert points.count() == points.select("point_id").distinct().count()
+    # a bundle that can't be read is one unreadable page
+    (tmp_path / "bundled" / "topic=c").mkdir()
+    (tmp_path / "bundled" / "topic=c" / "x.parquet").write_text("no bundle")
+    assert fetch(bundled, "one") == first | {("topic=c", "unreadable"): 1}
+
+
 def test_top_up_takes_the_row_that_holds_a_text(spark, tmp_path):
     """Of rows of one title the first may hold too little: what ingestion accepts is stored."""
     kind = "document_id long, title string, filename string, source_type string, text string"
