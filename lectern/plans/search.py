@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.operators import lexical, retrieval
-from lectern.operators.vector import CANDIDATES, Embedder, dot, embed
+from lectern.operators.best import Best as _Best
+from lectern.operators.vector import CANDIDATES, Embedder, HashingEmbedder, dot, embed
 from lectern.storage import materialise
 
 Reranker = Callable[[DataFrame], DataFrame]
@@ -24,73 +25,56 @@ BLOCK = 4096
 TILE = (512, 2048)
 
 
-class _Best:
-    """The nearest points of each question so far, by rounded score, then id: what ranks last is forgotten."""
-
-    def __init__(self, questions: int, most: int):
-        self.most, self.least = most, np.zeros(questions)  # scores below 0 are never wanted
-        self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-
-    @staticmethod
-    def rounded(score: np.ndarray) -> np.ndarray:
-        """To four digits, halves away from zero as F.round does: dyadic scores lie between two."""
-        return np.copysign(np.floor(np.abs(score) * 1e4 + 0.5), score)
-
-    def add(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        row, score, ids = np.concatenate([self.row, row]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -self.rounded(score), row))
-        row = row[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = order[place < self.most]
-        self.row, self.score, self.id = row[place < self.most], score[kept], ids[kept]
-        last = np.flatnonzero(place[place < self.most] == self.most - 1)
-        self.least[self.row[last]] = np.maximum(self.score[last], 0.0)
-
-
-def _nearest(points: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
-    """query_id, point_id, score: of each partition of points those nearest to every question of a block."""
+def _nearest(points: DataFrame, queries: DataFrame, candidates: int, embedder: Embedder | None) -> DataFrame:
+    """query_id, point_id, score: of each partition of points those nearest to every question of a block. Points without vectors are embedded as they pass."""
     asked = queries.collect()
     ids = pa.array([r["query_id"] for r in asked], to_arrow_type(queries.schema["query_id"].dataType))
     q = np.array([r["embedding"] for r in asked], float)
     kinds = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *queries.schema.fields]}
     point_type = to_arrow_type(points.schema["point_id"].dataType)
+    made = None if "embedding" in points.columns else embedder or HashingEmbedder()
+
+    def vectors(own: pa.Array) -> np.ndarray:
+        if made is None:
+            return own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+        return made.embed(own.fill_null("").to_pylist()).astype(np.float32).astype(float)  # stored vectors have single precision
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(q), candidates)
         for batch in batches:
             for start in range(0, batch.num_rows, TILE[1]):
                 own = batch.slice(start, TILE[1])
-                p = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, -1)
+                p = vectors(own.column(1))
                 names = np.array(own.column(0).to_pylist(), object)
-                found = []
                 for i in range(0, len(q), TILE[0]):
-                    score = q[i : i + TILE[0]] @ p.T
-                    least = best.least[i : i + TILE[0], None]
-                    if own.num_rows > candidates:
-                        least = np.maximum(least, np.partition(score, -candidates, axis=1)[:, -candidates, None])
-                    # scores are ranked when they are rounded to four digits: what may tie with the last candidate stays
-                    row, at = np.nonzero(score >= least - 1e-4)
-                    found.append((row + i, score[row, at], names[at]))
-                if found:
-                    best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    best.offer(i, q[i : i + TILE[0]] @ p.T, names)
+                best.settle()
         if len(best.row):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.row)), pa.array(best.id.tolist(), point_type), pa.array(best.score)], names=["query_id", "point_id", "score"])
 
-    own = points.filter(F.col("embedding").isNotNull()).select("point_id", "embedding")
+    own = points.select("point_id", "search_text") if made else points.filter(F.col("embedding").isNotNull()).select("point_id", "embedding")
     return own.mapInArrow(run, f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, score double")
 
 
-def vector_hits(points: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, source_type: str | None = None) -> DataFrame:
-    """The nearest points of each question (query_id, embedding), exactly: a stated set of questions, BLOCK at a time, against all points."""
+def _vector_ranks(points: DataFrame, queries: DataFrame, candidates: int, source_type: str | None, embedder: Embedder | None) -> DataFrame:
+    """query_id, point_id, score, rank."""
     if source_type is not None:
         points = points.filter(F.col("source_type") == source_type)
     blocks = max(1, -(-queries.count() // BLOCK))
     own = queries.select("query_id", "embedding")
-    found = [_nearest(points, own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), candidates) for i in range(blocks)]
+    found = [_nearest(points, own.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), candidates, embedder) for i in range(blocks)]
     scored = functools.reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 4)).filter("score >= 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates)
-    return best.join(points.drop("embedding"), "point_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates)
+
+
+def vector_hits(points: DataFrame, queries: DataFrame, candidates: int = CANDIDATES, source_type: str | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """The nearest points of each question (query_id, embedding), exactly: a stated set of questions, BLOCK at a time, against all points.
+
+    Points have an embedding, or a search_text that is embedded as they pass.
+    """
+    best = _vector_ranks(points, queries, candidates, source_type, embedder)
+    return best.join(points.drop("embedding").filter(F.col("source_type") == source_type) if source_type is not None else points.drop("embedding"), "point_id")
 
 
 def retrieve(
@@ -104,19 +88,24 @@ def retrieve(
     final_order: str = "score",
     prefilter: bool = False,
 ) -> DataFrame:
-    """Passages of every question (query_id, text), numbered from 1 by chunk_id. points are read several times, so they should be written before.
+    """Passages of every question (query_id, text), numbered from 1 by chunk_id. points are read three times, so they should be written before;
+    without vectors (embedding) they are embedded as they pass, which costs no disk. The words are looked up in index, or else in the texts themselves.
 
     The source filter applies before the vector cut and, as published, after the lexical one; prefilter moves it before both.
     Without a reranker candidates keep their order.
     """
     queries = materialise(questions.select("query_id", F.col("text").alias("question"), embed(F.col("text"), embedder).alias("embedding")), "questions")
-    near = vector_hits(points, queries, source_type=source_type)
+    ranks = materialise(_vector_ranks(points, queries, CANDIDATES, source_type, embedder), "near")
     pool = points.filter(F.col("source_type") == source_type) if source_type is not None and prefilter else points
-    index = index or lexical.build(pool, "point_id", "search_text").stored()
-    words = lexical.search(index, questions, "query_id", "text").select("query_id", F.col("id").alias("point_id"), F.col("rank").alias("lexical_rank"), "bm25_score")
-    found = words.join(points, "point_id")
+    hits = lexical.search(index, questions, "query_id", "text") if index else lexical.scan(pool, "point_id", "search_text", questions, "query_id", "text")
+    words = materialise(hits.select("query_id", F.col("id").alias("point_id"), F.col("rank").alias("lexical_rank"), "bm25_score"), "words")
+    # of the points those that are found are read once, so neither texts nor vectors are shuffled
+    wanted = ranks.select("point_id").union(words.select("point_id")).distinct()
+    own = points.join(F.broadcast(wanted) if queries.count() <= BLOCK else wanted, "point_id", "left_semi")
+    own = materialise(own if "embedding" in own.columns else own.withColumn("embedding", embed(F.col("search_text"), embedder)), "passages")
+    near, found = ranks.join(own.drop("embedding"), "point_id"), words.join(own, "point_id")
     if source_type is not None:
-        found = found.filter(F.col("source_type") == source_type)
+        near, found = (x.filter(F.col("source_type") == source_type) for x in (near, found))
     scored = found.join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
     cosines = scored.select("query_id", "point_id", F.round(dot(F.col("embedding"), F.col("__q")), 4).alias("score"))
     extra = found.drop("embedding").withColumn("rank", F.col("lexical_rank") + CANDIDATES).drop("lexical_rank")

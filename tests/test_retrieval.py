@@ -144,3 +144,41 @@ def test_questions_in_blocks_find_the_same(spark, monkeypatch):
         for i, v in q.items():
             best = sorted(((round(float(v @ p[j]), 4), j) for j in own), key=lambda x: (-x[0], x[1]))
             assert got[i] == [(j, s) for s, j in best if s >= 0][:7]
+
+
+def test_texts_scanned_for_questions_give_what_an_index_does(spark, monkeypatch):
+    """Without an index, in blocks of any size: the same chunks, scores and order among ties, and postings of the questions' terms alone are written."""
+    import random
+
+    rng = random.Random(3)
+    words = ["pleural", "line", "the", "knee", "ct", "mr", "\u00fcbel", "x1", "lung", "hilum"]
+    chunks = [(f"c{i:03}", rng.choice([None, "", "the of", *[" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(9)]])) for i in range(300)]
+    asked = [(i, rng.choice([None, "of the", *[" ".join(rng.choices([*words, "absent"], k=4)) for _ in range(9)]])) for i in range(23)]
+    frame = spark.createDataFrame(chunks, "id string, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "item_id int, text string")
+    expected = sorted(map(tuple, lexical.search(lexical.build(frame, "id"), queries, top=7).collect()))
+    assert len(expected) > 50
+    written, write = [], lexical.materialise
+    monkeypatch.setattr(lexical, "materialise", lambda df, tag: written.append(write(df, tag)) or written[-1])
+    for questions, rows, postings, common in ((512, 2048, 1 << 18, 8), (5, 7, 11, 2), (1, 1, 1, 100)):
+        for name, value in (("QUESTIONS", questions), ("CHUNKS", rows), ("POSTINGS", postings), ("COMMON", common)):
+            monkeypatch.setattr(lexical, name, value)
+        assert sorted(map(tuple, lexical.scan(frame, "id", "text", queries, top=7).collect())) == expected
+    terms = len({t for _, q in asked for t in (q or "").split() if t not in ("of", "the", "\u00fcbel")} | {"bel"})
+    assert all(0 <= t < terms for r in written[0].collect() for t in r["terms"])
+    for none in (queries.filter("item_id < 0"), queries.filter("text IS NULL")):
+        assert lexical.scan(frame, "id", "text", none).collect() == []
+    assert lexical.scan(frame.filter("id IS NULL"), "id", "text", queries).collect() == []
+
+
+def test_search_stores_no_vectors_of_all_points(spark, data, monkeypatch):
+    """Vectors and postings of every chunk were several times the input on disk: only what is found is stored with its vector."""
+    from lectern.plans import queries, search as plan
+
+    written, write = [], plan.materialise
+    record = lambda df, tag: written.append((tag, df.columns)) or write(df, tag)
+    for module in (plan, queries, lexical):
+        monkeypatch.setattr(module, "materialise", record)
+    queries.QUERIES["hybrid_search"](spark, data).collect()
+    assert {tag for tag, columns in written if "embedding" in columns} == {"questions", "passages"}
+    assert "postings" not in dict(written) and not {"search_text", "point_id"} & set(dict(written)["chunks"])
