@@ -182,3 +182,15 @@ def test_search_stores_no_vectors_of_all_points(spark, data, monkeypatch):
     queries.QUERIES["hybrid_search"](spark, data).collect()
     assert {tag for tag, columns in written if "embedding" in columns} == {"questions", "passages"}
     assert "postings" not in dict(written) and not {"search_text", "point_id"} & set(dict(written)["chunks"])
+
+
+def test_points_embedded_as_they_pass_give_what_stored_vectors_do(spark):
+    from lectern.plans import ingest, search as plan
+
+    docs = spark.createDataFrame([(i, f"{t} " * 9, "kb" if i != "p2" else "other", "Title", None) for i, t in CORPUS], "document_id string, text string, source_type string, title string, filename string")
+    questions = spark.createDataFrame([(0, "visceral pleural line"), (1, "knee"), (2, "pneumothorax imaging")], "query_id int, text string")
+    stored, bare = ingest.points(docs, vector.HashingEmbedder(64), 90, 20), ingest.searchable(ingest.chunks(docs, 90, 20))
+    index = lexical.build(stored, "point_id", "search_text").stored()
+    for more in ({}, {"source_type": "kb"}):
+        rows = [sorted(map(tuple, plan.retrieve(p, questions, vector.HashingEmbedder(64), index=i, **more).collect()), key=str) for p, i in ((stored, index), (bare, None), (stored, None))]
+        assert rows[0] == rows[1] == rows[2] and rows[0]
