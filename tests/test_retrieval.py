@@ -194,3 +194,14 @@ def test_points_embedded_as_they_pass_give_what_stored_vectors_do(spark):
     for more in ({}, {"source_type": "kb"}):
         rows = [sorted(map(tuple, plan.retrieve(p, questions, vector.HashingEmbedder(64), index=i, **more).collect()), key=str) for p, i in ((stored, index), (bare, None), (stored, None))]
         assert rows[0] == rows[1] == rows[2] and rows[0]
+
+
+def test_reranked_search_stores_no_vectors_of_all_points(spark, data, monkeypatch):
+    from lectern.plans import queries, search as plan
+
+    written, write = [], plan.materialise
+    record = lambda df, tag: written.append((tag, df.columns)) or write(df, tag)
+    for module in (plan, queries, lexical):
+        monkeypatch.setattr(module, "materialise", record)
+    assert queries.QUERIES["hybrid_search_reranked"](spark, data).collect()
+    assert {tag for tag, columns in written if "embedding" in columns} == {"questions", "passages"} and "postings" not in dict(written)
