@@ -19,6 +19,8 @@ from lectern.storage import remove
 
 #: Segments in force before they are merged.
 MOST = 8
+#: Changed documents (16 bytes each) that are sent to all tasks at most.
+BROADCAST = 2_000_000
 POSTINGS = "term string, id string, document_id long, tf long, dl int, lead boolean, segment long"
 TABLES = {"postings": POSTINGS, "tombstones": "document_id long, segment long", "frequencies": "term string, df long, segment long", "sizes": "n long, words long, segment long"}
 
@@ -75,8 +77,14 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}").filter(F.col("segment").isin(segments))
 
+    def _few(self, keys: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """keys, sent to the postings if they (or the stored rows they come from) are few enough, so that no posting is shuffled."""
+        return F.broadcast(keys) if (rows or keys).count() <= BROADCAST else keys
+
     def _live(self, segments: list[int]) -> DataFrame:
-        dead = self._read("tombstones", segments).groupBy("document_id").agg(F.max("segment").alias("until"))
+        # what the oldest segment replaced isn't in force any more
+        told = self._read("tombstones", segments[1:])
+        dead = self._few(told.groupBy("document_id").agg(F.max("segment").alias("until")), told)
         postings = self._read("postings", segments).join(dead, "document_id", "left")
         return postings.filter(F.col("until").isNull() | (F.col("segment") >= F.col("until"))).drop("until")
 
@@ -104,12 +112,12 @@ class Store:
         changed = changes.select("document_id").filter(F.col("document_id").isNotNull()).distinct()
         self._write("tombstones", segment, changed)
         chunks = changes.filter("id IS NOT NULL AND document_id IS NOT NULL").select(F.struct("document_id", F.col("id").cast("string").alias("id")).alias("key"), "text")
-        made = lexical.build(chunks, "key").postings.select("term", "id.id", "id.document_id", "tf", "dl", "lead")
-        # by ranges of term: few terms are found in few row groups, a common term lies in several files
-        self._write("postings", segment, made.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+        made = lexical.postings(chunks, "key").select("term", "id.id", "id.document_id", "tf", "dl", "lead")
+        # each file by term: few terms are found in few pages of it, and no posting is shuffled
+        self._write("postings", segment, made.sortWithinPartitions("term", "id"))
         new = self.spark.read.schema(POSTINGS.rpartition(",")[0]).parquet(f"{self.path}/postings/segment={segment}")
         marked = self.spark.read.schema("document_id long").parquet(f"{self.path}/tombstones/segment={segment}")
-        old = self._live(before).join(marked, "document_id", "left_semi")
+        old = self._live(before).join(self._few(marked), "document_id", "left_semi")
         both = new.select("term", "dl", "lead", F.lit(1).alias("sign")).unionByName(old.select("term", "dl", "lead", F.lit(-1).alias("sign")))
         self._write("frequencies", segment, both.groupBy("term").agg(F.sum("sign").alias("df")).filter("df <> 0"))
         self._write("sizes", segment, both.filter("lead").agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("words")))
@@ -123,7 +131,7 @@ class Store:
         if len(own) < 2:
             return
         segment = own[-1] // 2 * 2 + 1
-        self._write("postings", segment, self._live(own).repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+        self._write("postings", segment, self._live(own).sortWithinPartitions("term", "id"))
         self._write("tombstones", segment, self.spark.createDataFrame([], "document_id long"))
         summed = self._read("frequencies", own).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         self._write("frequencies", segment, summed)

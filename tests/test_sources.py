@@ -289,6 +289,32 @@ def test_an_empty_index_and_one_that_follows_a_stream(spark, tmp_path):
     assert sorted(r["term"] for r in store.index().postings.collect()) == ["joint", "knee"] and len(store.versions()) == 2
 
 
+def test_changes_shuffle_no_posting(spark, tmp_path, monkeypatch):
+    """Postings are many times the texts when they are dealt out: they are written, found and merged where they lie."""
+    plans, write = [], segments.Store._write
+
+    def record(self, table, segment, rows):
+        if table in ("postings", "sizes"):
+            plans.append(rows._jdf.queryExecution().toString())
+        write(self, table, segment, rows)
+
+    monkeypatch.setattr(segments.Store, "_write", record)
+    monkeypatch.setattr(segments, "BROADCAST", 10)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    for kept, few in ((spark.range(8), True), (spark.range(40), False)):
+        del plans[:]
+        store = segments.Store(spark, str(tmp_path / f"index{few}"), most=2)
+        rows = kept.selectExpr("id AS document_id", "concat(id, '/0') AS id", "concat('pleural line x', id % 7) AS text")
+        for number in range(3):
+            store.apply(rows.filter(F.col("document_id") % 3 >= number), number)
+        assert len(store.segments()) == 1 and len(plans) == 8
+        assert not any("RepartitionByExpression" in p for p in plans)
+        assert any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans) != few
+        assert state_of(store.index()) == state_of(lexical.build(rows, "id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_postings_of_chunks_are_those_of_a_build(spark):
     rows = [(f"c{i}", " ".join(random.Random(i).choices(["Pleural", "line", "the", "x1", "\u00fcbel", "-"], k=i % 9)) or None) for i in range(60)]
     frame = spark.createDataFrame([*rows, ("none", None)], "id string, text string")
